@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import fingerprints, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """name -> callable(spark, sf_dir)."""
-    return {"op10_sharding": sharding.op10_sharding}
+    return {
+        "op7_fingerprints": fingerprints.op7_fingerprints,
+        "op10_sharding": sharding.op10_sharding,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
     """name -> DuckDB SQL."""
-    return {}
+    return {"op7_fingerprints": fingerprints.ORACLE_SQL}
