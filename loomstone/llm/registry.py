@@ -6,17 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, sharding
+from . import fingerprints, secret_scan, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """name -> callable(spark, sf_dir)."""
     return {
         "op7_fingerprints": fingerprints.op7_fingerprints,
+        "op8_secret_scan": secret_scan.op8_secret_scan,
         "op10_sharding": sharding.op10_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """name -> DuckDB SQL."""
-    return {"op7_fingerprints": fingerprints.ORACLE_SQL}
+    return {"op7_fingerprints": fingerprints.ORACLE_SQL, "op8_secret_scan": secret_scan.ORACLE_SQL}
