@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, secret_scan, sharding
+from . import bpe, fingerprints, quality, secret_scan, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """name -> callable(spark, sf_dir)."""
     return {
         "op4_bpe": bpe.op4_bpe,
+        "op6_quality": quality.op6_quality,
         "op7_fingerprints": fingerprints.op7_fingerprints,
         "op8_secret_scan": secret_scan.op8_secret_scan,
         "op10_sharding": sharding.op10_sharding,
