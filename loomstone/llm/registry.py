@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, quality, secret_scan, sharding
+from . import bpe, fingerprints, quality, secret_scan, sharding, topk_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """name -> callable(spark, sf_dir)."""
     return {
+        "op2_topk_search": topk_search.op2_topk_search,
         "op4_bpe": bpe.op4_bpe,
         "op6_quality": quality.op6_quality,
         "op7_fingerprints": fingerprints.op7_fingerprints,
@@ -22,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """name -> DuckDB SQL."""
-    return {"op7_fingerprints": fingerprints.ORACLE_SQL, "op8_secret_scan": secret_scan.ORACLE_SQL}
+    return {"op2_topk_search": topk_search.ORACLE_SQL, "op7_fingerprints": fingerprints.ORACLE_SQL, "op8_secret_scan": secret_scan.ORACLE_SQL}
