@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, quality, secret_scan, sharding, topk_search
+from . import bpe, fingerprints, html_text, quality, secret_scan, sharding, topk_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_topk_search": topk_search.op2_topk_search,
         "op4_bpe": bpe.op4_bpe,
+        "op5_html_extraction": html_text.op5_html_extraction,
         "op6_quality": quality.op6_quality,
         "op7_fingerprints": fingerprints.op7_fingerprints,
         "op8_secret_scan": secret_scan.op8_secret_scan,
