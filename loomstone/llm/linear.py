@@ -44,3 +44,59 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None,
         if done:
             break
     return w
+
+
+class Incidence:
+    """A matrix of 0 and 1, by the sorted column numbers of each row."""
+
+    def __init__(self, rows: list[list[int]], width: int) -> None:
+        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.column = np.array([i for r in rows for i in r], dtype=np.int64)
+        self.height, self.width = len(rows), width
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, v[self.column], self.height)
+
+    def transposed_times(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, v[self.row], self.width)
+
+    def take(self, keep: np.ndarray) -> Incidence:
+        """The rows where keep holds."""
+        out = Incidence([], self.width)
+        held = keep[self.row]
+        out.row, out.column, out.height = (np.cumsum(keep) - 1)[self.row[held]], self.column[held], int(keep.sum())
+        return out
+
+
+def fit_sparse_logistic(x: Incidence, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, lasso: float, steps: int = 600) -> np.ndarray:
+    """Coefficients of x's columns, then of extra's, then the intercept, with an L1 penalty on x's columns.
+
+    Accelerated proximal gradient steps on the mean weighted loss, from zeros, so the result is deterministic. With one
+    class only, or no rows, the coefficients are 0.
+    """
+    width, n_extra = x.width, extra.shape[1]
+    if not len(y) or y.min() == y.max():
+        share = ((weight * y).sum() + 0.5) / (weight.sum() + 1)
+        return np.r_[np.zeros(width + n_extra), np.log(share / (1 - share))]
+    dense = np.c_[extra, np.ones(len(y))]
+    weight = weight / weight.sum()
+
+    def forward(b: np.ndarray) -> np.ndarray:
+        return x.times(b[:width]) + dense @ b[width:]
+
+    def backward(v: np.ndarray) -> np.ndarray:
+        return np.r_[x.transposed_times(v), dense.T @ v]
+
+    v = np.ones(width + n_extra + 1)
+    for _ in range(15):  # the largest curvature
+        v = backward(weight * forward(v / np.linalg.norm(v)))
+    size = 4 / (1.05 * np.linalg.norm(v))
+    b, at, t = np.zeros(len(v)), np.zeros(len(v)), 1.0
+    for _ in range(steps):
+        new = at - size * backward(weight * (sigmoid(forward(at)) - y))
+        new[:width] = np.sign(new[:width]) * np.maximum(np.abs(new[:width]) - size * lasso, 0)
+        if (at - new) @ (new - b) > 0:  # restart where momentum points uphill
+            t = 1.0
+        faster = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        b, at, t = new, new + (t - 1) / faster * (new - b), faster
+    return b

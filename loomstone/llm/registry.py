@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, html_text, quality, secret_scan, sharding, topk_search
+from . import bpe, fingerprints, html_text, quality, secret_scan, sharding, topk_search, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """name -> callable(spark, sf_dir)."""
     return {
         "op2_topk_search": topk_search.op2_topk_search,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_bpe": bpe.op4_bpe,
         "op5_html_extraction": html_text.op5_html_extraction,
         "op6_quality": quality.op6_quality,
