@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, html_text, quality, secret_scan, sharding, topk_search, toxicity
+from . import bpe, fingerprints, html_text, near_dedup, quality, secret_scan, sharding, topk_search, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality": quality.op6_quality,
         "op7_fingerprints": fingerprints.op7_fingerprints,
         "op8_secret_scan": secret_scan.op8_secret_scan,
+        "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_sharding": sharding.op10_sharding,
     }
 
