@@ -17,6 +17,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyspark.sql.functions as F
 import regex
@@ -251,6 +252,22 @@ def encode(spark: SparkSession, text: Column, path: str | None = None) -> Column
     return ids(text)
 
 
+def tokenized(spark: SparkSession, text: Column, path: str | None = None) -> Column:
+    """A struct of ids (array), n_tokens and decoded_sha256 for a text column; null and empty texts have no tokens."""
+    digest, held = _broadcast(spark, path)
+
+    @F.pandas_udf("ids array<int>, n_tokens long, decoded_sha256 string")
+    def tokens(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder = _encoder(digest, held.value)
+        for part in parts:
+            yield pd.DataFrame(
+                [(np.fromstring(ids, dtype=np.int32, sep=","), n, hashlib.sha256(raw.decode("utf-8", "replace").encode("utf-8")).hexdigest()) for ids, n, raw in encoder.encoded(part.tolist())],
+                columns=["ids", "n_tokens", "decoded_sha256"],
+            )
+
+    return tokens(text)
+
+
 def decode(spark: SparkSession, ids: Column, path: str | None = None) -> Column:
     """Text of an array of token ids (null: null), special ones included; bytes that are not UTF-8 become U+FFFD. Unknown ids raise."""
     digest, held = _broadcast(spark, path)

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, html_text, near_dedup, quality, secret_scan, sharding, topk_search, toxicity
+from . import bpe, fingerprints, html_text, mixing, near_dedup, quality, secret_scan, sharding, topk_search, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """name -> callable(spark, sf_dir)."""
     return {
+        "op1_source_mixing": mixing.op1_source_mixing,
         "op2_topk_search": topk_search.op2_topk_search,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_bpe": bpe.op4_bpe,
