@@ -83,7 +83,7 @@ class PageParser(HTMLParser):
                 self.flush()
             e = self.stack.pop()
             e.value = xxhash.xxh3_64_intdigest("\x1f".join(e.parts)) - (1 << 63)
-            self.stack[-1].parts.append(f"\x1e{e.value}" if e.tag not in INLINE else e.tag)
+            self.stack[-1].parts += e.parts if e.tag in INLINE else [f"\x1e{e.value}"]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
