@@ -50,7 +50,7 @@ def tolerant_timestamp(text: Column) -> Column:
 def recency_window_days(now: Column, last_success: Column, recent: float, most: float) -> Column:
     """Days to look back: since the last success, within bounds; the upper bound where there was none."""
     gap = (F.unix_millis(now) - F.unix_millis(last_success)) / 86_400_000.0
-    return F.coalesce(F.least(F.greatest(gap, F.lit(float(recent))), F.lit(float(most))), F.lit(float(most)))
+    return F.when(gap.isNull(), F.lit(float(most))).otherwise(F.least(F.greatest(gap, F.lit(float(recent))), F.lit(float(most))))
 
 
 def cron_every_hours(hours: int) -> str:

@@ -55,7 +55,7 @@ def _ciee(df: DataFrame, now: Column) -> DataFrame:
     area = _filled(p["areaProfissional"])
     internship = F.coalesce(F.upper(p["tipoVaga"]) == "ESTAGIO", F.lit(False))
     title = F.when(internship, F.concat(F.lit("Estágio"), F.coalesce(F.concat(F.lit(" em "), area), F.lit("")))).otherwise(area)
-    activities = F.filter(F.transform(F.coalesce(p["atividades"], F.array().cast("array<string>")), F.trim), lambda a: a != "")
+    activities = F.filter(F.transform(F.coalesce(p["atividades"], F.array().cast("array<string>")), lambda a: F.trim(a)), lambda a: a != "")
     semesters = [F.coalesce(p["requisitos"][c].cast("string"), F.lit("?")) for c in ("semestreInicio", "semestreFinal")]
     asked = p["requisitos"]["semestreInicio"].isNotNull() | p["requisitos"]["semestreFinal"].isNotNull()
     pay = F.when(p["bolsaAuxilio"] == F.floor(p["bolsaAuxilio"]), p["bolsaAuxilio"].cast("long").cast("string")).otherwise(p["bolsaAuxilio"].cast("string"))
