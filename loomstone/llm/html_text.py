@@ -206,7 +206,8 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame
     found = scratch.keep(pages.select(*(F.col(f"`{c}`") for c in kept), host_of(F.col(url)).alias("host"), key.alias("key"), blocks_of(F.col(html)).alias("blocks")), "blocks")
     flagged = scratch.keep(templates(found), "templates")
     each = found.select("key", "host", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: F.transform(b["path"], lambda h: F.struct(h.alias("hash"), b["inside"].alias("inside"))))))).alias("e")).select("key", "host", "e.*")
-    lists = each.join(flagged, ["host", "hash", "inside"]).groupBy("key").agg(F.collect_set("hash").alias("template"))
+    # written first, so that its size is known: few lists are broadcast, within Spark's threshold, and no text is shuffled
+    lists = scratch.keep(each.join(flagged, ["host", "hash", "inside"]).groupBy("key").agg(F.collect_set("hash").alias("template")), "lists")
     joined = found.join(lists, "key", "left")
     clean = F.expr("filter(blocks, b -> template is null or not arrays_overlap(b.path, template))")
     return joined.select(*(F.col(f"`{c}`") for c in kept), F.array_join(F.transform(clean, lambda b: b["text"]), " ").alias("text"))
