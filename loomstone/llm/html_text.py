@@ -158,6 +158,8 @@ def parsed(html: str | None) -> list[tuple[str, list[int], bool]]:
     """Blocks of a page; null and empty pages have none."""
     if not html:
         return []
+    if (at := html.rfind("<!--")) >= 0 and "-->" not in html[at:]:
+        html = html[:at]  # a comment that is never closed hides the rest
     p = PageParser()
     p.feed(html)
     p.close()
