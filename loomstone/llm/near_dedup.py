@@ -7,9 +7,9 @@ shingle's process ends as soon as it is later than every component's first arriv
 with the probability Jaccard of the weighted shingles. Components are cut into ``BANDS`` of ``ROWS``; nodes that agree
 in a whole band share a bucket.
 
-Within a bucket no pair list is made: each node is checked against one node of the bucket (``STARS`` times, another
-one each time, and only where the bucket still has several components), and components are joined where the checked pair
-is alike. What then still lies in different components of a bucket is checked pair by pair, unless the set sizes or the
+Within a bucket no pair list is made: each node is checked against one node of the bucket (for a few bands first, then
+for more as ``STARS`` tells, against another one each time, and only where the bucket still has several components), and
+components are joined where the checked pair is alike. What then still lies in different components of a bucket is checked pair by pair, unless the set sizes or the
 signatures' bits already exclude it. The check itself is exact: the Jaccard similarity of the two texts' shingle sets,
 ``ALIKE`` or more. So every link between texts that share a bucket is found or lies within a component already.
 
@@ -35,14 +35,17 @@ WORDS, ALIKE = 5, 0.8
 BANDS, ROWS = 36, 7
 #: Components: a prime, so that any step visits all of them; those beyond the bands are not used.
 COMPONENTS = 257
-#: Rounds of checks against one node of a bucket before the pairwise ones.
-STARS = 3
+#: Rounds of checks against one node of a bucket before the pairwise ones: the bands that each round takes. Few bands
+#: join most of a large group, so that the later ones find it whole and needn't check its nodes again.
+STARS = (3, 9, 36)
 #: Pairs whose signatures differ in more bits than this (of 252) have a similarity under about 0.47, many deviations below 0.8.
 MOST_BITS = 67
 #: Token hashes that a worker keeps.
-CACHED_TOKENS = 400_000
+CACHED_TOKENS = 120_000
+#: Signatures that are handed over at once.
+HANDED = 1024
 #: Shingles that are signed at once.
-AT_ONCE = 150_000
+AT_ONCE = 100_000
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
 
@@ -138,7 +141,7 @@ def signed(texts: list[str | None], shingler: Shingler) -> Iterator[tuple[int, l
     for text in texts:
         held.append(np.unique(shingler.shingles(text), return_counts=True))
         size += len(held[-1][0])
-        if size >= AT_ONCE or len(held) >= 512:
+        if size >= AT_ONCE or len(held) >= 256:
             yield from batch(held)
             held, size = [], 0
     if held:
@@ -152,7 +155,9 @@ def signatures(text: Column) -> Column:
     def columns(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
         for part in parts:
-            yield pd.DataFrame(list(signed(part.tolist(), shingler)), columns=["n", "keys", "bits"])
+            texts = part.tolist()
+            for i in range(0, len(texts), HANDED):
+                yield pd.DataFrame(list(signed(texts[i : i + HANDED], shingler)), columns=["n", "keys", "bits"])
 
     return columns(text)
 
@@ -243,7 +248,7 @@ def node_classes(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataF
     rows = plain.select("node", signatures(F.col("text")).alias("s")).select("node", "s.*").filter(F.col("n") > 0)
     # equal texts have equal signatures, so any of them will do
     nodes = scratch.keep(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "keys", "bits"))), "nodes")
-    members = nodes.select("node", F.explode("keys").alias("key"))
+    members = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     shared = members.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > 1).select("key")
     buckets = scratch.keep(members.join(shared, "key"), "buckets")
     wanted = scratch.keep(buckets.select("node").distinct(), "wanted")
@@ -251,15 +256,17 @@ def node_classes(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataF
         return empty
     sizes = scratch.keep(nodes.select("node", "n", "bits").join(wanted, "node", "left_semi"), "sizes")
     scratch.drop(nodes)
-    texts = scratch.keep(plain.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    # merged at any size: the list of wanted nodes grows with the corpus
+    texts = scratch.keep(plain.join(wanted.hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
     checker = _Checker(scratch, texts, sizes)
     labels: DataFrame | None = None
 
-    def open_buckets() -> DataFrame:
-        """Members of the buckets that have several components: key, node, label."""
+    def open_buckets(bands: int = BANDS) -> DataFrame:
+        """Members of the buckets (of the first bands) that have several components: key, node, label."""
+        own = buckets.filter(F.col("band") < bands).drop("band")
         if labels is None:
-            return buckets.withColumn("label", F.col("node"))
-        labelled = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+            return own.withColumn("label", F.col("node"))
+        labelled = own.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
         several = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter(F.col("x") != F.col("y")).select("key")
         return labelled.join(several, "key")
 
@@ -276,10 +283,10 @@ def node_classes(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataF
         fresh = moved.join(labels.select(F.col("label")).distinct(), "label", "left_anti").select(F.col("label").alias("node"), F.col("new").alias("label"))
         return scratch.keep(kept.unionByName(fresh).distinct(), "joined")
 
-    for star in range(STARS):
-        members_now = open_buckets() if labels is None else scratch.keep(open_buckets(), "open")
+    for star, bands in enumerate(STARS):
+        members_now = open_buckets(bands) if labels is None else scratch.keep(open_buckets(bands), "open")
         if members_now.isEmpty():
-            return labels
+            continue
         order = F.struct(F.xxhash64("node", F.lit(star)).alias("o"), F.col("node"), F.col("label"))
         centres = members_now.groupBy("key").agg(F.min(order).alias("c"))
         pairs = members_now.join(centres, "key").filter(F.col("label") != F.col("c.label")).select(*_ordered("node", "c.node"))
