@@ -24,7 +24,9 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 
 #: Words whose encodings a worker keeps.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
+#: Texts whose tokens are handed over at once.
+HANDED = 256
 #: Longer words are encoded but not kept.
 CACHED_LENGTH = 64
 OUT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -86,7 +88,7 @@ class Vocabulary:
         """Whether the pair of tokens encodes to itself."""
         known = self.follows.get((left, right))
         if known is None:
-            if len(self.follows) >= 1_000_000:
+            if len(self.follows) >= 200_000:
                 self.follows.clear()
             known = self.follows[left, right] = self._merged(self.bytes[left] + self.bytes[right]) == [left, right]
         return known
@@ -172,7 +174,7 @@ class Encoder:
         for text in texts:
             held.append(text or "")
             size += len(held[-1])
-            if size >= 4_000_000:
+            if size >= 1_000_000:
                 yield from self._encoded(held)
                 held, size = [], 0
         yield from self._encoded(held)
@@ -212,6 +214,14 @@ def _encoder(digest: str, text: str) -> Encoder:
     return _kept[digest]
 
 
+def _pieces(parts: Iterator[pd.Series]) -> Iterator[list[str]]:
+    """The texts of Arrow batches in smaller lists, so that no batch's tokens are held together."""
+    for part in parts:
+        texts = part.tolist()
+        for i in range(0, len(texts), HANDED):
+            yield texts[i : i + HANDED]
+
+
 def tokenizer_path() -> str:
     """Where the production vocabulary lies."""
     import public_tokenizers
@@ -233,8 +243,9 @@ def token_digests(spark: SparkSession, text: Column, path: str | None = None) ->
     @F.pandas_udf(OUT)
     def digests(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(digest, held.value)
-        for part in parts:
-            yield pd.DataFrame(list(encoder.digests(part.tolist())), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        for piece in _pieces(parts):
+            yield pd.DataFrame(list(encoder.digests(piece)), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        encoder.words.clear()
 
     return digests(text)
 
@@ -246,8 +257,9 @@ def encode(spark: SparkSession, text: Column, path: str | None = None) -> Column
     @F.pandas_udf("array<int>")
     def ids(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = _encoder(digest, held.value)
-        for part in parts:
-            yield pd.Series([[int(i) for i in x.split(",")] if x else [] for x, _, _ in encoder.encoded(part.tolist())], dtype=object)
+        for piece in _pieces(parts):
+            yield pd.Series([[int(i) for i in x.split(",")] if x else [] for x, _, _ in encoder.encoded(piece)], dtype=object)
+        encoder.words.clear()
 
     return ids(text)
 
@@ -259,11 +271,12 @@ def tokenized(spark: SparkSession, text: Column, path: str | None = None) -> Col
     @F.pandas_udf("ids array<int>, n_tokens long, decoded_sha256 string")
     def tokens(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(digest, held.value)
-        for part in parts:
+        for piece in _pieces(parts):
             yield pd.DataFrame(
-                [(np.fromstring(ids, dtype=np.int32, sep=","), n, hashlib.sha256(raw.decode("utf-8", "replace").encode("utf-8")).hexdigest()) for ids, n, raw in encoder.encoded(part.tolist())],
+                [(np.fromstring(ids, dtype=np.int32, sep=","), n, hashlib.sha256(raw.decode("utf-8", "replace").encode("utf-8")).hexdigest()) for ids, n, raw in encoder.encoded(piece)],
                 columns=["ids", "n_tokens", "decoded_sha256"],
             )
+        encoder.words.clear()
 
     return tokens(text)
 

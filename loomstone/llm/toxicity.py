@@ -30,7 +30,7 @@ POSITIVE, NEGATIVE, FEATURES, FOLDS, LASSO, THRESHOLD = 4000, 8000, 600, 3, 1e-5
 #: Lengths of word beginnings, and documents of the sample that must have a feature.
 BEGINNINGS, LEAST_DOCS = (4, 5, 6), 3
 #: Words whose features a worker keeps.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 #: The chain of the production query: unusable text first, then toxic text.
 CATEGORIES = ("degraded", "toxic")
 
@@ -99,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, names: list[str], positive: int = PO
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     sample, weights = _sampled(docs, labels, names, positive, negative)
-    sample = scratch.keep(sample.repartition(16, F.md5("text")), "sample")  # bounded; spread by text
+    sample = scratch.keep(sample.repartition(48, F.md5("text")), "sample")  # bounded; spread by text
     total = sample.agg(F.count("*").alias("n"), *(F.sum(n).alias(n) for n in names)).first()
     n_rows = total["n"]
 
