@@ -37,7 +37,7 @@ BANDS, ROWS = 36, 7
 COMPONENTS = 257
 #: Rounds of checks against one node of a bucket before the pairwise ones: the bands that each round takes. Few bands
 #: join most of a large group, so that the later ones find it whole and needn't check its nodes again.
-STARS = (3, 9, 36)
+STARS = (2, 8, 36)
 #: Pairs whose signatures differ in more bits than this (of 252) have a similarity under about 0.47, many deviations below 0.8.
 MOST_BITS = 67
 #: Token hashes that a worker keeps.
@@ -196,24 +196,35 @@ def node_of(text: str) -> Column:
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     """(node, label) of every node of the links (a, b): label is the component's smallest node.
 
-    In each round a node takes the least label among its own and its neighbours', then its label's label, so that
-    long chains shorten by halves; rounds end when no label changes.
+    In each round a node takes its least neighbour's place, if that is smaller, and follows such steps to their end by
+    doubling; then links become links between places, and those within one place go. So links are read about once: a star
+    is done after the first round, and what is left shrinks fast.
     """
-    edges = scratch.keep(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = scratch.keep(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
-    while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        least = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        least = scratch.keep(least, "least")
-        jumped = least.join(least.select(F.col("node").alias("label"), F.col("label").alias("next")), "label").select("node", "old", F.least("label", "next").alias("label"))
-        new = scratch.keep(jumped, "labels")
-        changed = new.filter(F.col("old") != F.col("label")).limit(1).count()
-        scratch.drop(least)
-        scratch.drop(labels)
-        labels = new
-        if not changed:
-            scratch.drop(edges)
-            return labels.select("node", "label")
+    total: DataFrame | None = None
+    edges = scratch.keep(links.select("a", "b").filter("a <> b").distinct(), "edges")
+    while not edges.isEmpty():
+        both = edges.select(F.col("a").alias("node"), "b").unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("b")))
+        place = scratch.keep(both.groupBy("node").agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "place")
+        while True:
+            onward = place.select(F.col("node").alias("label"), F.col("label").alias("next"))
+            step = scratch.keep(place.join(onward, "label").select("node", "label", "next"), "step")
+            scratch.drop(place)
+            moved = not step.filter("label <> next").isEmpty()
+            place = scratch.keep(step.select("node", F.col("next").alias("label")), "place")
+            scratch.drop(step)
+            if not moved:
+                break
+        of = lambda c: place.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"))
+        between = edges.join(of("a"), "a").join(of("b"), "b").filter("l_a <> l_b").select(F.least("l_a", "l_b").alias("a"), F.greatest("l_a", "l_b").alias("b")).distinct()
+        left = scratch.keep(between, "edges")
+        scratch.drop(edges)
+        edges = left
+        if total is None:
+            total = place
+        else:
+            new = place.select(F.col("node").alias("label"), F.col("label").alias("new"))
+            total = scratch.keep(total.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+    return links.sparkSession.createDataFrame([], "node binary, label binary") if total is None else total
 
 
 class _Checker:
