@@ -34,11 +34,10 @@ def label_counts(postings: DataFrame, label: Column, pos: str = "pos") -> DataFr
 
 def skills_in(text: Column, taxonomy: Mapping[str, Sequence[str]]) -> Column:
     """Canonical skills (in the taxonomy's order) whose name or an alias stands in the text."""
-    found = []
-    spaced, collapsed = normalize_title(text), normalize(text)
-    for name, aliases in taxonomy.items():
-        found.append(F.when(F.size(matched_keywords(spaced, collapsed, [name, *aliases])) > 0, F.lit(name)))
-    return F.array_compact(F.array(*found))
+    # bound once, so that the text isn't normalised anew for each skill
+    forms = F.array(F.struct(normalize_title(text).alias("spaced"), normalize(text).alias("collapsed")))
+    named = lambda f: F.array_compact(F.array(*(F.when(F.size(matched_keywords(f["spaced"], f["collapsed"], [n, *a])) > 0, F.lit(n)) for n, a in taxonomy.items())))
+    return F.element_at(F.transform(forms, named), 1)
 
 
 def skill_mentions(corpus: DataFrame, text: Column, taxonomy: Mapping[str, Sequence[str]]) -> DataFrame:
