@@ -204,6 +204,13 @@ def _rows(rows, columns):
     return sorted(str(tuple(map(plain, r))) for r in rows[columns].astype(object).itertuples(index=False, name=None))
 
 
+def test_url_allow_list_judges_every_page(spark, tmp_path):
+    urls = ["https://ththon.example.com/a", "https://BLOG.tionble.example.com:443/", "https://ththon.example.com?x", "https://other.example.com/a", "https://xththon.example.com/", "http://ththon.example.com/", "https://u@ththon.example.com/", "", None]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r.allowed for r in catalog.queries()["url_allow_list"](spark, str(tmp_path)).collect()}
+    assert got == {i: i < 3 for i in range(len(urls))}
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables aren't here")
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_against_sql(spark, name):
