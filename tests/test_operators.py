@@ -1,6 +1,7 @@
 """Operators on small fixtures, and every registered query against its SQL."""
 
 import datetime as dt
+import hashlib
 import json
 import os
 
@@ -204,6 +205,13 @@ def _rows(rows, columns):
     return sorted(str(tuple(map(plain, r))) for r in rows[columns].astype(object).itertuples(index=False, name=None))
 
 
+def test_html_to_text_keeps_every_page(spark, tmp_path):
+    pages = {1: ("<p>it&#39;s &#x2014; &amp;#39;</p>", "it's — &#39;"), 2: ("a &lt; b", "a < b"), 3: ("<b>&#</b>", "&#"), 4: (None, None)}
+    spark.createDataFrame([(i, h) for i, (h, _) in pages.items()], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.text_sha256, r.n_chars) for r in catalog.queries()["html_to_text"](spark, str(tmp_path)).collect()}
+    assert got == {i: (hashlib.sha256((t or "").encode()).hexdigest(), t and len(t)) for i, (_, t) in pages.items()}
+
+
 def test_url_allow_list_judges_every_page(spark, tmp_path):
     urls = ["https://ththon.example.com/a", "https://BLOG.tionble.example.com:443/", "https://ththon.example.com?x", "https://other.example.com/a", "https://xththon.example.com/", "http://ththon.example.com/", "https://u@ththon.example.com/", "", None]
     spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
