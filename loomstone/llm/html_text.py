@@ -5,8 +5,9 @@ counted in Spark by host and page: a subtree that recurs on many pages of its ho
 its text is deleted. What an article and its page's frame have in common elsewhere is told apart by place: subtrees
 outside an ``article`` or ``main`` element are template from ``LEAST_PAGES`` pages and ``LEAST_SHARE`` of the host's
 pages on, those inside only from ``INNER_PAGES`` and ``INNER_SHARE`` on, as passages recur in articles too, and never a
-subtree that holds most of its page's text. Elements that are never article text (menus, forms, scripts, ...) are left
-out by name, role or class before.
+subtree that holds most of its page's text (inside, of its page's text in articles). Only after that, articles decide
+between what is left: where they hold half of it or more, the rest goes. Elements that are never article text (menus,
+forms, scripts, ...) are left out by name, role or class before.
 
 Counts are summed before they are shuffled, and only pages with a template subtree are joined with their list, so
 a host that holds a third of all pages makes no large group.
@@ -145,13 +146,12 @@ class PageParser(HTMLParser):
     def result(self) -> list[tuple[str, list[int], bool]]:
         """(text, hashes of the subtrees that hold it, inside an article) in page order.
 
-        Only the text in articles, if there is any. Subtrees with most of the page's text have no hash here.
+        Subtrees with most of the page's text, for text in articles most of that, have no hash here.
         """
         self.flush()
         self.shut(1)
-        blocks = [b for b in self.blocks if b[2]] or self.blocks
-        most = sum(len(t) for t, _, _ in blocks) / 2
-        return [(text, [e.value for e in path if e.chars < most and e.tag not in ROOTS], inside) for text, path, inside in blocks]
+        most = {i: sum(len(t) for t, _, inside in self.blocks if inside or not i) / 2 for i in (False, True)}
+        return [(text, [e.value for e in path if e.chars < most[inside] and e.tag not in ROOTS], inside) for text, path, inside in self.blocks]
 
 
 def parsed(html: str | None) -> list[tuple[str, list[int], bool]]:
@@ -197,6 +197,13 @@ def templates(pages: DataFrame) -> DataFrame:
     return counts.join(sizes, "host").filter(F.col("n") >= least).select("host", "hash", "inside")
 
 
+def _in_articles(blocks: Column) -> Column:
+    """Those of a page's blocks that stand in articles, if they hold half of the text or more; all blocks otherwise."""
+    chars = lambda some: F.aggregate(some, F.lit(0), lambda n, b: n + F.length(b["text"]))
+    inside = F.filter(blocks, lambda b: b["inside"])
+    return F.when(2 * chars(inside) >= chars(blocks), inside).otherwise(blocks)
+
+
 def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """The table without its HTML, with ``text``, the main text of each page (empty if none). Rows are kept one to one.
 
@@ -209,10 +216,12 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame
     flagged = scratch.keep(templates(found), "templates")
     each = found.select("key", "host", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: F.transform(b["path"], lambda h: F.struct(h.alias("hash"), b["inside"].alias("inside"))))))).alias("e")).select("key", "host", "e.*")
     # written first, so that its size is known: few lists are broadcast, within Spark's threshold, and no text is shuffled
-    lists = scratch.keep(each.join(flagged, ["host", "hash", "inside"]).groupBy("key").agg(F.collect_set("hash").alias("template")), "lists")
+    by_place = (F.collect_set(F.when(F.col("inside") == i, F.col("hash"))).alias(name) for i, name in ((True, "inner"), (False, "outer")))
+    lists = scratch.keep(each.join(flagged, ["host", "hash", "inside"]).groupBy("key").agg(*by_place), "lists")
     joined = found.join(lists, "key", "left")
-    clean = F.expr("filter(blocks, b -> template is null or not arrays_overlap(b.path, template))")
-    return joined.select(*(F.col(f"`{c}`") for c in kept), F.array_join(F.transform(clean, lambda b: b["text"]), " ").alias("text"))
+    clean = F.expr("filter(blocks, b -> inner is null or not arrays_overlap(b.path, if(b.inside, inner, outer)))")
+    texts = joined.select(*(F.col(f"`{c}`") for c in kept), _in_articles(clean).alias("__blocks"))
+    return texts.select(*(F.col(f"`{c}`") for c in kept), F.array_join(F.transform("__blocks", lambda b: b["text"]), " ").alias("text"))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

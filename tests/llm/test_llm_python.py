@@ -125,6 +125,16 @@ def test_templates_go_and_articles_stay(spark):
     assert texts_of(spark, []) == {}
 
 
+def test_text_beside_an_article_stays(spark):
+    main = "the main text number {i} is long, and it stands in a block beside the card " + "{i} " * 20
+    page = "<div><p>one frame for all</p></div><div><p>" + main + "</p></div><article><p>card {i}</p></article>"
+    got = texts_of(spark, [(i, "https://a.example/", page.format(i=i), None) for i in range(6)])
+    assert got == {i: " ".join(main.format(i=i).split()) + f" card {i}" for i in range(6)}
+    framed = "<div><p>one frame for all</p></div><div><p>other {i}</p></div><article><p>" + main + "</p></article>"
+    got = texts_of(spark, [(i, "https://a.example/", framed.format(i=i), None) for i in range(6)])
+    assert got == {i: " ".join(main.format(i=i).split()) for i in range(6)}
+
+
 def test_broken_and_deep_markup():
     assert html_text.parsed("<div>" * 3000 + "x")[0][0] == "x"
     assert [t for t, _, _ in html_text.parsed("<p>a</b></p></p><table><tr><td>b<td>c<tr><td>d")] == ["a", "b", "c", "d"]
