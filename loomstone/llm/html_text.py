@@ -1,7 +1,7 @@
 """Main text of web pages, with site templates removed.
 
 Every page is parsed once, into blocks of text with the hashes of the element subtrees that hold them. The hashes are
-counted in Spark by host and page: a subtree that recurs on many pages of its host is part of the site's template, and
+counted in Spark by host and page, copies of a page as one: a subtree that recurs on many pages of its host is part of the site's template, and
 its text is deleted. What an article and its page's frame have in common elsewhere is told apart by place: subtrees
 outside an ``article`` or ``main`` element are template from ``LEAST_PAGES`` pages and ``LEAST_SHARE`` of the host's
 pages on, those inside only from ``INNER_PAGES`` and ``INNER_SHARE`` on, as passages recur in articles too, and never a
@@ -185,14 +185,19 @@ def blocks_of(html: Column) -> Column:
     return blocks(html)
 
 
+def content_of(blocks: Column) -> Column:
+    """Digest of the texts of a page's blocks; copies of a page have the same, whatever their markup."""
+    return F.xxhash64(F.transform(blocks, lambda b: b["text"]))
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """Subtrees that are part of their host's template: host, hash, inside.
 
-    pages: a row per page with host and blocks.
+    pages: a row per page with host, blocks and content. Pages of a host with the same content count once.
     """
-    held = pages.select("host", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: F.transform(b["path"], lambda h: F.struct(h.alias("hash"), b["inside"].alias("inside"))))))).alias("e"))
-    counts = held.groupBy("host", "e.hash", "e.inside").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_PAGES)
-    sizes = pages.groupBy("host").agg(F.count("*").alias("n_pages"))
+    held = pages.select("host", "content", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: F.transform(b["path"], lambda h: F.struct(h.alias("hash"), b["inside"].alias("inside"))))))).alias("e"))
+    counts = held.groupBy("host", "e.hash", "e.inside").agg(F.countDistinct("content").alias("n")).filter(F.col("n") >= LEAST_PAGES)
+    sizes = pages.groupBy("host").agg(F.countDistinct("content").alias("n_pages"))
     least = F.when(F.col("inside"), F.greatest(F.lit(float(INNER_PAGES)), F.col("n_pages") * INNER_SHARE)).otherwise(F.col("n_pages") * LEAST_SHARE)
     return counts.join(sizes, "host").filter(F.col("n") >= least).select("host", "hash", "inside")
 
@@ -213,7 +218,7 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame
     kept = [c for c in pages.columns if c not in (html, "text", "blocks", "host", "key")]
     key = F.md5(F.encode(F.concat_ws("\n", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in (url, html))), "UTF-8"))
     found = scratch.keep(pages.select(*(F.col(f"`{c}`") for c in kept), host_of(F.col(url)).alias("host"), key.alias("key"), blocks_of(F.col(html)).alias("blocks")), "blocks")
-    flagged = scratch.keep(templates(found), "templates")
+    flagged = scratch.keep(templates(found.select("host", "blocks", content_of(F.col("blocks")).alias("content"))), "templates")
     each = found.select("key", "host", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: F.transform(b["path"], lambda h: F.struct(h.alias("hash"), b["inside"].alias("inside"))))))).alias("e")).select("key", "host", "e.*")
     # written first, so that its size is known: few lists are broadcast, within Spark's threshold, and no text is shuffled
     by_place = (F.collect_set(F.when(F.col("inside") == i, F.col("hash"))).alias(name) for i, name in ((True, "inner"), (False, "outer")))

@@ -135,6 +135,17 @@ def test_text_beside_an_article_stays(spark):
     assert got == {i: " ".join(main.format(i=i).split()) for i in range(6)}
 
 
+def test_copies_of_a_page_count_once(spark):
+    page = "<{tag}><p>the first paragraph</p><p>the second paragraph</p><p>and a third</p></{tag}>"
+    text = "the first paragraph the second paragraph and a third"
+    for tag in ("div", "article"):
+        copies = [(i, "https://a.example/", page.format(tag=tag), None) for i in range(12)]
+        other = [(100, "https://a.example/", f"<{tag}><p>one page of its own</p></{tag}>", None)]
+        assert texts_of(spark, copies + other) == {i: text for i in range(12)} | {100: "one page of its own"}
+    wrapped = [(i, "https://a.example/", "<div>" * i + page.format(tag="section"), None) for i in range(4)]
+    assert texts_of(spark, wrapped) == {i: text for i in range(4)}
+
+
 def test_broken_and_deep_markup():
     assert html_text.parsed("<div>" * 3000 + "x")[0][0] == "x"
     assert [t for t, _, _ in html_text.parsed("<p>a</b></p></p><table><tr><td>b<td>c<tr><td>d")] == ["a", "b", "c", "d"]
