@@ -7,7 +7,8 @@ outside an ``article`` or ``main`` element are template from ``LEAST_PAGES`` pag
 pages on, those inside only from ``INNER_PAGES`` and ``INNER_SHARE`` on, as passages recur in articles too, and never a
 subtree that holds most of its page's text (inside, of its page's text in articles). Only after that, articles decide
 between what is left: where they hold half of it or more, the rest goes. Elements that are never article text (menus,
-forms, scripts, ...) are left out by name, role or class before.
+forms, scripts, ...) are left out by name, role or class before; a class or id counts for nothing on an element that
+holds an article or, on a page without one, most of the page's text.
 
 Counts are summed before they are shuffled, and only pages with a template subtree are joined with their list, so
 a host that holds a third of all pages makes no large group.
@@ -49,19 +50,26 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECAS
 
 
 class _Element:
-    __slots__ = ("chars", "inside", "off", "parts", "tag", "value")
+    __slots__ = ("article", "chars", "dim", "hidden", "holds", "inside", "named", "off", "parts", "tag", "value")
 
-    def __init__(self, tag: str, off: bool, inside: bool) -> None:
+    def __init__(self, tag: str, off: bool, inside: bool, dim: bool = False, named: int | None = None, article: bool = False) -> None:
         self.tag, self.off, self.inside = tag, off, inside
+        self.dim, self.named, self.article = dim, named, article  # in an element that its names leave out; this one's number if it has such names
         self.parts: list[str] = [tag]
-        self.chars = self.value = 0
+        self.chars = self.value = self.hidden = 0  # hidden: characters that names leave out
+        self.holds = 0  # 1: articles with such names only, 3: one without
 
 
 class PageParser(HTMLParser):
-    """Blocks of a page: text, the block elements that hold it, and whether it stands in an article."""
+    """Blocks of a page: text, the block elements that hold it, and whether it stands in an article.
 
-    def __init__(self) -> None:
+    spared: numbers of elements that are not left out whatever their class and id (see ``wrongly_named``).
+    """
+
+    def __init__(self, spared: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
+        self.spared, self.n_named = spared, 0
+        self.shut_named: list[_Element] = []
         self.blocks: list[tuple[str, tuple[_Element, ...], bool]] = []
         self.stack = [_Element("", False, False)]
         self.held: list[str] = []
@@ -84,6 +92,12 @@ class PageParser(HTMLParser):
                 self.flush()
             e = self.stack.pop()
             e.value = xxhash.xxh3_64_intdigest("\x1f".join(e.parts)) - (1 << 63)
+            if e.named is not None:
+                self.shut_named.append(e)
+            self.stack[-1].hidden += e.hidden
+            if e.article and not e.off:
+                e.holds |= 3 if e.named is None else 1
+            self.stack[-1].holds |= e.holds
             self.stack[-1].parts += e.parts if e.tag in INLINE else [f"\x1e{e.value}"]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -110,22 +124,24 @@ class PageParser(HTMLParser):
         if tag in VOID:
             return
         top = stack[-1]
-        off, inside = top.off or tag in NEVER or (tag == "header" and not top.inside), top.inside or tag in ROOTS
+        off, article, in_body, named = top.off or tag in NEVER or (tag == "header" and not top.inside), tag in ROOTS, False, False
         for name, value in attrs:
             if name == "hidden":
                 off = True
             elif value and name == "role":
                 off = off or value.lower() in NOT_TEXT_ROLES
-                inside = inside or value.lower() in ROOTS
+                article = article or value.lower() in ROOTS
             elif value and name == "itemprop":
-                inside = inside or value == "articleBody"
+                in_body = value == "articleBody"
             elif value and name in ("class", "id"):
                 # a page, an article or a heading may be named for what it has beside it
                 if tag not in ("html", "body", "main", "h1") and not (tag == "article" and name == "id"):
-                    off = off or any(n.lower() in NOT_TEXT_NAMES for n in _NAMES.findall(value))
+                    named = named or any(n.lower() in NOT_TEXT_NAMES for n in _NAMES.findall(value))
             elif value and ((name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value))):
                 off = True
-        stack.append(_Element(tag, off, inside))
+        number = self.n_named if named else None
+        self.n_named += named
+        stack.append(_Element(tag, off, top.inside or article or in_body, top.dim or (named and number not in self.spared), number, article))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # outside of XML the slash has no sense
@@ -140,9 +156,27 @@ class PageParser(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        if not self.stack[-1].off:
+        top = self.stack[-1]
+        if top.dim and not top.off:
+            top.hidden += len(" ".join(data.split()))
+        elif not top.off:
             self.held.append(data)
 
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        at = super().parse_comment(i, report)
+        return at if at >= 0 else len(self.rawdata)  # never closed, as a page is fed at once: it hides the rest
+
+    def wrongly_named(self) -> frozenset[int]:
+        """Numbers of the elements with names that hold an article or, on a page without one, most of the page's text.
+
+        Articles with such names themselves count where the page has no other. Beside an article, an advert or comments
+        may well be longer than it.
+        """
+        self.flush()
+        self.shut(1)
+        page = self.stack[0]
+        return frozenset(e.named for e in self.shut_named if (e.holds == page.holds if page.holds else e.chars + e.hidden > (page.chars + page.hidden) / 2))
+
     def result(self) -> list[tuple[str, list[int], bool]]:
         """(text, hashes of the subtrees that hold it, inside an article) in page order.
 
@@ -158,11 +192,13 @@ def parsed(html: str | None) -> list[tuple[str, list[int], bool]]:
     """Blocks of a page; null and empty pages have none."""
     if not html:
         return []
-    if (at := html.rfind("<!--")) >= 0 and "-->" not in html[at:]:
-        html = html[:at]  # a comment that is never closed hides the rest
     p = PageParser()
     p.feed(html)
     p.close()
+    if spared := p.wrongly_named():
+        p = PageParser(spared)
+        p.feed(html)
+        p.close()
     return p.result()
 
 
