@@ -3,7 +3,7 @@
 Three base kinds of candidates are found by pattern: ``assign`` (a keyword, a sign and a value), ``access`` (key ids)
 and ``hex`` (long hexadecimal runs). A fourth kind, ``opaque``, is a long run of letters of both cases and digits that
 no base span touches. The SHA-256 of every candidate's value is then counted over the whole corpus by distinct
-documents (which stand for repositories) and distinct owners (sources): a value that ``COPIED_OWNERS`` owners or more
+documents (which stand for repositories) and distinct owners (sources). Owners alone decide: a value that ``COPIED_OWNERS`` owners or more
 have is a widely copied example, every other is owner-specific and counts as live. Base spans always stay, with their
 class; opaque spans are added where their value is live.
 
@@ -74,12 +74,11 @@ def identity(key: str, text: str) -> Column:
 def ownership(found: DataFrame, owner: str = "owner") -> DataFrame:
     """Documents and owners of each candidate value: hash, n_docs, n_owners.
 
-    found: a row per document with its spans and owner. Counts by value and owner are summed before the shuffle, so a
-    value that a third of all documents hold makes no large group.
+    found: a row per document with its id, spans and owner; repeated rows are one document. What is counted is made
+    distinct before the shuffle by value, so a value that a third of all documents hold makes no large group.
     """
-    each = found.select(F.coalesce(F.col(owner), F.lit("")).alias("owner"), F.explode(F.array_distinct(F.transform("spans", lambda s: s["hash"]))).alias("hash"))
-    by_owner = each.groupBy("hash", "owner").agg(F.count("*").alias("n"))
-    return by_owner.groupBy("hash").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_owners"))
+    each = found.select("id", F.coalesce(F.col(owner), F.lit("")).alias("owner"), F.explode(F.array_distinct(F.transform("spans", lambda s: s["hash"]))).alias("hash"))
+    return each.groupBy("hash").agg(F.countDistinct("id").alias("n_docs"), F.countDistinct("owner").alias("n_owners"))
 
 
 def copied_values(found: DataFrame, least: int = COPIED_OWNERS) -> DataFrame:

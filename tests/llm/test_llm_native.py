@@ -142,6 +142,12 @@ def test_next_documents_in_a_circle(spark):
 # --- secrets
 
 
+def test_ownership_counts_distinct_documents(spark):
+    rows = [("d1", "a", "v"), ("d1", "a", "v"), ("d2", "a", "v"), ("d3", "b", "v"), ("d4", None, "w"), ("d4", None, "w")]
+    found = spark.createDataFrame([(i, o, [(0, 0, 6, h)]) for i, o, h in rows], f"id string, owner string, spans array<{secret_scan.SPAN}>")
+    assert {r.hash: (r.n_docs, r.n_owners) for r in secret_scan.ownership(found).collect()} == {"v": (3, 2), "w": (1, 1)}
+
+
 def brute_spans(text):
     found = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.IGNORECASE | re.ASCII):
