@@ -212,6 +212,15 @@ def test_html_to_text_keeps_every_page(spark, tmp_path):
     assert got == {i: (hashlib.sha256((t or "").encode()).hexdigest(), t and len(t)) for i, (_, t) in pages.items()}
 
 
+def test_evidence_and_suppliers_are_read_whole(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "b"), (4, "a"), (9, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = catalog.queries()["evidence_join"](spark, str(tmp_path)).collect()
+    assert sorted((r.id, r.competency) for r in got) == [(1, 4), (2, 2), (4, 4)]
+    spark.createDataFrame([(n,) for n in range(4)], "n_nationkey int").write.parquet(str(tmp_path / "nation.parquet"))
+    spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "s_suppkey long, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    assert sorted(r.n_nationkey for r in catalog.queries()["variant_except"](spark, str(tmp_path)).collect()) == [2, 3]
+
+
 def test_url_allow_list_judges_every_page(spark, tmp_path):
     urls = ["https://ththon.example.com/a", "https://BLOG.tionble.example.com:443/", "https://ththon.example.com?x", "https://other.example.com/a", "https://xththon.example.com/", "http://ththon.example.com/", "https://u@ththon.example.com/", "", None]
     spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
