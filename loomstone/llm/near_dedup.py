@@ -5,7 +5,9 @@ the logarithm of their number. ProbMinHash draws for each shingle a Poisson proc
 that fall on the signature's components without replacement; a component keeps the shingle that arrives first, and a
 shingle's process ends as soon as it is later than every component's first arrival. Two signatures agree in a component
 with the probability Jaccard of the weighted shingles. Components are cut into ``BANDS`` of ``ROWS``; nodes that agree
-in a whole band share a bucket.
+in a whole band share a bucket. Links go by the shingle sets, which the number of repetitions doesn't change; so texts
+with repeated shingles have a second signature, of weights of one, whose bands are used besides and whose bits are used
+instead. Of a text without any, the two are the same.
 
 Within a bucket no pair list is made: each node is checked against one node of the bucket (for a few bands first, then
 for more as ``STARS`` tells, against another one each time, and only where the bucket still has several components), and
@@ -31,7 +33,7 @@ from .scratch import Scratch
 
 #: Words of a shingle, and the least similarity of near-duplicates.
 WORDS, ALIKE = 5, 0.8
-#: Pairs at 0.8 share a band with a probability of 1 - (1 - 0.8**7)**36 > 0.9997.
+#: Pairs at 0.8 share a band of the signatures without counts with a probability of 1 - (1 - 0.8**7)**36 > 0.9997.
 BANDS, ROWS = 36, 7
 #: Components: a prime, so that any step visits all of them; those beyond the bands are not used.
 COMPONENTS = 257
@@ -121,7 +123,11 @@ def sign(hashes: np.ndarray, weights: np.ndarray, document: np.ndarray, n_docume
 
 
 def signed(texts: list[str | None], shingler: Shingler) -> Iterator[tuple[int, list[int], list[int]]]:
-    """For each text: number of distinct shingles, a key for each band (none without shingles), and a bit of each component in longs."""
+    """For each text: number of distinct shingles, a key for each band (none without shingles), and a bit of each component in longs.
+
+    Keys and bits are those of the signature without counts; after them, texts with repeated shingles have the keys of
+    the weighted signature, null where it is the same.
+    """
     band = _mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
     odd = _mixed(np.arange(101, 101 + ROWS, dtype=np.uint64)) | np.uint64(1)
 
@@ -129,13 +135,19 @@ def signed(texts: list[str | None], shingler: Shingler) -> Iterator[tuple[int, l
         sizes = np.array([len(h) for h, _ in parts])
         hashes = np.concatenate([h for h, _ in parts])
         weights = 1 + np.log2(np.concatenate([c for _, c in parts]).astype(float))
-        s = sign(hashes, weights, np.repeat(np.arange(len(parts)), sizes), len(parts))
-        keys = _mixed((s.reshape(-1, BANDS, ROWS) * odd).sum(2, dtype=np.uint64) ^ band).view(np.int64)
+        document = np.repeat(np.arange(len(parts)), sizes)
+        s = sign(hashes, np.ones(len(hashes)), document, len(parts))
+        key = lambda x: _mixed((x.reshape(-1, BANDS, ROWS) * odd).sum(2, dtype=np.uint64) ^ band).view(np.int64)
+        keys = key(s)
+        repeats = np.unique(document[weights > 1])
+        own = np.isin(document, repeats)
+        counted = dict(zip(repeats.tolist(), key(sign(hashes[own], weights[own], np.searchsorted(repeats, document[own]), len(repeats))), strict=True)) if len(repeats) else {}
         bits = np.zeros((len(parts), 256), np.uint8)
         bits[:, : BANDS * ROWS] = (s >> np.uint64(17)) & np.uint64(1)
         longs = np.packbits(bits, axis=1).view(np.int64)
         for i, n in enumerate(sizes.tolist()):
-            yield n, keys[i].tolist() if n else [], longs[i].tolist()
+            more = [None if same else k for k, same in zip(counted[i].tolist(), (counted[i] == keys[i]).tolist(), strict=True)] if i in counted else []
+            yield n, keys[i].tolist() + more if n else [], longs[i].tolist()
 
     held, size = [], 0
     for text in texts:
@@ -259,7 +271,7 @@ def node_classes(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataF
     rows = plain.select("node", signatures(F.col("text")).alias("s")).select("node", "s.*").filter(F.col("n") > 0)
     # equal texts have equal signatures, so any of them will do
     nodes = scratch.keep(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "keys", "bits"))), "nodes")
-    members = nodes.select("node", F.posexplode("keys").alias("band", "key"))
+    members = nodes.select("node", F.posexplode("keys").alias("band", "key")).filter("key is not null").withColumn("band", F.col("band") % BANDS)
     shared = members.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > 1).select("key")
     buckets = scratch.keep(members.join(shared, "key"), "buckets")
     wanted = scratch.keep(buckets.select("node").distinct(), "wanted")

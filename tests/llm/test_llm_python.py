@@ -280,6 +280,15 @@ def test_near_duplicate_classes(spark, seed):
     assert sorted(r.doc_id for r in kept) == sorted({c for _, c in brute_classes(rows)})
 
 
+def test_repetitions_hide_no_near_duplicates(spark):
+    rows = []
+    for i in range(16):
+        line, rest = " ".join(f"l{i}x{j}" for j in range(10)), " ".join(f"r{i}x{j}" for j in range(16))
+        rows += [(2 * i, f"{line} {line} {rest}"), (2 * i + 1, " ".join([line] * 51) + f" {rest}")]
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.key, r.class_id) for r in got) == brute_classes(rows) == [(i, i // 2 * 2) for i in range(32)]
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_dedup.classes(df).count() == near_dedup.deduplicate(df).count() == 0
