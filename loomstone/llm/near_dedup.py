@@ -6,17 +6,19 @@ that fall on the signature's components without replacement; a component keeps t
 shingle's process ends as soon as it is later than every component's first arrival. Two signatures agree in a component
 with the probability Jaccard of the weighted shingles. Components are cut into ``BANDS`` of ``ROWS``; nodes that agree
 in a whole band share a bucket. Links go by the shingle sets, which the number of repetitions doesn't change; so texts
-with repeated shingles have a second signature, of weights of one, whose bands are used besides and whose bits are used
-instead. Of a text without any, the two are the same.
-
-Within a bucket no pair list is made: each node is checked against one node of the bucket (for a few bands first, then
-for more as ``STARS`` tells, against another one each time, and only where the bucket still has several components), and
-components are joined where the checked pair is alike. What then still lies in different components of a bucket is checked pair by pair, unless the set sizes or the
-signatures' bits already exclude it. The check itself is exact: the Jaccard similarity of the two texts' shingle sets,
-``ALIKE`` or more. So every link between texts that share a bucket is found or lies within a component already.
-
-Hot buckets, components and texts are only ever keys of counts and minima, which are combined before the shuffle, and of
-equi-joins that Spark may split.
+with repeated shingles have a second signature, of weights of one, whose bands are used besides. Of a text without any,
+the two are the same.
+
+Every pair of texts that share a bucket is either checked, or excluded by a bound that can't be wrong, or lies within one
+component already; the check is exact: the Jaccard similarity of the two texts' shingle sets, ``ALIKE`` or more. No pair
+list of a group is made. In each of a few rounds every node is checked against one hub only: of the most popular members
+of its buckets (those that share most buckets with others, which in a group of copies is the text that they come from)
+the one that it shares most buckets with. Alike nodes are contracted to components, and only buckets with several of
+these go on, with other hubs. What then still lies in different components of a bucket is compared by ``parities``: bits
+that tell at least how many shingles two sets differ in, and so exclude nearly all pairs that aren't links, and no link.
+
+Hot buckets, components and texts are only ever keys of counts, minima and maxima, which are combined before the shuffle,
+and of equi-joins that Spark may split.
 """
 
 from __future__ import annotations
@@ -37,13 +39,12 @@ WORDS, ALIKE = 5, 0.8
 BANDS, ROWS = 36, 7
 #: Components: a prime, so that any step visits all of them; those beyond the bands are not used.
 COMPONENTS = 257
-#: Rounds of checks against one node of a bucket before the pairwise ones: the bands that each round takes. Few bands
-#: join most of a large group, so that the later ones find it whole and needn't check its nodes again.
-STARS = (2, 8, 36)
-#: Pairs whose signatures differ in more bits than this (of 252) have a similarity under about 0.47, many deviations below 0.8.
-MOST_BITS = 67
-#: Token hashes that a worker keeps.
-CACHED_TOKENS = 120_000
+#: Rounds of checks against hubs, at most; the last one finds what they have left whatever their number.
+ROUNDS = 4
+#: Parity bits of a text are twice its shingles, rounded up to a power of two, and this at least.
+LEAST_PARITIES = 256
+#: Words whose shingles are hashed at once, and bytes of a word that are hashed with its neighbours' (a longer one's digest is).
+WINDOW, LONGEST_WORD = 16384, 1024
 #: Signatures that are handed over at once.
 HANDED = 1024
 #: Shingles that are signed at once.
@@ -59,41 +60,55 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Tokens(dict):
-    """Token to its 64-bit hash."""
-
-    def __missing__(self, token: str) -> int:
-        if len(self) >= CACHED_TOKENS:
-            self.clear()
-        value = xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass"))
-        if len(token) <= 64:
-            self[token] = value
-        return value
-
-
 class Shingler:
-    """Hashes of the shingles of texts."""
+    """Hashes of the shingles of texts: polynomials of their bytes, all taken from one running sum of a text."""
 
     def __init__(self) -> None:
-        self.tokens = _Tokens()
+        self.letters = _mixed(np.arange(1, 257, dtype=np.uint64))
+        self.powers = self.inverses = np.ones(0, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        """Powers of an odd number and of its inverse modulo 2**64."""
+        if len(self.powers) < n:
+            n = 1 << max(16, (n - 1).bit_length())
+            self.powers, self.inverses = (np.cumprod(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)], dtype=np.uint64) for x in (_STEP, pow(_STEP, -1, 1 << 64)))
+
+    def _window(self, words: list[str], width: int) -> np.ndarray:
+        raw = np.frombuffer(" ".join(words).encode("utf-8", "surrogatepass"), np.uint8)
+        self._grow(len(raw) + 1)
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(self.letters[raw] * self.powers[: len(raw)], out=sums[1:])
+        ends = np.r_[np.flatnonzero(raw == 32), len(raw)]
+        starts = np.r_[0, ends[:-1] + 1][: len(ends) - width + 1]
+        return (sums[ends[width - 1 :]] - sums[starts]) * self.inverses[starts]
 
     def shingles(self, text: str | None) -> np.ndarray:
         """Hashes of all runs of WORDS words, repeated ones repeatedly; of a shorter text, one of all its words; of no words, none."""
         words = (text or "").split()
         if not words:
             return np.zeros(0, np.uint64)
-        h = np.fromiter(map(self.tokens.__getitem__, words), np.uint64, len(words))
-        width = min(WORDS, len(h))
-        out = np.full(len(h) - width + 1, width, np.uint64)
-        for i in range(width):
-            out = out * np.uint64(0x100000001B3 + 2 * i) + h[i : len(h) - width + 1 + i]
-        return _mixed(out)
+        if max(map(len, words)) > LONGEST_WORD:
+            words = [w if len(w) <= LONGEST_WORD else f"\x1f{xxhash.xxh3_128_hexdigest(w.encode('utf-8', 'surrogatepass'))}" for w in words]
+        width = min(WORDS, len(words))
+        parts = [self._window(words[i : i + WINDOW + width - 1], width) for i in range(0, len(words) - width + 1, WINDOW)]
+        return _mixed(np.concatenate(parts))
 
     def sets(self, text: str | None) -> np.ndarray:
         """The distinct hashes, sorted."""
         return np.unique(self.shingles(text))
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Bits, in longs: whether the number of the (distinct) hashes that fall on a bit's place is odd.
+
+    Each hash that only one of two sets has changes one bit, so the bits that differ are at most as many as those hashes.
+    The number of bits is a power of two, and the halves of the longer of two lists are added to fold it to the shorter's.
+    """
+    n = max(LEAST_PARITIES, 1 << (2 * len(hashes) - 1).bit_length() if len(hashes) else 0)
+    odd = np.bincount((hashes >> np.uint64(7)).astype(np.int64) & (n - 1), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sign(hashes: np.ndarray, weights: np.ndarray, document: np.ndarray, n_documents: int) -> np.ndarray:
     """ProbMinHash signatures: for each document (its distinct hashes with weights), the first shingle of each component.
 
@@ -123,10 +138,10 @@ def sign(hashes: np.ndarray, weights: np.ndarray, document: np.ndarray, n_docume
 
 
 def signed(texts: list[str | None], shingler: Shingler) -> Iterator[tuple[int, list[int], list[int]]]:
-    """For each text: number of distinct shingles, a key for each band (none without shingles), and a bit of each component in longs.
+    """For each text: number of distinct shingles, a key for each band (none without shingles), and their parities.
 
-    Keys and bits are those of the signature without counts; after them, texts with repeated shingles have the keys of
-    the weighted signature, null where it is the same.
+    Keys are those of the weighted signature; after them, texts with repeated shingles have the keys of the signature
+    without counts, null where it is the same.
     """
     band = _mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
     odd = _mixed(np.arange(101, 101 + ROWS, dtype=np.uint64)) | np.uint64(1)
@@ -136,18 +151,14 @@ def signed(texts: list[str | None], shingler: Shingler) -> Iterator[tuple[int, l
         hashes = np.concatenate([h for h, _ in parts])
         weights = 1 + np.log2(np.concatenate([c for _, c in parts]).astype(float))
         document = np.repeat(np.arange(len(parts)), sizes)
-        s = sign(hashes, np.ones(len(hashes)), document, len(parts))
         key = lambda x: _mixed((x.reshape(-1, BANDS, ROWS) * odd).sum(2, dtype=np.uint64) ^ band).view(np.int64)
-        keys = key(s)
+        keys = key(sign(hashes, weights, document, len(parts)))
         repeats = np.unique(document[weights > 1])
         own = np.isin(document, repeats)
-        counted = dict(zip(repeats.tolist(), key(sign(hashes[own], weights[own], np.searchsorted(repeats, document[own]), len(repeats))), strict=True)) if len(repeats) else {}
-        bits = np.zeros((len(parts), 256), np.uint8)
-        bits[:, : BANDS * ROWS] = (s >> np.uint64(17)) & np.uint64(1)
-        longs = np.packbits(bits, axis=1).view(np.int64)
+        plain = dict(zip(repeats.tolist(), key(sign(hashes[own], np.ones(own.sum()), np.searchsorted(repeats, document[own]), len(repeats))), strict=True)) if len(repeats) else {}
         for i, n in enumerate(sizes.tolist()):
-            more = [None if same else k for k, same in zip(counted[i].tolist(), (counted[i] == keys[i]).tolist(), strict=True)] if i in counted else []
-            yield n, keys[i].tolist() + more if n else [], longs[i].tolist()
+            more = [None if same else k for k, same in zip(plain[i].tolist(), (plain[i] == keys[i]).tolist(), strict=True)] if i in plain else []
+            yield n, keys[i].tolist() + more if n else [], parities(parts[i][0]).tolist()
 
     held, size = [], 0
     for text in texts:
@@ -161,15 +172,15 @@ def signed(texts: list[str | None], shingler: Shingler) -> Iterator[tuple[int, l
 
 
 def signatures(text: Column) -> Column:
-    """Struct of n, keys and bits for a text column."""
+    """Struct of n, keys and parities for a text column."""
 
-    @F.pandas_udf("n int, keys array<long>, bits array<long>")
+    @F.pandas_udf("n int, keys array<long>, parities array<long>")
     def columns(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
         for part in parts:
             texts = part.tolist()
             for i in range(0, len(texts), HANDED):
-                yield pd.DataFrame(list(signed(texts[i : i + HANDED], shingler)), columns=["n", "keys", "bits"])
+                yield pd.DataFrame(list(signed(texts[i : i + HANDED], shingler)), columns=["n", "keys", "parities"])
 
     return columns(text)
 
@@ -242,21 +253,20 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
 class _Checker:
     """Checks pairs of nodes once each."""
 
-    def __init__(self, scratch: Scratch, texts: DataFrame, sizes: DataFrame) -> None:
-        self.scratch, self.texts, self.sizes = scratch, texts, sizes
+    def __init__(self, scratch: Scratch, texts: DataFrame) -> None:
+        self.scratch, self.texts = scratch, texts
         self.checked: DataFrame | None = None
 
+    def fresh(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b), a < b, that were not checked before; other columns stay."""
+        return pairs if self.checked is None else pairs.join(self.checked, ["a", "b"], "left_anti")
+
     def alike(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b), a < b, that are alike and were not checked before."""
-        pairs = pairs.distinct()
-        if self.checked is not None:
-            pairs = pairs.join(self.checked, ["a", "b"], "left_anti")
-        n = lambda c: self.sizes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"))
-        sized = pairs.join(n("a"), "a").join(n("b"), "b").filter(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * ALIKE).select("a", "b")
-        sized = self.scratch.keep(sized, "pairs")
+        """The pairs (a, b), distinct and fresh, that are alike."""
+        pairs = self.scratch.keep(pairs, "pairs")
         text = lambda c: self.texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-        judged = sized.join(text("a"), "a").join(text("b"), "b").filter(similarity(F.col("text_a"), F.col("text_b")) >= ALIKE)
-        self.checked = sized if self.checked is None else self.checked.unionByName(sized)
+        judged = pairs.join(text("a"), "a").join(text("b"), "b").filter(similarity(F.col("text_a"), F.col("text_b")) >= ALIKE)
+        self.checked = pairs if self.checked is None else self.checked.unionByName(pairs)
         return self.scratch.keep(judged.select("a", "b"), "links")
 
 
@@ -264,39 +274,51 @@ def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _sizes_allow(x: str, y: str) -> Column:
+    return F.least(x, y) >= F.greatest(x, y) * ALIKE
+
+
+def may_be_alike(n: str, bits: str, n_2: str, bits_2: str) -> Column:
+    """Whether the sizes and parities of two sets (named columns) leave room for a similarity of ``ALIKE``: false only where there is none."""
+    folded = lambda x, y: f"if(size({x}) > size({y}), zip_with(slice({x}, 1, cast(size({x}) / 2 as int)), slice({x}, cast(size({x}) / 2 as int) + 1, cast(size({x}) / 2 as int)), (u, v) -> u ^ v), {x})"
+    differ = F.expr(f"aggregate(zip_with({folded(bits, bits_2)}, {folded(bits_2, bits)}, (u, v) -> bit_count(u ^ v)), 0, (s, u) -> s + u)")
+    # of two sets with a share s of their union in common, (1 - s) / (1 + s) of the sum of their sizes is in one only
+    return _sizes_allow(n, n_2) & (differ * (1 + ALIKE) <= (F.col(n) + F.col(n_2)) * (1 - ALIKE) + 1e-6)
+
+
 def node_classes(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
     """(node, label) of the nodes that are alike to another one; label is their class's smallest node."""
     empty = docs.sparkSession.createDataFrame([], "node binary, label binary")
     plain = docs.select(node_of(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = plain.select("node", signatures(F.col("text")).alias("s")).select("node", "s.*").filter(F.col("n") > 0)
     # equal texts have equal signatures, so any of them will do
-    nodes = scratch.keep(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "keys", "bits"))), "nodes")
-    members = nodes.select("node", F.posexplode("keys").alias("band", "key")).filter("key is not null").withColumn("band", F.col("band") % BANDS)
-    shared = members.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > 1).select("key")
-    buckets = scratch.keep(members.join(shared, "key"), "buckets")
-    wanted = scratch.keep(buckets.select("node").distinct(), "wanted")
+    nodes = scratch.keep(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "keys", "parities"))), "nodes")
+    members = nodes.select("node", "n", F.posexplode("keys").alias("band", "key")).filter("key is not null").drop("band")
+    shared = members.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > 1)
+    found = scratch.keep(members.join(shared, "key"), "shared")
+    # of each node with buckets: how many members they have
+    wanted = scratch.keep(found.groupBy("node").agg(F.sum("c").alias("popular")), "wanted")
     if wanted.isEmpty():
         return empty
-    sizes = scratch.keep(nodes.select("node", "n", "bits").join(wanted, "node", "left_semi"), "sizes")
+    buckets = scratch.keep(found.drop("c").join(wanted, "node"), "buckets")
+    scratch.drop(found)
+    bits = scratch.keep(nodes.select("node", "parities").join(wanted, "node", "left_semi"), "parities")
     scratch.drop(nodes)
-    # merged at any size: the list of wanted nodes grows with the corpus
-    texts = scratch.keep(plain.join(wanted.hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
-    checker = _Checker(scratch, texts, sizes)
+    # copies are combined before the shuffle; merged at any size: the list of wanted nodes grows with the corpus
+    texts = scratch.keep(plain.groupBy("node").agg(F.first("text").alias("text")).join(wanted.hint("merge"), "node", "left_semi"), "texts")
+    checker = _Checker(scratch, texts)
     labels: DataFrame | None = None
 
-    def open_buckets(bands: int = BANDS) -> DataFrame:
-        """Members of the buckets (of the first bands) that have several components: key, node, label."""
-        own = buckets.filter(F.col("band") < bands).drop("band")
+    def open_buckets() -> DataFrame:
+        """Members of the buckets that have several components: key, node, n, popular, label."""
         if labels is None:
-            return own.withColumn("label", F.col("node"))
-        labelled = own.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+            return buckets.withColumn("label", F.col("node"))
+        labelled = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         several = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter(F.col("x") != F.col("y")).select("key")
         return labelled.join(several, "key")
 
     def joined(links: DataFrame) -> DataFrame | None:
         """Labels after the links of a round."""
-        if links.isEmpty():
-            return labels
         if labels is None:
             return components(scratch, links)
         own = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"))
@@ -306,19 +328,26 @@ def node_classes(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataF
         fresh = moved.join(labels.select(F.col("label")).distinct(), "label", "left_anti").select(F.col("label").alias("node"), F.col("new").alias("label"))
         return scratch.keep(kept.unionByName(fresh).distinct(), "joined")
 
-    for star, bands in enumerate(STARS):
-        members_now = open_buckets(bands) if labels is None else scratch.keep(open_buckets(bands), "open")
-        if members_now.isEmpty():
-            continue
-        order = F.struct(F.xxhash64("node", F.lit(star)).alias("o"), F.col("node"), F.col("label"))
-        centres = members_now.groupBy("key").agg(F.min(order).alias("c"))
-        pairs = members_now.join(centres, "key").filter(F.col("label") != F.col("c.label")).select(*_ordered("node", "c.node"))
-        labels = joined(checker.alike(pairs))
-    rest = scratch.keep(open_buckets(), "open").join(sizes, "node")
+    used: DataFrame | None = None
+    for _ in range(ROUNDS):
+        now = scratch.keep(open_buckets(), "open")
+        others = now if used is None else now.join(used, "node", "left_anti")
+        hubs = scratch.keep(others.groupBy("key").agg(F.max(F.struct("popular", F.xxhash64("node").alias("o"), "node", "n", "label")).alias("hub")), "hubs")
+        met = now.join(hubs, "key").filter((F.col("label") != F.col("hub.label")) & _sizes_allow("n", "hub.n"))
+        each = met.groupBy("node", F.col("hub.node").alias("hub")).agg(F.count("*").alias("times"), F.max("hub.popular").alias("popular"))
+        best = checker.fresh(each.select("node", "hub", "times", "popular", *_ordered("node", "hub"))).groupBy("node").agg(F.max(F.struct("times", "popular", "a", "b")).alias("p"))
+        links = checker.alike(best.select("p.a", "p.b").distinct())
+        if links.isEmpty():
+            break
+        labels = joined(links)
+        now_used = hubs.select("hub.node").distinct()
+        used = now_used if used is None else used.unionByName(now_used).distinct()
+    rest = scratch.keep(open_buckets().select("key", "node", "n", "label").join(bits, "node"), "open")
     right = rest.select(*(F.col(c).alias(f"{c}_2") for c in rest.columns))
-    apart = F.expr("aggregate(zip_with(bits, bits_2, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-    near = (F.col("key") == F.col("key_2")) & (F.col("label") < F.col("label_2")) & (F.least("n", "n_2") >= F.greatest("n", "n_2") * ALIKE) & (apart <= MOST_BITS)
-    labels = joined(checker.alike(rest.join(right, near).select(*_ordered("node", "node_2"))))
+    near = (F.col("key") == F.col("key_2")) & (F.col("label") < F.col("label_2")) & may_be_alike("n", "parities", "n_2", "parities_2")
+    links = checker.alike(checker.fresh(rest.join(right, near).select(*_ordered("node", "node_2")).distinct()))
+    if not links.isEmpty():
+        labels = joined(links)
     return empty if labels is None else labels
 
 

@@ -229,8 +229,8 @@ def test_toxicity_edges(spark):
 
 
 def brute_classes(rows):
-    shingler = near_dedup.Shingler()
-    sets = [set(shingler.sets(t).tolist()) for _, t in rows]
+    words = [(t or "").split() for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
     label = list(range(len(rows)))
 
     def find(i):
@@ -296,6 +296,29 @@ def test_near_duplicates_of_nothing(spark):
     assert near_dedup.deduplicate(apart).count() == 2
 
 
+def test_shingles_are_told_apart_by_their_words_alone():
+    rng = random.Random(5)
+    words = [rng.choice(["a", "é", "日本", "x" * 1500, "y" * 1500, "ab", "b"]) for _ in range(40_000)]
+    tuples = list(zip(*(words[i:] for i in range(5)), strict=False))
+    hashes = near_dedup.Shingler().shingles("\n ".join(words)).tolist()
+    assert len(hashes) == len(tuples)
+    assert len(set(hashes)) == len(set(tuples)) == len(set(zip(hashes, tuples, strict=True)))
+
+
+def test_parities_exclude_no_link(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for n in [1, 5, 100, 127, 128, 129, 1000, 5000] * 12:
+        one = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        share = rng.choice([0.6, 0.85, 0.9, 0.95, 1])
+        other = np.unique(np.r_[one[: int(len(one) * share)], rng.integers(0, 1 << 63, int(n * (1 - share))).astype(np.uint64)])
+        both = len(np.intersect1d(one, other))
+        rows.append((len(one), near_dedup.parities(one).tolist(), len(other), near_dedup.parities(other).tolist(), both / (len(one) + len(other) - both)))
+    got = spark.createDataFrame(rows, "n int, p array<long>, n2 int, p2 array<long>, s double").withColumn("may", near_dedup.may_be_alike("n", "p", "n2", "p2")).collect()
+    assert all(r.may for r in got if r.s >= near_dedup.ALIKE)
+    assert not any(r.may for r in got if r.s < 0.7 and r.n >= 100)
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(3)
     a = {int(h): float(w) for h, w in zip(rng.integers(0, 2**63, 200), rng.integers(1, 5, 200), strict=True)}
