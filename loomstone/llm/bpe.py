@@ -7,14 +7,15 @@ So the distinct words of a batch go into a trie, whose nodes are prefixes; a dep
 each node the last tokens of its ancestors, and a prefix that many words share is worked out once.
 Words sorted by their bytes are visited in that order, and the path's states are a stack.
 
-The walk runs in Arrow batches on the executors; a worker keeps the words that it has encoded, up to
-``CACHED_WORDS``, and then starts afresh, so its memory is bounded.
+The walk runs in Arrow batches on the executors; a worker keeps the first ``CACHED_WORDS`` words that it has encoded,
+from task to task, and others for a batch only, so its memory is bounded.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +26,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 #: Words whose encodings a worker keeps.
 CACHED_WORDS = 200_000
-#: Texts whose tokens are handed over at once.
-HANDED = 256
+#: Pairs of tokens of which a worker keeps whether they encode to themselves.
+CACHED_PAIRS = 300_000
+#: Texts whose tokens are handed over at once, and characters whose words are encoded at once.
+HANDED, AT_ONCE = 256, 1_000_000
 #: Longer words are encoded but not kept.
 CACHED_LENGTH = 64
+NEVER = 1 << 60
 OUT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-# Fixed value: the byte-level split into words of this vocabulary.
-WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Fixed value: the byte-level split into words of this vocabulary. Words of letters come first: no other kind begins as they do.
+WORD = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts of these characters only: printable Latin ones up to U+024F, in which letters are ranges, and common dashes and quotes.
+_LATIN = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+LATIN_TEXT = f"[\\t\\n\\r\\x20-\\x7e{_LATIN}\u2013\u2014\u2018\u2019\u201c\u201d\u2026]*"
+LATIN_WORD = rf" ?[{_LATIN}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s0-9{_LATIN}]+|\s+(?!\S)|\s+"
 
 
 def _byte_letters() -> dict[str, int]:
@@ -41,6 +49,16 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class State:
+    """Where a walk over bytes is in the tokens: the tokens (length, id) that end here, longest first, and known next states by byte."""
+
+    __slots__ = ("ending", "next", "suffix")
+
+    def __init__(self, suffix: bytes, ending: list[tuple[int, int]]) -> None:
+        self.suffix, self.ending = suffix, ending
+        self.next: dict[int, State] = {}
+
+
 class Vocabulary:
     """A byte-level BPE vocabulary: tokens as bytes, merge ranks, special tokens."""
 
@@ -58,46 +76,87 @@ class Vocabulary:
         for rank, pair in enumerate(model["merges"]):
             a, b = map(as_bytes, pair.split(" ") if isinstance(pair, str) else pair)
             self.merges[self.ids[a], self.ids[b]] = rank, self.ids[a + b]
-        self.longest = max(map(len, self.ids))
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.follows: dict[tuple[int, int], bool] = {}
+        #: Of a token that is made by merging its own bytes: the two tokens merged last, and their rank.
+        self.parts: dict[int, tuple[int, int, int]] = {}
         #: Tokens that merges don't make from their own bytes never stand in an encoding.
-        self.made = {b: i for b, i in self.ids.items() if len(b) == 1 or self._merged(b) == [i]}
-        #: Bytes that some token ends with, by length; what no token ends with needs no longer look-back.
-        self.ends = {b[i:] for b in self.made for i in range(len(b))}
-
-    def _merged(self, word: bytes) -> list[int]:
-        """Encoding by merging the pair of least rank again and again (for short words: tokens and pairs of tokens)."""
-        out = [self.ids[word[i : i + 1]] for i in range(len(word))]
+        self.made = {b: i for b, i in self.ids.items() if len(b) == 1 or self._makes(b, i)}
+        #: Bytes that some token begins with; a state is the longest of them that a prefix ends with, and tells the tokens there.
+        self.begins = {b[:i] for b in self.made for i in range(1, len(b) + 1)}
+        self.states: dict[bytes, State] = {}
+        self.root = State(b"", [])
+        self.edges: tuple[dict[int, list[tuple[int, int]]], ...] = ({}, {})
+
+    def _makes(self, token: bytes, i: int) -> bool:
+        """Whether merging a token's bytes makes it: the pair of least rank is merged, leftmost first, again and again."""
+        out = [self.ids[token[k : k + 1]] for k in range(len(token))]
         while len(out) > 1:
-            best = min((self.merges.get(p, (1 << 60, 0)) for p in zip(out, out[1:], strict=False)), default=(1 << 60, 0))
-            if best[0] == 1 << 60:
-                break
-            joined, i = [], 0
-            while i < len(out):
-                if i + 1 < len(out) and self.merges.get((out[i], out[i + 1]), (None,))[0] == best[0]:
-                    joined.append(best[1])
-                    i += 2
-                else:
-                    joined.append(out[i])
-                    i += 1
-            out = joined
-        return out
+            rank, at = min((self.merges.get(p, (NEVER, 0))[0], k) for k, p in enumerate(zip(out, out[1:], strict=False)))
+            if rank == NEVER:
+                return False
+            pair = out[at], out[at + 1]
+            out[at : at + 2] = [self.merges[pair][1]]
+        self.parts[i] = *pair, rank
+        return out == [i]
+
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The tokens at a token's left (0) or right (1) end while it is made, from a byte to itself, each with the rank at which it is merged on."""
+        edge = self.edges[side].get(token)
+        if edge is None:
+            edge, at = [(token, NEVER)], token
+            while at in self.parts:
+                part = self.parts[at]
+                at = part[side]
+                edge.append((at, part[2]))
+            edge.reverse()
+            self.edges[side][token] = edge
+        return edge
 
     def may_follow(self, left: int, right: int) -> bool:
-        """Whether the pair of tokens encodes to itself."""
+        """Whether the pair of tokens encodes to itself: no merge across their border ever comes before those within them.
+
+        At each moment one token stands at each side of the border. Of equal ranks the merge further left comes first.
+        """
         known = self.follows.get((left, right))
         if known is None:
-            if len(self.follows) >= 200_000:
+            if len(self.follows) >= CACHED_PAIRS:
                 self.follows.clear()
-            known = self.follows[left, right] = self._merged(self.bytes[left] + self.bytes[right]) == [left, right]
+            a, b, i, j = self._edge(left, 1), self._edge(right, 0), 0, 0
+            while True:
+                (x, until_x), (y, until_y) = a[i], b[j]
+                across = self.merges.get((x, y))
+                if across is not None and across[0] < until_x and across[0] <= until_y:
+                    known = False
+                    break
+                if until_x == until_y == NEVER:
+                    known = True
+                    break
+                if until_x <= until_y:
+                    i += 1
+                else:
+                    j += 1
+            self.follows[left, right] = known
         return known
 
+    def _step(self, state: State, byte: int) -> State:
+        """The state after a byte; states are made when first met, as many as the tokens have beginnings at most."""
+        suffix = state.suffix + bytes((byte,))
+        while suffix not in self.begins:
+            suffix = suffix[1:]
+        found = self.states.get(suffix)
+        if found is None:
+            ending = [(len(suffix) - i, self.made[suffix[i:]]) for i in range(len(suffix)) if suffix[i:] in self.made]
+            found = self.states[suffix] = State(suffix, ending)
+        state.next[byte] = found
+        return found
+
     def encode_words(self, words: list[bytes]) -> Iterator[tuple[bytes, list[int]]]:
         """Each distinct word with its token ids, in the order of a depth-first walk over the words' trie."""
-        made, ends, may_follow = self.made, self.ends, self.may_follow
+        follows, may_follow, step = self.follows, self.may_follow, self._step
         last: list[int] = []  # of each prefix on the path: its last token,
-        size: list[int] = []  # and that token's length
+        size: list[int] = []  # that token's length,
+        states = [self.root]  # and, of the empty one too, the state
         before = b""
         for word in sorted(set(words)):
             shared, most = 0, min(len(before), len(word))
@@ -106,17 +165,19 @@ class Vocabulary:
             else:
                 while before[shared] == word[shared]:
                     shared += 1
-            del last[shared:], size[shared:]
-            for end in range(shared + 1, len(word) + 1):
-                token = n = 0
-                for start in range(end - 1, -1, -1):
-                    piece = word[start:end]
-                    if piece not in ends:
+            del last[shared:], size[shared:], states[shared + 1 :]
+            state = states[-1]
+            for byte in word[shared:]:
+                state = state.next.get(byte) or step(state, byte)
+                end = len(states)
+                for n, token in state.ending:  # one only may follow; long ones are likelier
+                    if n == end:
                         break
-                    found = made.get(piece)
-                    if found is not None and (start == 0 or may_follow(last[start - 1], found)):
-                        token, n = found, end - start
+                    pair = last[end - n - 1], token
+                    known = follows.get(pair)
+                    if may_follow(*pair) if known is None else known:
                         break
+                states.append(state)
                 last.append(token)
                 size.append(n)
             ids, at = [], len(word)
@@ -129,12 +190,17 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes and decodes texts with a vocabulary, keeping the words that it has met."""
+    """Encodes and decodes texts with a vocabulary, keeping words that it has met."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
-        self.words: dict[str, tuple[str, int, bytes]] = {}
-        self.find = regex.compile(WORD).findall
+        self.words: dict[str, str] = {}  # word to ids in decimal, joined by commas
+        self.bytes = {str(i): b for i, b in vocabulary.bytes.items()}
+        self.any_word, self.latin_word, self.latin = regex.compile(WORD).findall, re.compile(LATIN_WORD).findall, re.compile(LATIN_TEXT).fullmatch
+
+    def find(self, text: str) -> list[str]:
+        """The words of a text without special tokens."""
+        return self.latin_word(text) if self.latin(text) else self.any_word(text)
 
     def _parts(self, text: str) -> list[list[str]]:
         """Words between special tokens; a special token is a part of its own, in a list of two with a mark."""
@@ -148,59 +214,50 @@ class Encoder:
             at = m.end()
         return [*parts, self.find(text[at:])]
 
-    def learn(self, words: set[str]) -> dict[str, tuple[str, int, bytes]]:
-        """Encodings of the words: ids as text, their number, and the bytes that the ids decode to."""
+    def learn(self, words: set[str]) -> dict[str, str]:
+        """Encodes the words that aren't known; returns those that are not kept."""
         known = self.words
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = list(words)
-        extra: dict[str, tuple[str, int, bytes]] = {}
-        as_bytes = self.vocabulary.bytes
-        for word, ids in self.vocabulary.encode_words([w.encode("utf-8", "surrogatepass") for w in new]):
+        new = [w.encode("utf-8", "surrogatepass") for w in words.difference(known)]
+        extra: dict[str, str] = {}
+        for word, ids in self.vocabulary.encode_words(new):
             key = word.decode("utf-8", "surrogatepass")
-            (known if len(key) <= CACHED_LENGTH and len(known) < CACHED_WORDS else extra)[key] = ",".join(map(str, ids)), len(ids), b"".join(map(as_bytes.__getitem__, ids))
+            (known if len(key) <= CACHED_LENGTH and len(known) < CACHED_WORDS else extra)[key] = ",".join(map(str, ids))
         return extra
 
+    def decoded(self, ids: str) -> str:
+        """The text of ids in decimal joined by commas; bytes that are not UTF-8 become U+FFFD."""
+        return b"".join(map(self.bytes.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else ""
+
     def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text: number of tokens, SHA-256 of the ids in decimal joined by commas, SHA-256 of the decoded text."""
-        for ids, n, raw in self.encoded(texts):
-            yield n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw.decode("utf-8", "replace").encode("utf-8")).hexdigest()
+        for ids, n in self.encoded(texts):
+            yield n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(self.decoded(ids).encode("utf-8")).hexdigest()
 
-    def encoded(self, texts: list[str]) -> Iterator[tuple[str, int, bytes]]:
-        """For each text: ids in decimal joined by commas, their number, and the bytes they decode to."""
+    def encoded(self, texts: list[str]) -> Iterator[tuple[str, int]]:
+        """For each text: ids in decimal joined by commas, and their number."""
         held: list[str] = []
         size = 0
         for text in texts:
             held.append(text or "")
             size += len(held[-1])
-            if size >= 1_000_000:
+            if size >= AT_ONCE:
                 yield from self._encoded(held)
                 held, size = [], 0
         yield from self._encoded(held)
 
-    def _encoded(self, texts: list[str]) -> Iterator[tuple[str, int, bytes]]:
+    def _encoded(self, texts: list[str]) -> Iterator[tuple[str, int]]:
         split = [self._parts(t) for t in texts]
-        extra = self.learn({w for parts in split for words in parts if not (len(words) == 2 and not words[0]) for w in words})
-        known = self.words
-        special = self.vocabulary.special
+        extra = self.learn(set().union(*(words for parts in split for words in parts if not (len(words) == 2 and not words[0]))))
+        known, special = self.words, self.vocabulary.special
         for parts in split:
-            ids: list[str] = []
-            raws: list[bytes] = []
-            n = 0
+            ids = []
             for words in parts:
                 if len(words) == 2 and not words[0]:
-                    found = [(str(special[words[1]]), 1, words[1].encode())]
-                elif extra:
-                    found = [known.get(w) or extra[w] for w in words]
-                else:
-                    found = list(map(known.__getitem__, words))
-                if found:
-                    a, b, c = zip(*found, strict=True)
-                    ids.append(",".join(a))
-                    n += sum(b)
-                    raws.append(b"".join(c))
-            yield ",".join(ids), n, b"".join(raws)
+                    ids.append(str(special[words[1]]))
+                elif words:
+                    ids.append(",".join([known.get(w) or extra[w] for w in words] if extra else map(known.__getitem__, words)))
+            joined = ",".join(ids)
+            yield joined, joined.count(",") + 1 if joined else 0
 
 
 _kept: dict[str, Encoder] = {}
@@ -245,7 +302,6 @@ def token_digests(spark: SparkSession, text: Column, path: str | None = None) ->
         encoder = _encoder(digest, held.value)
         for piece in _pieces(parts):
             yield pd.DataFrame(list(encoder.digests(piece)), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-        encoder.words.clear()
 
     return digests(text)
 
@@ -258,8 +314,7 @@ def encode(spark: SparkSession, text: Column, path: str | None = None) -> Column
     def ids(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = _encoder(digest, held.value)
         for piece in _pieces(parts):
-            yield pd.Series([[int(i) for i in x.split(",")] if x else [] for x, _, _ in encoder.encoded(piece)], dtype=object)
-        encoder.words.clear()
+            yield pd.Series([[int(i) for i in x.split(",")] if x else [] for x, _ in encoder.encoded(piece)], dtype=object)
 
     return ids(text)
 
@@ -273,10 +328,9 @@ def tokenized(spark: SparkSession, text: Column, path: str | None = None) -> Col
         encoder = _encoder(digest, held.value)
         for piece in _pieces(parts):
             yield pd.DataFrame(
-                [(np.fromstring(ids, dtype=np.int32, sep=","), n, hashlib.sha256(raw.decode("utf-8", "replace").encode("utf-8")).hexdigest()) for ids, n, raw in encoder.encoded(piece)],
+                [(np.fromstring(ids, dtype=np.int32, sep=","), n, hashlib.sha256(encoder.decoded(ids).encode("utf-8")).hexdigest()) for ids, n in encoder.encoded(piece)],
                 columns=["ids", "n_tokens", "decoded_sha256"],
             )
-        encoder.words.clear()
 
     return tokens(text)
 

@@ -1,5 +1,6 @@
 """Search, BPE, HTML, quality, toxicity, near-duplicates and the pipeline on small tables, against brute force."""
 
+import hashlib
 import math
 import os
 import random
@@ -86,9 +87,40 @@ def test_encodings_equal_the_library(tokenizers):
     rng = random.Random(4)
     texts = ODD + ["".join(chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0x370, 0xD7FF), rng.randrange(0x1F300, 0x1F700)])) for _ in range(150)) for _ in range(60)]
     encoder = bpe.Encoder(bpe.Vocabulary(open(bpe.tokenizer_path()).read()))
-    for text, (ids, n, raw), truth in zip(texts, encoder.encoded(texts), tokenizers.encode_batch(texts, add_special_tokens=False), strict=True):
+    for text, (ids, n), truth in zip(texts, encoder.encoded(texts), tokenizers.encode_batch(texts, add_special_tokens=False), strict=True):
         assert (ids, n) == (",".join(map(str, truth.ids)), len(truth.ids))
-        assert raw.decode("utf-8", "replace") == tokenizers.decode(truth.ids, skip_special_tokens=False)
+        assert encoder.decoded(ids) == tokenizers.decode(truth.ids, skip_special_tokens=False)
+
+
+def test_both_splits_into_words_agree():
+    encoder = bpe.Encoder(bpe.Vocabulary(open(bpe.tokenizer_path()).read()))
+    rng = random.Random(8)
+    for _ in range(2000):
+        text = "".join(rng.choice([chr(rng.randrange(0x250)), rng.choice(" '\n\t-as09éß\u2019ŉ×÷ªºµ²½")]) for _ in range(12))
+        if encoder.latin(text):
+            assert encoder.latin_word(text) == encoder.any_word(text), repr(text)
+    assert encoder.latin("Où sont-ils? «l'été» 12") is None and encoder.latin("Où sont-ils? l'été \u2013 12")
+
+
+def test_kept_words_change_nothing(tokenizers, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_WORDS", 3)
+    monkeypatch.setattr(bpe, "CACHED_PAIRS", 2)
+    encoder = bpe.Encoder(bpe.Vocabulary(open(bpe.tokenizer_path()).read()))
+    for _ in range(2):
+        for text, (ids, _) in zip(ODD, encoder.encoded(ODD), strict=True):
+            assert ids == ",".join(map(str, tokenizers.encode(text, add_special_tokens=False).ids))
+    assert len(encoder.words) <= 3
+
+
+def test_bpe_query_equals_the_library(spark, tokenizers):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: tuple(r) for r in bpe.op4_bpe(spark, "/root/testdata/sf0.001").collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for doc_id, text in docs:
+        ids = tokenizers.encode(text or "", add_special_tokens=False).ids
+        assert got[doc_id] == (doc_id, len(ids), sha(",".join(map(str, ids))), sha(tokenizers.decode(ids, skip_special_tokens=False)))
+    assert len(got) == len(docs)
+    assert spark.createDataFrame([], "doc_id long, text string").select(bpe.token_digests(spark, F.col("text")).alias("t")).count() == 0
 
 
 def test_round_trip(spark, tokenizers):
