@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import html
+import json
 import re
+import sys
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 import pyspark.sql.functions as F
@@ -26,27 +27,65 @@ PERIOD_PATTERNS = (
 )
 
 
-def _decomposable() -> tuple[str, str]:
-    """Latin letters that decompose into one letter and combining marks, with that letter."""
-    pairs = []
-    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
-        parts = [c for c in unicodedata.normalize("NFD", chr(code)) if not 0x300 <= ord(c) <= 0x36F]
-        if len(parts) == 1 and parts[0] != chr(code):
-            pairs.append((chr(code), parts[0]))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+#: White space, as in ECMAScript's ``\\s``: Java's and Python's own notions of it are others.
+SPACES = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+SPACE_CLASS = "\\t\\n\\x0B\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
 
 
-_ACCENTED, _PLAIN = _decomposable()
+def _bare(text: str) -> str:
+    """Canonical decomposition without the combining marks U+0300 to U+036F."""
+    return "".join(c for c in unicodedata.normalize("NFD", text) if not 0x300 <= ord(c) <= 0x36F)
+
+
+def _decompositions() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters other than Hangul syllables that ``_bare`` changes: those that become one, and the others."""
+    changed = {c: _bare(c) for i in range(0xC0, sys.maxunicode + 1) if not (0xAC00 <= i <= 0xD7A3 or 0xD800 <= i <= 0xDFFF) and (c := chr(i)) and unicodedata.decomposition(c) and _bare(c) != c}
+    return {c: b for c, b in changed.items() if len(b) == 1}, {c: b for c, b in changed.items() if len(b) != 1}
+
+
+_ONE, _MORE = _decompositions()
+_ACCENTED, _PLAIN = "".join(_ONE), "".join(_ONE.values())
+
+
+def _apart(c: Column, table: dict[str, str], more: str = "", otherwise: Callable[[Column], Column] = lambda x: x) -> Column:
+    """Text with the characters of a table replaced by several, character by character; texts without any stay.
+
+    more: further characters (of a pattern's class) for which ``otherwise`` is asked. Latin texts are told by a cheap test.
+    """
+    several = F.from_json(F.lit(json.dumps(table)), "map<string,string>")
+    each = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(several, x), otherwise(x))), "")
+    found = f"[{more}{''.join(f'\\x{{{ord(x):x}}}' for x in table)}]"
+    beyond = f"[^\\x00-\\x{{{min(map(ord, table)) - 1:x}}}]"
+    return F.when(c.rlike(beyond) & c.rlike(found), each).otherwise(c)
+
+
+def _hangul(c: Column) -> Column:
+    """A Hangul syllable as its two or three letters."""
+    code = F.ascii(c) - 0xAC00
+    letter = lambda x: F.decode(F.unhex(F.lpad(F.hex(x), 4, "0")), "UTF-16BE")
+    tail = code % 28
+    return F.concat(letter(0x1100 + F.floor(code / 588)), letter(0x1161 + F.floor(code % 588 / 28)), F.when(tail > 0, letter(0x11A7 + tail)).otherwise(F.lit("")))
 
 
 def strip_accents(c: Column) -> Column:
-    """Latin letters without their accents; combining marks (U+0300 to U+036F) dropped."""
-    return F.regexp_replace(F.translate(c, _ACCENTED, _PLAIN), "[̀-ͯ]", "")
+    """Text in canonical decomposition, without the combining marks U+0300 to U+036F.
+
+    Most characters become one, by translation. Texts with Hangul syllables or characters that become several are taken
+    apart by character.
+    """
+    syllable = lambda x: F.when(x.between(F.lit("\uac00"), F.lit("\ud7a3")) & (F.length(x) == 1), _hangul(x)).otherwise(x)
+    apart = _apart(F.translate(c, _ACCENTED, _PLAIN), _MORE, "\\x{ac00}-\\x{d7a3}", syllable)
+    return F.regexp_replace(apart, "[\u0300-\u036f]", "")
+
+
+def trimmed(c: Column) -> Column:
+    """Text without white space (of any kind) at its ends."""
+    return F.regexp_replace(c, f"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+\\z", "")
 
 
 def _cleaned(c: Column, mark: str) -> Column:
-    plain = F.regexp_replace(strip_accents(F.lower(c)), r"[^\p{L}\p{N}\s]", mark)
-    return F.trim(F.regexp_replace(plain, r"\s+", " "))
+    plain = F.regexp_replace(strip_accents(F.lower(c)), rf"[^\p{{L}}\p{{N}}{SPACE_CLASS}]", mark)
+    return F.trim(F.regexp_replace(plain, f"[{SPACE_CLASS}]+", " "))
 
 
 def normalize(c: Column) -> Column:
@@ -65,20 +104,32 @@ normalize_for_similarity = normalize_title
 
 def plain_normalize(text: str, mark: str = "") -> str:
     """``normalize`` (or with mark " " ``normalize_title``) of a constant, on the driver."""
-    bare = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not 0x300 <= ord(c) <= 0x36F)
-    kept = "".join(c if c.isspace() or unicodedata.category(c)[0] in "LN" else mark for c in bare)
-    return " ".join(kept.split())
+    kept = "".join(" " if c in SPACES else c if unicodedata.category(c)[0] in "LN" else mark for c in _bare(text.lower()))
+    return " ".join(x for x in kept.split(" ") if x)
+
+
+def _compatible() -> dict[str, str]:
+    """Characters that compatibility decomposition turns into ASCII letters, digits and ``+ # .`` (besides what canonical does), with spaces for the rest."""
+    found = {}
+    for i in range(0xA0, sys.maxunicode + 1):
+        c = chr(i)
+        if unicodedata.normalize("NFKD", c) != unicodedata.normalize("NFD", c):
+            folded = "".join(x for x in unicodedata.normalize("NFKD", c) if not 0x300 <= ord(x) <= 0x36F)
+            if re.search(r"[A-Za-z0-9+#.]", folded):
+                found[c] = re.sub(r"[^A-Za-z0-9+#.]", " ", folded)
+    return found
+
+
+_COMPATIBLE = _compatible()
+_WIDE, _NARROW = ("".join(x) for x in zip(*((c, f) for c, f in _COMPATIBLE.items() if len(f) == 1), strict=True))
 
 
 def normalized_words(c: Column) -> Column:
     """Letters, digits and ``+ # .`` in lower case between spaces, padded with a space at both ends.
 
-    Compatibility forms are folded for Latin letters, ligatures and full-width letters.
+    Characters whose compatibility decomposition has any of these are folded to it.
     """
-    wide = "".join(chr(i) for i in range(0xFF01, 0xFF5F))
-    folded = F.translate(c, wide, "".join(chr(i - 0xFEE0) for i in range(0xFF01, 0xFF5F)))
-    for ligature in "ﬀﬁﬂﬃﬄªº²³¹":
-        folded = F.replace(folded, F.lit(ligature), F.lit(unicodedata.normalize("NFKD", ligature)))
+    folded = _apart(F.translate(c, _WIDE, _NARROW), {k: v for k, v in _COMPATIBLE.items() if len(v) > 1})
     words = F.trim(F.regexp_replace(F.lower(strip_accents(folded)), r"[^a-z0-9+#.]+", " "))
     return F.concat(F.lit(" "), words, F.lit(" "))
 
@@ -100,11 +151,10 @@ def _any(tests: list[Column]) -> Column:
     return out
 
 
-def title_matches_any(title: Column, terms: Sequence[str]) -> Column:
-    """Whether any term stands in the title as whole words; empty terms never do."""
-    padded = _padded(normalize_title(title))
-    needles = [n for n in (plain_normalize(t, " ") for t in terms) if n]
-    return F.exists(F.array(*(F.lit(f" {n} ") for n in needles)), lambda n: F.contains(padded, n)) if needles else F.lit(False)
+def title_matches_any(title: Column, terms: Sequence[str], normalized: bool = False) -> Column:
+    """Whether any term stands in the title (already in its title form, if normalized) as whole words; empty terms never do."""
+    padded = _padded(title if normalized else normalize_title(title))
+    return _any([F.contains(padded, F.lit(f" {n} ")) for t in terms if (n := plain_normalize(t, " "))])
 
 
 def keyword_matches(text: Column, keyword: str) -> Column:
@@ -134,32 +184,39 @@ def significant_tokens(title: Column) -> Column:
 
 
 def bigrams(c: Column) -> Column:
-    """Character pairs of a string; of one character, itself; of none, nothing."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2)))
-    return F.when(F.length(c) >= 2, pairs).when(F.length(c) == 1, F.array(c)).otherwise(F.array().cast("array<string>"))
+    """Character pairs of a string as numbers, from the code points; of one character, itself; of none, nothing."""
+    codes = F.transform(F.split(c, ""), lambda x: F.ascii(x).cast("long"))
+    pairs = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda x, y: x * (1 << 21) + y)
+    return F.when(F.length(c) >= 2, pairs).when(F.length(c) == 1, codes).otherwise(F.array().cast("array<bigint>"))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _numbered(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in parts:
-        out = []
-        for t in part:
-            seen: Counter[str] = Counter()
-            grams = []
-            for g in [t[i : i + 2] for i in range(len(t) - 1)] or ([t] if t else []):
-                grams.append(f"{g}#{seen[g]}")
-                seen[g] += 1
-            out.append(grams)
-        yield pd.Series(out, dtype=object)
+#: Bigrams numbered in one fold.
+_CHUNK = 256
 
 
 def numbered_bigrams(title: Column) -> Column:
-    """The bigrams of a title's significant words, sorted and joined, each with its occurrence number.
+    """The bigrams of a title's significant words, sorted and joined, as numbers, each with its occurrence number.
 
     Numbering makes a set of the multiset, so that a built-in set intersection counts common bigrams with repetition.
-    It is done in Arrow batches: a native form would be quadratic in the title's length.
+    Among sorted bigrams, occurrences are counted from the first equal one, in chunks, so that long titles stay cheap.
     """
-    return _numbered(F.coalesce(F.array_join(F.array_sort(significant_tokens(title)), " "), F.lit("")))
+    joined = F.coalesce(F.array_join(F.array_sort(significant_tokens(title)), " "), F.lit(""))
+    start = lambda last, n: F.struct(F.array().cast("array<bigint>").alias("out"), last.alias("last"), n.cast("bigint").alias("n"))
+
+    def step(s: Column, g: Column) -> Column:
+        n = F.when(s["last"] == g, s["n"] + 1).otherwise(F.lit(0).cast("bigint"))
+        return F.struct(F.array_append(s["out"], g * (1 << 21) + n).alias("out"), g.alias("last"), n.alias("n"))
+
+    def numbered(o: Column) -> Column:
+        def chunk(k: Column) -> Column:
+            own = F.slice(o, k * _CHUNK + 1, F.lit(_CHUNK))
+            # one less than the number of the chunk's first bigram
+            return F.aggregate(own, start(own[0], k * _CHUNK - F.array_position(o, own[0])), step, lambda s: s["out"])
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(o) - 1) / _CHUNK).cast("int")), chunk))
+
+    # bound once
+    return F.element_at(F.transform(F.array(F.array_sort(bigrams(joined))), lambda o: F.when(F.size(o) == 0, o).otherwise(numbered(o))), 1)
 
 
 def dice(a: Column, b: Column) -> Column:
@@ -178,22 +235,30 @@ def company_group(company: Column) -> Column:
     return F.regexp_replace(normalize(company), f"^(.+?)( ({'|'.join(LEGAL_FORMS)}))+$", "$1")
 
 
-_BLOCK_ENDS = r"(?i)</(p|div|h[1-6]|li|ul|ol|tr|table|blockquote)>"
+# What each kind of markup becomes, in this order; they define the output.
+MARKUP = (
+    (r"<(script|style)\b[^>]*>[\s\S]*?</\1>", " "),
+    (r"<li\b[^>]*>", "\n- "),
+    (r"<br\s*/?>", "\n"),
+    (r"</(p|div|h[1-6]|li|ul|ol|tr|table|blockquote)>", "\n\n"),
+    (r"</?[a-zA-Z][^>]*>", ""),
+)
+# How lines are tidied afterwards.
+TIDY = ((r"[ \t]+", " "), (r"[ \t]*\n[ \t]*", "\n"), (r"\n{3,}", "\n\n"))
 
 
 def strip_markup(markup: Column) -> Column:
     """HTML to lines of text, entities still encoded: list items as ``- ``, blocks apart by an empty line."""
-    out = F.regexp_replace(markup, r"(?i)<(script|style)\b[^>]*>[\s\S]*?</\1>", " ")
-    for pattern, mark in ((r"(?i)<li\b[^>]*>", "\n- "), (r"(?i)<br\s*/?>", "\n"), (_BLOCK_ENDS, "\n\n"), (r"</?[a-zA-Z][^>]*>", "")):
-        out = F.regexp_replace(out, pattern, mark)
-    return out
+    for pattern, mark in MARKUP:
+        markup = F.regexp_replace(markup, f"(?i){pattern}", mark)
+    return markup
 
 
 def collapse_lines(c: Column) -> Column:
     """Runs of blanks to one, none at line ends, at most one empty line, trimmed."""
-    for pattern, mark in ((r"[ \t]+", " "), (r"[ \t]*\n[ \t]*", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")):
+    for pattern, mark in TIDY:
         c = F.regexp_replace(c, pattern, mark)
-    return c
+    return trimmed(c)
 
 
 # The named entities that are decoded; others stay as they are.
@@ -254,7 +319,7 @@ def truncate_text(c: Column, most: int) -> Column:
 
 def strip_evidence_tag(c: Column) -> Column:
     """Text without a leading ``- [tag]``."""
-    return F.trim(F.regexp_replace(c, r"^\s*-?\s*\[[^\]]+\]\s*", ""))
+    return trimmed(F.regexp_replace(c, rf"^[{SPACE_CLASS}]*-?[{SPACE_CLASS}]*\[[^\]]+\][{SPACE_CLASS}]*", ""))
 
 
 def log_label(c: Column, most: int = 60) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 
 
 def pearson(x: str, y: str) -> Column:
@@ -36,8 +37,11 @@ def failure_rate(rows: DataFrame, actual: str) -> DataFrame:
 
 def worksheet_batch(candidates: DataFrame, existing: DataFrame, size: int, key: str = "fingerprint", newest: str = "last_seen_at") -> DataFrame:
     """The newest candidates that fill an existing worksheet up to its size."""
-    free = max(0, size - existing.count())
-    return candidates.join(existing.select(key), key, "left_anti").orderBy(F.desc(newest), key).limit(free)
+    free = size - existing.select(F.count("*")).scalar()
+    first = candidates.join(existing.select(key), key, "left_anti").orderBy(F.desc(newest), key).limit(size)
+    # numbered among the few that fit an empty worksheet
+    numbered = first.withColumn("__k", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc(newest), key)))
+    return numbered.filter(F.col("__k") <= free).drop("__k")
 
 
 def probe_table(rows: DataFrame, term: str, passed: Column, on_track: Column) -> DataFrame:

@@ -17,7 +17,7 @@ from .scoring import MATCH, REQUIREMENT
 
 MOST_REQUIREMENTS, IN_FLIGHT, RETRIES = 40, 8, 3
 _EXTRACTED = f"fingerprint string, content_hash string, requirements array<{REQUIREMENT}>, seniority string, experience_years int, failure string"
-_MATCHED = f"fingerprint string, requirements_hash string, matches array<{MATCH}>, failure string"
+_MATCHED = f"fingerprint string, requirements_hash string, matches array<{MATCH}>, failure string, finished array<struct<requirement_index: int, match: {MATCH}>>"
 
 
 def extract(postings: DataFrame, cache: DataFrame, model: Callable[[str, str], dict], version: str, name: str) -> tuple[DataFrame, DataFrame]:
@@ -60,7 +60,8 @@ def match(postings: DataFrame, cache: DataFrame, partial: DataFrame, model: Call
 
     All requirements of a posting or none: the first call goes alone, the rest up to IN_FLIGHT at a time, and the first
     failure ends them. Requirements that an earlier try finished (partial: with requirement_index and match) aren't asked
-    again.
+    again. What a failed try did finish is in ``finished`` (requirement_index, match), for the partial table
+    (``finished_matches``).
     """
     own = lambda df: df.filter((F.col("prompt_version") == version) & (F.col("model") == name) & (F.col("profile_hash") == profile))
     keys = ["fingerprint", "requirements_hash"]
@@ -72,32 +73,46 @@ def match(postings: DataFrame, cache: DataFrame, partial: DataFrame, model: Call
     def call(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json
 
+        def one(item: tuple[int, dict]) -> tuple[int, dict | None, str | None]:
+            i, requirement = item
+            try:
+                got = model(requirement)
+                status = got.get("status") if got.get("evidence") is not None else "not_met"
+                return i, {"requirement": requirement, "status": status, "evidence": got.get("evidence")}, None
+            except Exception as e:
+                return i, None, type(e).__name__
+
         for part in parts:
             rows = []
             for p in part.itertuples(index=False):
                 before = json.loads(p.done) if isinstance(p.done, str) else {}
                 todo = [(i, dict(r)) for i, r in enumerate(p.requirements) if str(i) not in before]
-                out = {int(i): m for i, m in before.items()}
+                fresh: dict[int, dict] = {}
                 failure = None
-
-                def one(item: tuple[int, dict]) -> tuple[int, dict]:
-                    i, requirement = item
-                    got = model(requirement)
-                    status = got.get("status") if got.get("evidence") is not None else "not_met"
-                    return i, {"requirement": requirement, "status": status, "evidence": got.get("evidence")}
-
-                try:
-                    out.update(map(one, todo[:1]))
+                # the first call alone, then IN_FLIGHT at a time, until one fails
+                for group in [todo[:1], *(todo[k : k + IN_FLIGHT] for k in range(1, len(todo), IN_FLIGHT))]:
                     with ThreadPoolExecutor(IN_FLIGHT) as pool:
-                        out.update(pool.map(one, todo[1:]))
-                except Exception as e:
-                    failure = type(e).__name__
-                rows.append((p.fingerprint, p.requirements_hash, None if failure else [out[i] for i in sorted(out)], failure))
-            yield pd.DataFrame(rows, columns=[*keys, "matches", "failure"])
+                        for i, got, failed in pool.map(one, group):
+                            failure = failure or failed
+                            if got is not None:
+                                fresh[i] = got
+                    if failure:
+                        break
+                out = {int(i): m for i, m in before.items()} | fresh
+                finished = [{"requirement_index": i, "match": m} for i, m in sorted(fresh.items())] if failure else []
+                rows.append((p.fingerprint, p.requirements_hash, None if failure else [out[i] for i in sorted(out)], failure, finished))
+            yield pd.DataFrame(rows, columns=[*keys, "matches", "failure", "finished"])
 
     return cached, misses.mapInPandas(call, _MATCHED)
 
 
+def finished_matches(fresh: DataFrame, version: str, name: str, profile: str) -> DataFrame:
+    """Rows for the partial table from fresh matches: what failed tries finished."""
+    each = fresh.filter(F.col("failure").isNotNull()).select("fingerprint", "requirements_hash", F.explode("finished").alias("f"))
+    stamped = {"prompt_version": F.lit(version), "model": F.lit(name), "profile_hash": F.lit(profile)}
+    return each.select("fingerprint", "requirements_hash", "f.requirement_index", "f.match").withColumns(stamped)
+
+
 def partial_resume(requirements: DataFrame, partial: DataFrame, key: str = "fingerprint") -> DataFrame:
     """Each requirement with its finished match of the same place and text, or null.
 

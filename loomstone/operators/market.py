@@ -28,8 +28,13 @@ def load_corpus(active: DataFrame, extractions: DataFrame, matches: DataFrame, v
 
 
 def label_counts(postings: DataFrame, label: Column, pos: str = "pos") -> DataFrame:
-    """Postings by label (null: unknown), most first, ties by first appearance."""
-    return postings.groupBy(F.coalesce(label, F.lit("unknown")).alias("label")).agg(F.count("*").alias("n"), F.min(pos).alias("first_pos")).orderBy(F.desc("n"), "first_pos")
+    """Postings by label (null: unknown), with the first appearance, which breaks ties (``most_first``)."""
+    return postings.groupBy(F.coalesce(label, F.lit("unknown")).alias("label")).agg(F.count("*").alias("n"), F.min(pos).alias("first_pos"))
+
+
+def most_first(counts: DataFrame) -> DataFrame:
+    """Counted labels, most first, ties by first appearance."""
+    return counts.orderBy(F.desc("n"), "first_pos")
 
 
 def skills_in(text: Column, taxonomy: Mapping[str, Sequence[str]]) -> Column:
@@ -56,7 +61,7 @@ def skill_frequency(mentions: DataFrame, extracted: int | Column) -> DataFrame:
 
 def gap_analysis(mentions: DataFrame, high: DataFrame, profile_skills: Sequence[str]) -> DataFrame:
     """Skills that postings of high compatibility ask for and the profile lacks, with their share of those postings."""
-    total = high.count()  # one number
+    total = high.select(F.count("*")).scalar()
     asked = mentions.filter(~F.col("skill").isin(*profile_skills)) if profile_skills else mentions
     return skill_frequency(asked.join(high.select("fingerprint").distinct(), "fingerprint", "left_semi"), total)
 
@@ -79,14 +84,14 @@ def corpus_totals(corpus: DataFrame) -> DataFrame:
 def study_plan(corpus: DataFrame, text: Column, taxonomy: Mapping[str, Sequence[str]], high: DataFrame, profile_skills: Sequence[str], ts: Column) -> dict[str, DataFrame]:
     """The study plan's parts, each a lazy table over one corpus."""
     mentions = skill_mentions(corpus, text, taxonomy)
-    extracted = corpus.count()
+    extracted = corpus.select(F.count("*")).scalar()
     return {
         "demand": top(skill_frequency(mentions, extracted)),
         "gaps": top(gap_analysis(mentions, high, profile_skills)),
-        "weekly": weekly_volume(corpus, ts),
-        "companies": label_counts(corpus, F.col("company")),
-        "regions": label_counts(corpus, F.col("location_city")),
-        "work_modes": label_counts(corpus, F.col("work_mode")),
+        "weekly": weekly_volume(corpus, ts).orderBy("week"),
+        "companies": most_first(label_counts(corpus, F.col("company"))),
+        "regions": most_first(label_counts(corpus, F.col("location_city"))),
+        "work_modes": most_first(label_counts(corpus, F.col("work_mode"))),
     }
 
 

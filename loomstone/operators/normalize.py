@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
 from ..functions.dates import tolerant_timestamp
 from ..functions.identity import fingerprint
-from ..functions.text import strip_markup
+from ..functions.text import strip_markup, trimmed
 from ..sources.schemas import PAYLOADS
 
 #: Columns of a posting, in order.
@@ -18,12 +18,12 @@ POSTING = ("source", "source_id", "fingerprint", "company", "title", "location_k
 
 def _filled(c: Column) -> Column:
     """Trimmed text; null if nothing is left."""
-    t = F.trim(c)
+    t = trimmed(c.cast("string"))
     return F.when(t != "", t)
 
 
-def create_posting(df: DataFrame, now: Column, **fields: Column) -> DataFrame:
-    """Postings of the given fields: the four keys trimmed and not empty, the rest null by default."""
+def create_posting(df: DataFrame, now: Column, carry: Sequence[str] = (), **fields: Column) -> DataFrame:
+    """Postings of the given fields: the four keys trimmed and not empty, the rest null by default. Columns to carry come last."""
     get = lambda name, kind: fields.get(name, F.lit(None).cast(kind))
     city = _filled(get("city", "string"))
     keyed = df.select(
@@ -40,22 +40,21 @@ def create_posting(df: DataFrame, now: Column, **fields: Column) -> DataFrame:
         now.alias("first_seen_at"),
         now.alias("last_seen_at"),
         fields["raw"].alias("raw_payload"),
+        *carry,
     ).dropna(subset=["source", "source_id", "company", "title"])
-    return keyed.withColumn("fingerprint", fingerprint(F.col("company"), F.col("title"), F.col("location_city"))).select(*POSTING)
+    return keyed.withColumn("fingerprint", fingerprint(F.col("company"), F.col("title"), F.col("location_city"))).select(*POSTING, *carry)
 
 
-def _gupy(df: DataFrame, now: Column) -> DataFrame:
-    p = F.col("p")
+def _gupy(p: Column) -> dict[str, Column]:
     mode = F.when(p["workplaceType"].isin("remote", "hybrid"), p["workplaceType"]).when(p["workplaceType"] == "on-site", "onsite")
-    return create_posting(df, now, source=F.col("source"), source_id=F.coalesce("source_id", p["id"]), company=p["careerPageName"], title=p["name"], city=p["city"], work_mode=mode, deadline=tolerant_timestamp(p["applicationDeadline"]), published_at=tolerant_timestamp(p["publishedDate"]), description=p["description"], url=p["jobUrl"], raw=F.col("payload"))
+    return dict(id=p["id"], company=p["careerPageName"], title=p["name"], city=p["city"], work_mode=mode, deadline=tolerant_timestamp(p["applicationDeadline"]), published_at=tolerant_timestamp(p["publishedDate"]), description=p["description"], url=p["jobUrl"])
 
 
-def _ciee(df: DataFrame, now: Column) -> DataFrame:
-    p = F.col("p")
+def _ciee(p: Column) -> dict[str, Column]:
     area = _filled(p["areaProfissional"])
     internship = F.coalesce(F.upper(p["tipoVaga"]) == "ESTAGIO", F.lit(False))
     title = F.when(internship, F.concat(F.lit("Estágio"), F.coalesce(F.concat(F.lit(" em "), area), F.lit("")))).otherwise(area)
-    activities = F.filter(F.transform(F.coalesce(p["atividades"], F.array().cast("array<string>")), lambda a: F.trim(a)), lambda a: a != "")
+    activities = F.filter(F.transform(F.coalesce(p["atividades"], F.array().cast("array<string>")), trimmed), lambda a: a != "")
     semesters = [F.coalesce(p["requisitos"][c].cast("string"), F.lit("?")) for c in ("semestreInicio", "semestreFinal")]
     asked = p["requisitos"]["semestreInicio"].isNotNull() | p["requisitos"]["semestreFinal"].isNotNull()
     pay = F.when(p["bolsaAuxilio"] == F.floor(p["bolsaAuxilio"]), p["bolsaAuxilio"].cast("long").cast("string")).otherwise(p["bolsaAuxilio"].cast("string"))
@@ -66,52 +65,58 @@ def _ciee(df: DataFrame, now: Column) -> DataFrame:
         F.when(asked, F.concat(F.lit("Semestre exigido: "), semesters[0], F.lit(" a "), semesters[1], F.lit("."))),
         F.concat(F.lit("Bolsa-auxílio: R$ "), pay, F.lit(".")),
     )
-    return create_posting(df, now, source=F.col("source"), source_id=F.coalesce("source_id", p["codigoVaga"]), company=p["nomeEmpresa"], title=title, city=p["local"]["cidade"], description=_filled(parts), raw=F.col("payload"))
+    return dict(id=p["codigoVaga"], company=p["nomeEmpresa"], title=title, city=p["local"]["cidade"], description=_filled(parts))
 
 
-def _indeed(df: DataFrame, now: Column) -> DataFrame:
-    p = F.col("p")
-    return create_posting(df, now, source=F.col("source"), source_id=F.coalesce("source_id", p["id"]), company=p["company"], title=p["title"], city=F.split_part(p["location"], F.lit(","), F.lit(1)), work_mode=F.when(p["is_remote"], "remote"), published_at=tolerant_timestamp(p["date_posted"]), description=p["description"], url=p["job_url"], raw=F.col("payload"))
+def _indeed(p: Column) -> dict[str, Column]:
+    return dict(id=p["id"], company=p["company"], title=p["title"], city=F.split_part(p["location"], F.lit(","), F.lit(1)), work_mode=F.when(p["is_remote"], "remote"), published_at=tolerant_timestamp(p["date_posted"]), description=p["description"], url=p["job_url"])
 
 
-def _linkedin(df: DataFrame, now: Column) -> DataFrame:
-    p = F.col("p")
+def _linkedin(p: Column) -> dict[str, Column]:
     form = r"^(.*)\(([^)]+)\)\s*$"
     place, label = _filled(F.regexp_extract(p["location"], form, 1)), F.lower(F.regexp_extract(p["location"], form, 2))
     mode = F.when(F.contains(label, F.lit("remoto")), "remote").when(label.rlike("h[íi]brido"), "hybrid").when(F.contains(label, F.lit("presencial")), "onsite")
     city = F.when(F.lower(place) != "brasil", F.split_part(place, F.lit(","), F.lit(1)))
-    return create_posting(df, now, source=F.col("source"), source_id=F.coalesce("source_id", p["link"]), company=p["company"], title=p["title"], city=city, work_mode=mode, url=p["link"], raw=F.col("payload"))
+    return dict(id=p["link"], company=p["company"], title=p["title"], city=city, work_mode=mode, url=p["link"])
 
 
-def _solides(df: DataFrame, now: Column) -> DataFrame:
-    p = F.col("p")
+def _solides(p: Column) -> dict[str, Column]:
     mode = F.when(p["homeOffice"], "remote").when(p["jobType"] == "presencial", "onsite")
-    return create_posting(df, now, source=F.col("source"), source_id=F.coalesce("source_id", p["id"]), company=p["companyName"], title=p["title"], city=p["city"]["name"], work_mode=mode, published_at=tolerant_timestamp(p["createdAt"]), description=p["description"], url=p["redirectLink"], raw=F.col("payload"))
+    return dict(id=p["id"], company=p["companyName"], title=p["title"], city=p["city"]["name"], work_mode=mode, published_at=tolerant_timestamp(p["createdAt"]), description=p["description"], url=p["redirectLink"])
 
 
-def _catho(df: DataFrame, now: Column) -> DataFrame:
-    p = F.col("p")
+def _catho(p: Column) -> dict[str, Column]:
     job = p["jobPosting"]
     city = _filled(F.regexp_extract(p["pageTitle"], r"^Vaga de Emprego de .+, ([^,/]+?)\s*/\s*$", 1))
-    return create_posting(df, now, source=F.col("source"), source_id=F.coalesce("source_id", p["id"]), company=job["hiringOrganization"]["name"], title=job["title"], city=city, work_mode=F.when(job["jobLocationType"] == "TELECOMMUTE", "remote"), published_at=tolerant_timestamp(job["datePosted"]), description=job["description"], url=p["url"], raw=F.col("payload"))
+    return dict(id=p["id"], company=job["hiringOrganization"]["name"], title=job["title"], city=city, work_mode=F.when(job["jobLocationType"] == "TELECOMMUTE", "remote"), published_at=tolerant_timestamp(job["datePosted"]), description=job["description"], url=p["url"])
 
 
-NORMALIZERS: dict[str, Callable[[DataFrame, Column], DataFrame]] = {"gupy": _gupy, "ciee": _ciee, "indeed": _indeed, "linkedin": _linkedin, "solides": _solides, "catho": _catho}
+NORMALIZERS: dict[str, Callable[[Column], dict[str, Column]]] = {"gupy": _gupy, "ciee": _ciee, "indeed": _indeed, "linkedin": _linkedin, "solides": _solides, "catho": _catho}
+_FIELDS = {"id": "string", "company": "string", "title": "string", "city": "string", "work_mode": "string", "deadline": "timestamp", "published_at": "timestamp", "description": "string", "url": "string"}
 
 
-def normalize_source(raw: DataFrame, source: str, now: Column) -> DataFrame:
-    """Postings of one source. raw: source, source_id, payload (JSON)."""
-    parsed = raw.filter(F.col("source") == source).withColumn("p", F.from_json("payload", PAYLOADS[source], {"mode": "PERMISSIVE"}))
-    return NORMALIZERS[source](parsed.filter(F.col("p").isNotNull()), now)
+def _struct(made: dict[str, Column]) -> Column:
+    return F.struct(*(made.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in _FIELDS.items()))
+
+
+def normalize_all(raw: DataFrame, now: Column, sources: Sequence[str] = tuple(NORMALIZERS)) -> DataFrame:
+    """Postings of all known sources, in one pass over the rows.
 
+    raw: source, source_id, payload (JSON). Other columns (a position, say) stay, at the end.
+    """
+    carry = [c for c in raw.columns if c not in ("source", "source_id", "payload")]
+    own = lambda s: F.col("source") == s
+    # parsed in a projection of its own, once for all fields
+    parsed = raw.filter(F.col("source").isin(*sources)).withColumns({f"__{s}": F.when(own(s), F.from_json("payload", PAYLOADS[s], {"mode": "PERMISSIVE"})) for s in sources})
+    made = F.coalesce(*(F.when(own(s), _struct(NORMALIZERS[s](F.col(f"__{s}")))) for s in sources))
+    rows = parsed.select("source", "source_id", "payload", *carry, made.alias("__f"))
+    fields = {n: F.col(f"__f.{n}") for n in _FIELDS if n != "id"}
+    return create_posting(rows, now, carry, source=F.col("source"), source_id=F.coalesce("source_id", "__f.id"), raw=F.col("payload"), **fields)
 
-def normalize_all(raw: DataFrame, now: Column) -> DataFrame:
-    """Postings of all known sources."""
-    out = None
-    for source in NORMALIZERS:
-        part = normalize_source(raw, source, now)
-        out = part if out is None else out.unionByName(part)
-    return out
+
+def normalize_source(raw: DataFrame, source: str, now: Column) -> DataFrame:
+    """Postings of one source."""
+    return normalize_all(raw, now, [source])
 
 
 def without_normalizer(raw: DataFrame) -> DataFrame:
@@ -122,7 +127,7 @@ def without_normalizer(raw: DataFrame) -> DataFrame:
 def backfill_description(postings: DataFrame) -> DataFrame:
     """Description from the raw payload where it is missing."""
     found = F.get_json_object("raw_payload", "$.description")
-    return postings.withColumn("description", F.coalesce("description", F.when(F.trim(found) != "", found)))
+    return postings.withColumn("description", F.coalesce("description", F.when(trimmed(found) != "", found)))
 
 
 def plain_description(c: Column) -> Column:

@@ -92,8 +92,8 @@ def prefilter(postings: DataFrame, criteria: Criteria, keywords: Sequence[str],
     companies = sorted({plain_normalize(c) for c in criteria.company_blocklist})
     adherence = sum((F.contains(collapsed, F.lit(plain_normalize(k))).cast("int") for k in keywords), F.lit(0))
     tests = (
-        title_matches_any(F.col("title"), criteria.title_blocklist),
-        ~title_matches_any(F.col("title"), criteria.title_required),
+        title_matches_any(spaced, criteria.title_blocklist, normalized=True),
+        ~title_matches_any(spaced, criteria.title_required, normalized=True),
         F.lit(criteria.reject_unknown_track) & (F.size("tracks") == 0),
         normalize(F.col("company")).isin(*companies) if companies else F.lit(False),
         F.coalesce(F.col("application_deadline") < at, F.lit(False)),

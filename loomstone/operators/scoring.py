@@ -9,7 +9,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
 from ..functions.dates import academic_period, period_label
-from ..functions.text import includes_term, minimum_period, normalized_words, plain_normalize, strip_evidence_tag
+from ..functions.text import minimum_period, plain_normalize, strip_evidence_tag
 
 REQUIREMENT = "struct<text: string, category: string, weight: string, verifiable: boolean>"
 MATCH = f"struct<requirement: {REQUIREMENT}, status: string, evidence: string>"
@@ -117,8 +117,8 @@ def period_gate(failures: Column, worth: Column, course_start: Column, today: Co
 
 
 def failure_outcome(reason: str) -> dict[str, Column]:
-    """Columns of a posting whose scoring failed: score 0, to review, never of low confidence."""
-    return {"score": F.lit(0.0), "verdict": F.lit("review"), "low_confidence": F.lit(False), "failure": F.lit(reason)}
+    """Columns of a posting whose scoring failed: score 0, to review, of low confidence since nothing was judged."""
+    return {"score": F.lit(0.0), "verdict": F.lit("review"), "low_confidence": F.lit(True), "failure": F.lit(reason)}
 
 
 def matched_competencies(matches: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -154,9 +154,3 @@ def missing_terms(matches: Column, keywords: Sequence[str]) -> Column:
     needles = F.array(*(F.lit(plain_normalize(k)) for k in keywords)) if keywords else F.array().cast("array<string>")
     open_ = F.filter(matches, lambda m: (m["status"] != "not_met") & ~F.exists(needles, lambda k: F.contains(normalize(m["requirement"]["text"]), k)))
     return F.transform(open_, lambda m: m["requirement"]["text"])
-
-
-def admissible_evidence(quote: Column, requirement: Column, terms: Column) -> Column:
-    """Whether evidence names a term (of an array) that the requirement names too, as whole words."""
-    both = F.concat(normalized_words(quote), normalized_words(requirement))
-    return F.exists(terms, lambda t: includes_term(normalized_words(requirement), t) & includes_term(both, t))

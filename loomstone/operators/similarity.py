@@ -50,8 +50,10 @@ def similar_pairs(postings: DataFrame, threshold: float = THRESHOLD, days: float
     rows = prepared(postings).withColumn("block", F.floor(F.col("rank") / cap))
     earlier = rows.select(*(F.col(c).alias(f"e_{c}") for c in ("fingerprint", "grp", "city", "ms", "rank", "grams")), F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("e_block"))
     on = (F.col("grp") == F.col("e_grp")) & F.col("city").eqNullSafe(F.col("e_city")) & (F.col("block") == F.col("e_block")) & (F.col("e_rank") < F.col("rank")) & (F.col("rank") - F.col("e_rank") <= cap) & (F.col("ms") - F.col("e_ms") <= int(days * DAY_MS))
+    # the smaller of two sets of bigrams bounds what they have in common
+    bound = 2 * F.least(F.size("grams"), F.size("e_grams")) >= threshold * (F.size("grams") + F.size("e_grams"))
     similarity = dice(F.col("grams"), F.col("e_grams"))
-    return rows.join(earlier, on).select("fingerprint", F.col("e_fingerprint").alias("duplicate_of"), similarity.alias("similarity"), "e_rank").filter(F.col("similarity") >= threshold)
+    return rows.join(earlier, on & bound).select("fingerprint", F.col("e_fingerprint").alias("duplicate_of"), similarity.alias("similarity"), "e_rank").filter(F.col("similarity") >= threshold)
 
 
 def shadow_duplicates(postings: DataFrame, threshold: float = THRESHOLD, days: float = WINDOW_DAYS, cap: int = CAP) -> DataFrame:

@@ -8,7 +8,11 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
 CLAIM_HOURS = 4
+#: Scoring failures in a row after which a posting isn't tried again.
+MOST_FAILURES = 5
 BOOKKEEPING = ("duplicate_of", "notified_at", "discarded_at", "discard_reason", "score_failures", "last_score_failed_at", "claimed_at", "claimed_by")
+#: Bookkeeping of new rows that isn't null.
+DEFAULTS = {"score_failures": 0}
 
 
 def latest(batch: DataFrame, key: str, pos: str) -> DataFrame:
@@ -25,7 +29,8 @@ def upsert(table: DataFrame, batch: DataFrame, key: str = "fingerprint", pos: st
     """The table after a batch.
 
     A known key keeps first_seen_at and its bookkeeping columns, all else comes from the batch's last row; a new key
-    comes in with the first sighting of its first row. Rows of the table that the batch doesn't name stay.
+    comes in with the first sighting of its first row, no failures, and else null bookkeeping. Rows of the table that the
+    batch doesn't name stay.
     """
     new = latest(batch, key, pos).drop("sightings")
     old, fresh = table.alias("o"), new.alias("n")
@@ -37,6 +42,8 @@ def upsert(table: DataFrame, batch: DataFrame, key: str = "fingerprint", pos: st
             return F.coalesce(f"o.{key}", f"n.{key}")
         if c == "first_seen_at":
             return F.coalesce("o.first_seen_at", "n.first_seen_at")
+        if c in DEFAULTS:
+            return F.coalesce(F.col(f"o.{c}"), F.lit(DEFAULTS[c]).cast(table.schema[c].dataType))
         if c in BOOKKEEPING or c not in new.columns:
             return F.col(f"o.{c}")
         return F.when(seen, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
@@ -108,13 +115,31 @@ def clear_duplicates(table: DataFrame) -> DataFrame:
     return table.withColumn("duplicate_of", F.lit(None).cast("string"))
 
 
+def failures() -> Column:
+    """Scoring failures in a row; rows older than the counter have none."""
+    return F.coalesce(F.col("score_failures"), F.lit(0))
+
+
 def record_score_failure(table: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
-    return mark(table, ids, {"score_failures": F.col("score_failures") + 1, "last_score_failed_at": now})
+    """One more failure for each of the ids."""
+    return mark(table, ids, {"score_failures": (failures() + 1).cast(table.schema["score_failures"].dataType), "last_score_failed_at": now})
+
+
+def clear_score_failures(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """No failures any more, after a success."""
+    return mark(table, ids, {"score_failures": F.lit(0).cast(table.schema["score_failures"].dataType), "last_score_failed_at": F.lit(None).cast("timestamp")})
+
+
+def split_exhausted(candidates: DataFrame, most: int = MOST_FAILURES) -> tuple[DataFrame, DataFrame]:
+    """(to score, exhausted): rows that have failed ``most`` times in a row are surfaced without another try."""
+    over = failures() >= most
+    return candidates.filter(~over), candidates.filter(over)
 
 
 def rescore(table: DataFrame, ids: DataFrame) -> DataFrame:
-    """Failure counts back to 0, only where there were failures."""
-    return mark(table, ids, {"score_failures": F.lit(0), "last_score_failed_at": F.lit(None).cast("timestamp"), "notified_at": F.lit(None).cast("timestamp")}, only=F.col("score_failures") > 0)
+    """Free for another try, only where the last one failed: no failures, not notified of, and no claim left."""
+    none = {c: F.lit(None).cast(table.schema[c].dataType) for c in ("last_score_failed_at", "notified_at", "claimed_at", "claimed_by") if c in table.columns}
+    return mark(table, ids, {"score_failures": F.lit(0).cast(table.schema["score_failures"].dataType), **none}, only=failures() > 0)
 
 
 def set_extracted(table: DataFrame, extracted: DataFrame, key: str = "fingerprint") -> DataFrame:

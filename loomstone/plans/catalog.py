@@ -11,7 +11,7 @@ from ..functions import dates, identity, text
 from ..operators import calibration, delivery, market, normalize, prefilter, runs, scoring, similarity, store
 from ..sources import payloads
 from ..streaming import machines
-from .views import CRITERIA, KEYWORDS, NOW, POSTINGS_SQL, PROFILE_SKILLS, TAXONOMY, postings, sql_keywords, sql_normalize, sql_terms, table
+from .views import CRITERIA, KEYWORDS, NOW, POSTINGS_SQL, PROFILE_SKILLS, SQL_SPACES, TAXONOMY, postings, sql_keywords, sql_normalize, sql_terms, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -98,18 +98,29 @@ def company_suffix_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("s_suppkey", text.company_group(F.col("company")).alias("grp"))
 
 
-_HTML = "regexp_replace(regexp_replace(html, '<script\\b[^>]*>[\\s\\S]*?</script>', ' ', 'gi'), '<style\\b[^>]*>[\\s\\S]*?</style>', ' ', 'gi')"
-for _p, _r in (("<li\\b[^>]*>", "' || chr(10) || '- "), ("<br\\s*/?>", "' || chr(10) || '"), ("</(p|div|h[1-6]|li|ul|ol|tr|table|blockquote)>", "' || chr(10) || chr(10) || '"), ("</?[a-zA-Z][^>]*>", "")):
-    _HTML = f"regexp_replace({_HTML}, '{_p}', '{_r}', 'gi')"
-for _n, _c in text.ENTITIES.items():
-    _HTML = f"replace({_HTML}, '&{_n};', '{_c.replace(chr(39), chr(39) * 2)}')"
-for _p, _r in (("[ \\t]+", "' || ' ' || '"), ("[ \\t]*\\n[ \\t]*", "' || chr(10) || '"), ("\\n{3,}", "' || chr(10) || chr(10) || '"), ("^\\s+|\\s+$", "")):
-    _HTML = f"regexp_replace({_HTML}, '{_p}', '{_r}', 'g')"
+def _sql_text(value: str) -> str:
+    """A DuckDB string with its line ends as chr(10)."""
+    return "'" + value.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
-@_query(f"SELECT page_id, sha256(coalesce({_HTML}, '')) AS text_sha256, length({_HTML}) AS n_chars, regexp_matches(html, '<[a-zA-Z/][^>]*>') AS had_markup FROM pages WHERE NOT contains(html, '&#')")
+_HTML = "html"
+for _p, _r in text.MARKUP:
+    for _tag in ("script", "style") if "\\1" in _p else ("",):
+        _HTML = f"regexp_replace({_HTML}, '{_p.replace('(script|style)', _tag).replace(chr(92) + '1', _tag)}', {_sql_text(_r)}, 'gi')"
+_ENTITY = "&(#[0-9]+|#x[0-9a-fA-F]+|[a-zA-Z]+);"
+_CODE = "TRY_CAST(CASE WHEN m LIKE '&#x%' THEN '0x' || m[4:-2] ELSE m[3:-2] END AS BIGINT)"
+_CHAR = f"CASE WHEN m NOT LIKE '&#%' THEN CASE m {' '.join(f'WHEN {_sql_text(f"&{n};")} THEN {_sql_text(c)}' for n, c in text.ENTITIES.items())} ELSE m END WHEN {_CODE} BETWEEN 0 AND 55295 OR {_CODE} BETWEEN 57344 AND 1114111 THEN chr({_CODE}::INTEGER) ELSE chr(65533) END"
+_TIDIED = "list_aggregate(list_transform(range(len(g)), lambda i: g[i + 1] || coalesce(c[i + 1], '')), 'string_agg', '')"
+for _p, _r in text.TIDY:
+    _TIDIED = f"regexp_replace({_TIDIED}, '{_p}', {_sql_text(_r)}, 'g')"
+_TIDIED = f"regexp_replace({_TIDIED}, '^[{SQL_SPACES}]+|[{SQL_SPACES}]+$', '', 'g')"
+
+
+@_query(
+    f"WITH s AS (SELECT page_id, html, {_HTML} AS h FROM pages), m AS (SELECT *, string_split_regex(h, '{_ENTITY}') AS g, list_transform(regexp_extract_all(h, '{_ENTITY}'), lambda m: {_CHAR}) AS c FROM s), "
+    f"t AS (SELECT page_id, html, {_TIDIED} AS t FROM m) SELECT page_id, sha256(coalesce(t, '')) AS text_sha256, length(t) AS n_chars, regexp_matches(html, '<[a-zA-Z/][^>]*>') AS had_markup FROM t"
+)
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the SQL twin leaves out pages with numeric entities; tests hold those against literal results
     p = table(spark, sf_dir, "pages").withColumn("t", text.html_to_text(F.col("html")))
     return p.select("page_id", F.sha2(F.coalesce("t", F.lit("")), 256).alias("text_sha256"), F.length("t").alias("n_chars"), text.had_markup(F.col("html")).alias("had_markup"))
 
@@ -120,10 +131,12 @@ def html_title_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", payloads.page_title(F.col("html")).alias("title"), F.size(found).cast("long").alias("n_links"), F.array_join(found, " ").alias("links"))
 
 
-@_query("SELECT page_id, regexp_matches(url, '^https://(www\\.)?[a-z.-]+\\.example\\.com(/|$|\\?|#)') AS allowed FROM (SELECT page_id, CASE WHEN url LIKE 'https://%.example.com/%' THEN url ELSE '' END AS url FROM pages) WHERE regexp_extract(url, '^https://([^/]*)', 1) IN ('ththon.example.com', 'blog.tionble.example.com', '')")
+_ALLOWED = ("ththon.example.com", "blog.tionble.example.com")
+
+
+@_query(f"SELECT page_id, coalesce(regexp_matches(url, '(?i)^https://([^/?#]*@)?({'|'.join(h.replace('.', chr(92) + '.') for h in _ALLOWED)})(:[0-9]*)?([/?#]|$)') AND NOT regexp_matches(url, '^https://[^/?#]*@'), false) AS allowed FROM pages")
 def url_allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # every page by its own URL; the SQL twin leaves out the pages of other *.example.com hosts
-    return table(spark, sf_dir, "pages").select("page_id", payloads.url_allowed(F.col("url"), ["ththon.example.com", "blog.tionble.example.com"]).alias("allowed"))
+    return table(spark, sf_dir, "pages").select("page_id", payloads.url_allowed(F.col("url"), list(_ALLOWED)).alias("allowed"))
 
 
 @_query("WITH s AS (SELECT doc_id, CASE WHEN length(text) <= 400 THEN text END AS whole, list_transform(range(1, len(string_split_regex(text, '\\n{2,}')) + 1), lambda i: array_to_string(string_split_regex(text, '\\n{2,}')[1:i], chr(10) || chr(10))) AS heads, substr(text, 1, 400) AS head FROM documents), l AS (SELECT *, list_filter(heads, lambda h: length(h) <= 400) AS fit FROM s) SELECT doc_id, CASE WHEN whole IS NOT NULL THEN whole WHEN head IS NULL THEN NULL WHEN len(fit) > 0 AND fit[len(fit)] <> '' THEN fit[len(fit)] WHEN regexp_matches(head, '\\S\\s') THEN regexp_replace(head, '\\s+\\S*$', '') ELSE head END AS short FROM l")
@@ -187,7 +200,7 @@ def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"{_MENTIONS} SELECT skill, count(*) AS n, round(count(*) / (SELECT n FROM t), 9) AS share FROM u GROUP BY 1")
 def skill_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return market.skill_frequency(_mentions(spark, sf_dir), postings(spark, sf_dir).count()).withColumn("share", F.round("share", 9))
+    return market.skill_frequency(_mentions(spark, sf_dir), postings(spark, sf_dir).select(F.count("*")).scalar()).withColumn("share", F.round("share", 9))
 
 
 @_query(f"{_MENTIONS} SELECT skill, count(*) AS n, round(count(*) / (SELECT n FROM k), 9) AS share FROM u SEMI JOIN h USING (fingerprint) WHERE skill NOT IN ('The', 'In') GROUP BY 1")
@@ -292,11 +305,10 @@ def recommend_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.recommend_variant(matched, variants)
 
 
-@_query("WITH e AS (SELECT text AS q, arg_max(item_id % 7, item_id) AS competency FROM benchmark GROUP BY 1), m AS (SELECT item_id AS id, text AS q FROM benchmark WHERE item_id % 2 = 0) SELECT DISTINCT id, competency FROM m JOIN e USING (q)")
+@_query("WITH e AS (SELECT text AS q, arg_max(item_id % 7, item_id) AS competency FROM benchmark GROUP BY 1), m AS (SELECT item_id AS id, text AS q FROM benchmark) SELECT DISTINCT id, competency FROM m JOIN e USING (q)")
 def evidence_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
     evidence = b.select(F.concat(F.lit("[e] "), "text").alias("quote"), (F.col("item_id") % 7).alias("competency"), F.col("item_id").alias("ord"))
-    # every row; the SQL twin matches the even ones only
     found = b.select(F.col("item_id").alias("id"), F.lit("met").alias("status"), F.concat(F.lit(" - [x y] "), "text").alias("evidence"))
     return scoring.matched_competencies(found, evidence)
 
@@ -372,7 +384,7 @@ def late_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.ingest import cutoffs, split_late
 
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumnsRenamed({"event_type": "source", "ts": "published_at"})
-    now = F.lit(e.agg(F.max("published_at")).first()[0])
+    now = e.select(F.max("published_at")).scalar()
     history = e.groupBy("source").agg(F.max(F.when(F.col("event_id") % 100 == 0, F.col("published_at"))).alias("last_success"))
     kept, late = split_late(e, cutoffs(history, now, 2, 30))
     both = kept.select("source", F.lit(0).alias("late")).unionByName(late.select("source", F.lit(1).alias("late")))
@@ -396,7 +408,7 @@ def null_contagious_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT coalesce(sum(event_id), 0)::BIGINT AS collected, coalesce(sum(user_id), 0)::BIGINT AS \"new\", coalesce(sum(event_id % 5), 0)::BIGINT AS duplicates, greatest(0, coalesce(sum(user_id), 0) - coalesce(sum(event_id % 5), 0))::BIGINT AS remaining FROM events WHERE ts >= (SELECT max(ts) - INTERVAL 10 DAYS FROM events)")
 def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("ts").alias("started_at"), F.col("event_id").alias("collected"), F.col("user_id").alias("new"), (F.col("event_id") % 5).alias("duplicates"))
-    since = F.lit(e.agg(F.max("started_at") - F.expr("INTERVAL 10 DAYS")).first()[0])
+    since = e.select(F.max("started_at") - F.expr("INTERVAL 10 DAYS")).scalar()
     return runs.totals_since(e, since)
 
 
@@ -467,9 +479,8 @@ def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.sources_named(d, "failed")
 
 
-@_query("SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey % 2 = 0")
+@_query("SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier")
 def variant_except(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # every supplier; the SQL twin reads the even ones only
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey"))
     return table(spark, sf_dir, "nation").select("n_nationkey").distinct().join(s, "n_nationkey", "left_anti")
 
@@ -493,9 +504,9 @@ def partial_match_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partial_resume(grouped, partial).select("fingerprint", "requirement_index", F.col("match").isNotNull().alias("resumed"))
 
 
-@_query(f"WITH {POSTINGS_SQL}, r AS (SELECT pos, ['gupy', 'indeed', 'solides', 'linkedin'][pos % 4 + 1] AS source, trim(title) AS title, trim(company) AS company, lang FROM p JOIN d ON d.doc_id = p.pos) SELECT source, pos::VARCHAR AS source_id, sha256({sql_normalize('company')} || {sql_normalize('title')} || coalesce({sql_normalize('lang')}, '')) AS fingerprint, CASE source WHEN 'gupy' THEN 'hybrid' WHEN 'indeed' THEN 'remote' WHEN 'solides' THEN 'onsite' ELSE 'remote' END AS work_mode, lang AS location_city FROM r WHERE title <> '' AND company <> '' AND lang IS NOT NULL")
+@_query(f"WITH {POSTINGS_SQL}, r AS (SELECT pos, ['gupy', 'indeed', 'solides', 'linkedin'][pos % 4 + 1] AS source, trim(title) AS title, trim(company) AS company, lang FROM p JOIN d ON d.doc_id = p.pos) SELECT source, pos::VARCHAR AS source_id, sha256({sql_normalize('company')} || {sql_normalize('title')} || coalesce({sql_normalize('lang')}, '')) AS fingerprint, CASE source WHEN 'gupy' THEN 'hybrid' WHEN 'indeed' THEN 'remote' WHEN 'solides' THEN 'onsite' ELSE 'remote' END AS work_mode, lang AS location_city FROM r WHERE title <> '' AND company <> ''")
 def normalize_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = postings(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "lang"), "pos").filter(F.col("lang").isNotNull())
+    p = postings(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "lang"), "pos")
     source = F.element_at(F.array(*map(F.lit, ("gupy", "indeed", "solides", "linkedin"))), (F.col("pos") % 4 + 1).cast("int"))
     k, title, company, lang = (F.col(c) for c in ("pos", "title", "company", "lang"))
     payload = (

@@ -56,9 +56,13 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.withColumn("fingerprint", fingerprint(F.col("company"), F.col("title"), F.col("location_city")))
 
 
+#: White space, for RE2.
+SQL_SPACES = "\\t\\n\\v\\f\\r \\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}"
+
+
 def sql_normalize(x: str, mark: str = "") -> str:
     """DuckDB's normalize (or with mark " " normalize_title)."""
-    return f"trim(regexp_replace(regexp_replace(strip_accents(lower({x})), '[^\\p{{L}}\\p{{N}}\\s]', '{mark}', 'g'), '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace(regexp_replace(strip_accents(lower({x})), '[^\\p{{L}}\\p{{N}}{SQL_SPACES}]', '{mark}', 'g'), '[{SQL_SPACES}]+', ' ', 'g'))"
 
 
 POSTINGS_SQL = f"""d AS (SELECT * FROM documents WHERE doc_id IS NOT NULL),

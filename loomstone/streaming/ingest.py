@@ -8,7 +8,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.normalize import normalize_all
+from ..operators.normalize import normalize_all, without_normalizer
 from ..operators.store import Snapshots, upsert
 
 RAW = "source string, source_id string, payload string"
@@ -37,20 +37,24 @@ def split_late(postings: DataFrame, by_source: DataFrame) -> tuple[DataFrame, Da
 def ingest(stream: DataFrame, table: Snapshots, events: str, checkpoint: str, now: Callable[[], Column], by_source: Callable[[], DataFrame] | None = None) -> StreamingQuery:
     """Upsert a raw stream into a snapshot table, batch by batch; late and unknown rows go to an event table.
 
-    A batch that is run again gives the same table: upserts keep first sightings, and events are written under the
-    batch's number. Runs until what is there is processed.
+    Of a batch's rows of one posting the last to arrive counts: rows are numbered as they are read, before they are told
+    apart by source. A batch that is run again gives the same table: upserts keep first sightings, and events are written
+    under the batch's number. Runs until what is there is processed.
     """
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        postings = normalize_all(batch, now()).withColumn("pos", F.monotonically_increasing_id())
+        numbered = batch.withColumn("pos", F.monotonically_increasing_id())
+        postings = normalize_all(numbered, now())
         kept, late = split_late(postings, by_source()) if by_source else (postings, None)
         old = table.read()
         columns = [c for c in kept.columns if c != "pos"]
         base = old if old is not None else spark.createDataFrame([], kept.drop("pos").schema)
         table.write(upsert(base, kept.select(*columns, "pos")).select(*base.columns))
+        refused = without_normalizer(batch)
         if late is not None:
-            late.select("source", "source_id", "reason").write.mode("overwrite").parquet(f"{events}/batch={number}")
+            refused = refused.unionByName(late.select("source", "source_id", "reason"))
+        refused.write.mode("overwrite").parquet(f"{events}/batch={number}")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

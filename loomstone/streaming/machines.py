@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyspark.sql.functions as F
@@ -37,26 +37,40 @@ def _summary(key: object, state: tuple[str, int, int], blocked: int, calls: int)
     return pd.DataFrame([(key, state[0], state[1], blocked, calls)], columns=["key", "state", "failures", "blocked", "calls"])
 
 
-def breaker_replay(events: DataFrame, key: str, at_ms: Column, order: Column, outcome: Column) -> DataFrame:
-    """Final state of each key's breaker, with blocked and all calls.
+def _folded(events: DataFrame, order: list[str], start: Callable[[], tuple], step: Callable[[tuple, tuple], tuple], row: Callable[[object, tuple], tuple], schema: str) -> DataFrame:
+    """A fold over each key's events in order: rows of a key come together and sorted, and only the current key's state is held.
 
-    The fold over a key's ordered events is one native aggregate over a sorted array; memory is that of a key's events,
-    so keys should be as fine as providers by day.
+    events: key, and the columns of order first. Sorting spills, so a key's history may be of any length.
     """
-    ordered = events.groupBy(F.col(key).alias("key")).agg(F.array_sort(F.collect_list(F.struct(at_ms.alias("at"), order.alias("o"), outcome.alias("outcome")))).alias("e"))
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, None
+        for part in parts:
+            out = []
+            for key, *event in part.itertuples(index=False, name=None):
+                if state is None or key != now:
+                    if state is not None:
+                        out.append(row(now, state))
+                    now, state = key, start()
+                state = step(state, event)
+            yield pd.DataFrame(out, columns=names)
+        if state is not None:
+            yield pd.DataFrame([row(now, state)], columns=names)
+
+    return events.filter(F.col("key").isNotNull()).repartition("key").sortWithinPartitions("key", *order).mapInPandas(fold, schema)
+
+
+def breaker_replay(events: DataFrame, key: str, at_ms: Column, order: Column, outcome: Column) -> DataFrame:
+    """Final state of each key's breaker, with blocked and all calls. Null keys don't count."""
 
-    def step(s: Column, e: Column) -> Column:
-        blocked = (s["state"] == "open") & (e["at"] - s["opened"] < COOLDOWN_MS)
-        trying = (s["state"] == "open") & ~blocked
-        failed = (e["outcome"] == "transient") & ~blocked
-        opens = failed & (trying | (s["failures"] + 1 >= FAILURES))
-        ok = ~blocked & ((e["outcome"] == "success") | (trying & (e["outcome"] == "permanent")))
-        state = F.when(blocked, s["state"]).when(opens, "open").otherwise("closed")
-        failures = F.when(ok, F.lit(0)).when(failed & ~trying, s["failures"] + 1).otherwise(s["failures"])
-        return F.struct(state.alias("state"), failures.alias("failures"), F.when(opens, e["at"]).otherwise(s["opened"]).alias("opened"), (s["blocked"] + blocked.cast("long")).alias("blocked"))
+    def step(s: tuple, e: tuple) -> tuple:
+        state, failures, opened, allowed = breaker_step(*s[:3], e[0], e[2])
+        return state, failures, opened, s[3] + (not allowed), s[4] + 1
 
-    start = F.struct(F.lit("closed").alias("state"), F.lit(0).alias("failures"), F.lit(0).cast("long").alias("opened"), F.lit(0).cast("long").alias("blocked"))
-    return ordered.withColumn("s", F.aggregate("e", start, step)).select("key", "s.state", "s.failures", "s.blocked", F.size("e").cast("long").alias("calls"))
+    ordered = events.select(F.col(key).alias("key"), at_ms.alias("at"), order.alias("o"), outcome.alias("outcome"))
+    kind = dict(ordered.dtypes)["key"]
+    return _folded(ordered, ["at", "o"], lambda: ("closed", 0, 0, 0, 0), step, lambda k, s: (k, s[0], s[1], s[3], s[4]), f"key {kind}, state string, failures int, blocked long, calls long")
 
 
 def breaker_stream(events: DataFrame) -> DataFrame:
@@ -73,29 +87,31 @@ def breaker_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("key").applyInPandasWithState(update, "key string, state string, failures long, blocked long, calls long", "state string, failures long, opened long, blocked long, calls long", "update", GroupStateTimeout.NoTimeout)
 
 
-def crawl_fold(events: DataFrame, key: str, order: Column, outcome: Column) -> DataFrame:
-    """Final crawl state of each key: unknown, collected, expired, retryable (with retries) or quarantined, or ingested.
+def crawl_step(state: str, retries: int, outcome: str) -> tuple[str, int]:
+    """A page's (state, retries) after an outcome: ok, gone, error, ingested or requeue.
 
-    outcome: ok, gone, error, ingested or requeue, in order. The fifth error quarantines; a requeue frees from quarantine.
+    The fifth error quarantines; a requeue frees from quarantine; what is expired or ingested stays so.
     """
-    ordered = events.groupBy(F.col(key).alias("key")).agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), outcome.alias("x")))).alias("e"))
-
-    def step(s: Column, e: Column) -> Column:
-        x, retries = e["x"], s["retries"]
-        free = ~s["state"].isin("quarantined", "expired", "ingested")
-        state = (
-            F.when((x == "requeue") & (s["state"] == "quarantined"), "unknown")
-            .when(free & (x == "ok"), "collected")
-            .when(free & (x == "gone"), "expired")
-            .when(free & (x == "error") & (retries + 1 >= MOST_RETRIES), "quarantined")
-            .when(free & (x == "error"), "retryable")
-            .when((s["state"] == "collected") & (x == "ingested"), "ingested")
-            .otherwise(s["state"])
-        )
-        n = F.when((x == "requeue") & (s["state"] == "quarantined"), F.lit(0)).when(free & (x == "error"), retries + 1).when(free & (x == "ok"), F.lit(0)).otherwise(retries)
-        return F.struct(state.alias("state"), n.alias("retries"))
-
-    return ordered.withColumn("s", F.aggregate("e", F.struct(F.lit("unknown").alias("state"), F.lit(0).alias("retries")), step)).select("key", "s.state", "s.retries")
+    if outcome == "requeue":
+        return ("unknown", 0) if state == "quarantined" else (state, retries)
+    if outcome == "ingested":
+        return ("ingested" if state == "collected" else state), retries
+    if state in ("quarantined", "expired", "ingested"):
+        return state, retries
+    if outcome == "ok":
+        return "collected", 0
+    if outcome == "gone":
+        return "expired", retries
+    if outcome == "error":
+        return ("quarantined" if retries + 1 >= MOST_RETRIES else "retryable"), retries + 1
+    return state, retries
+
+
+def crawl_fold(events: DataFrame, key: str, order: Column, outcome: Column) -> DataFrame:
+    """Final crawl state of each key: unknown, collected, expired, retryable (with retries) or quarantined, or ingested. Null keys don't count."""
+    ordered = events.select(F.col(key).alias("key"), order.alias("o"), outcome.alias("x"))
+    kind = dict(ordered.dtypes)["key"]
+    return _folded(ordered, ["o"], lambda: ("unknown", 0), lambda s, e: crawl_step(*s, e[1]), lambda k, s: (k, *s), f"key {kind}, state string, retries int")
 
 
 def needs_fetch(state: Column) -> Column:
