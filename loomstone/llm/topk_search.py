@@ -4,23 +4,24 @@ Vectors are turned into integers. With R the largest squared norm, each vector x
 sqrt(R - |x|^2), and each query a 0: the Euclidean distance of the two, squared, is R + |q|^2 - 2 q.x, so the
 nearest vectors are those of the highest inner products, in a metric space.
 
-The tree has three levels of nodes. Under the root stand routing objects (a bounded sample of the vectors), to the
-nearest of which each vector belongs. Their members are dealt into subtrees of about ``SUBTREE`` vectors, hot routing
-objects into many. A subtree is a set of leaf pages of at most ``PAGE`` vectors, each with its own routing object,
-covering radius and the distances of its members to that object; a page also keeps its object's distance to the
+The tree has four levels of nodes. Under the root stand routing objects (a bounded sample of the vectors), to the
+nearest of which each vector belongs. Under a routing object stand rings: its members by their distance to it, so that a
+ring lies between two radii. A ring's members are a subtree of about ``SUBTREE`` vectors, or several where very many lie
+at one distance (copies, say). A subtree is a set of leaf pages of at most ``PAGE`` vectors, each with its own routing
+object, covering radius and the distances of its members to that object; a page also keeps its object's distance to the
 parent. A subtree is one row of binary pages, so it is built and searched in one task of bounded memory.
 
-A query first searches one subtree under its nearest routing object, which bounds its k-th distance; then it goes only
-to the routing objects whose ball reaches into that bound, and in each subtree takes pages by their least possible
-distance, until that exceeds the bound. The distance of a query to a page's object is not computed where the distances
-of both to the parent already exclude the page, nor that to a member where the distances of both to the object do.
-Distances that bound are floats with a slack; scores are exact integers, so nothing is lost to rounding.
+A query first searches one subtree in the ring that is nearest to it, which bounds its k-th distance; then it goes only
+to the rings that reach into that bound, and in each subtree takes pages by their least possible distance, until that
+exceeds the bound. The distance of a query to a page's object is not computed where the distances of both to the parent
+already exclude the page, nor that to a member where the distances of both to the object do. Distances that bound are
+floats with a slack; scores are exact integers, so nothing is lost to rounding.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,10 @@ K = 10
 SCALE = 1024
 #: Most routing objects under the root (a bounded broadcast), vectors of a subtree, vectors of a page, queries of a block.
 ROOTS, SUBTREE, PAGE, BLOCK = 256, 4096, 64, 2048
+#: Steps of distance to a routing object in which its members are counted, to cut rings of about a subtree.
+STEPS = 512
+#: Pages that are searched together, at first (then twice as many each time).
+TOGETHER = 4
 #: A bound must exceed another by this share to exclude anything.
 SLACK = 1e-9
 _PAGES = "root int, part int, ids binary, vectors binary, objects binary, sizes binary, radii binary, to_parent binary, to_object binary"
@@ -93,53 +98,127 @@ class Best:
     """The k best (score, id) of a query: highest score, then smallest id."""
 
     def __init__(self, k: int, worst: float) -> None:
-        self.k, self.heap, self.floor = k, [], worst
+        self.k, self.floor = k, worst
+        self.scores, self.ids = np.zeros(0), np.zeros(0, np.int64)
 
     def offer(self, scores: np.ndarray, ids: np.ndarray) -> None:
         """floor: the score below which nothing counts any more."""
         keep = scores >= self.floor
-        for s, i in zip(scores[keep].tolist(), ids[keep].tolist(), strict=True):
-            if len(self.heap) < self.k:
-                heapq.heappush(self.heap, (s, -i))
-            elif (s, -i) > self.heap[0]:
-                heapq.heapreplace(self.heap, (s, -i))
-        if len(self.heap) == self.k:
-            self.floor = max(self.floor, self.heap[0][0])
+        if not keep.any():
+            return
+        scores, ids = np.concatenate([self.scores.astype(scores.dtype), scores[keep]]), np.concatenate([self.ids, ids[keep]])
+        if len(scores) > 8 * self.k:  # all that tie with the k-th stay
+            tie = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
+            scores, ids = scores[scores >= tie], ids[scores >= tie]
+        order = np.lexsort((ids, -scores))[: self.k]
+        self.scores, self.ids = scores[order], ids[order]
+        if len(order) == self.k:
+            self.floor = max(self.floor, self.scores[-1])
+
+
+@dataclass(frozen=True)
+class Space:
+    """Of the lifted space: the largest squared norm, the number of components, and what distances may be wrong by.
+
+    Squares of integers below 2**52 are exact floats. Beyond that distances get a slack of their own, and scores are
+    taken in 64-bit integers, which are exact where a score fits into one.
+    """
+
+    most: float
+    width: int
+
+    @property
+    def exact(self) -> bool:
+        return self.most < 1 << 52
+
+    @property
+    def slack(self) -> float:
+        return SLACK if self.exact else 8 * float(np.sqrt(self.width * 2.0**-52 * self.most))
+
+    def reach(self, norm: float | np.ndarray, floor: float | np.ndarray) -> float | np.ndarray:
+        """The distance beyond which nothing has a score of floor or more with a query of a squared norm."""
+        return np.sqrt(np.maximum(self.most + norm - 2 * floor, 0)) * (1 + SLACK) + self.slack
 
+    def below(self, floor: np.ndarray) -> np.ndarray:
+        """A score as a float that isn't above it."""
+        return floor if self.exact else np.where(np.isfinite(floor), floor - np.abs(floor) * 2.0**-51, floor)
 
-def search_pages(tree: dict[str, np.ndarray], parent: np.ndarray, own: int, q: np.ndarray, most: float, k: int, floor: float, told: dict | None = None) -> list[tuple[int, int]]:
+    def scores(self, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return x @ q if self.exact else (x.astype(np.int64) * q.astype(np.int64)).sum(1)
+
+
+def search_pages(tree: dict[str, np.ndarray], parent: np.ndarray, own: int, q: np.ndarray, space: Space, k: int, floor: float, told: dict | None = None) -> list[tuple[int, int]]:
     """The k best (score, id) of a query in a subtree, but its own id; floor: a score that k others are known to reach.
 
-    told: gets the number of distances computed to objects and to members.
+    Pages are taken by their least possible distance, some at a time. told: gets the number of distances computed to
+    objects and to members.
     """
     lifted = np.r_[q, 0.0]
     norm = float(q @ q)
     best = Best(k, floor)
-    reach = lambda: np.sqrt(max(most + norm - 2 * best.floor, 0)) * (1 + SLACK) + SLACK if best.floor > -np.inf else np.inf
     to_parent = float(np.sqrt(((lifted - parent) ** 2).sum()))
     least = np.maximum(np.abs(to_parent - tree["to_parent"]) - tree["radii"], 0)  # without a distance computed
     ends = np.cumsum(tree["sizes"])
-    queue = [(d, False, p, 0.0) for p, d in enumerate(least.tolist())]
-    heapq.heapify(queue)
     x, to_object, ids = tree["vectors"], tree["to_object"], tree["ids"]
     objects = members = 0
-    while queue:
-        d, known, p, mine = heapq.heappop(queue)
-        if d > reach():
-            break
-        if not known:
-            mine = float(np.sqrt(((lifted - tree["objects"][p]) ** 2).sum()))
-            objects += 1
-            heapq.heappush(queue, (max(d, mine - tree["radii"][p]), True, p, mine))
-            continue
-        part = slice(ends[p] - tree["sizes"][p], ends[p])
-        near = np.flatnonzero(np.abs(to_object[part] - mine) <= reach()) + part.start
-        members += len(near)
-        near = near[ids[near] != own]
-        best.offer(x[near, :-1] @ q, ids[near])
+    likely = np.argsort(least, kind="stable")
+    # a few pages first: what they hold bounds the rest
+    for group in (likely[:TOGETHER], likely[TOGETHER:]):
+        group = group[least[group] <= space.reach(norm, best.floor)]
+        objects += len(group)
+        mine = np.sqrt(((tree["objects"][group] - lifted) ** 2).sum(1))
+        nearest = np.maximum(least[group], mine - tree["radii"][group])
+        order = np.argsort(nearest, kind="stable")
+        at, step = 0, TOGETHER
+        while at < len(order) and nearest[order[at]] <= space.reach(norm, best.floor):
+            now = order[at : at + step]
+            at, step = at + step, 2 * step
+            sizes = tree["sizes"][group[now]]
+            rows = np.repeat(ends[group[now]] - np.cumsum(sizes), sizes) + np.arange(sizes.sum())
+            near = rows[np.abs(to_object[rows] - np.repeat(mine[now], sizes)) <= space.reach(norm, best.floor)]
+            members += len(near)
+            near = near[ids[near] != own]
+            best.offer(space.scores(x[near, :-1], q), ids[near])
     if told is not None:
         told["objects"], told["members"] = told.get("objects", 0) + objects, told.get("members", 0) + members
-    return [(int(s), -i) for s, i in best.heap]
+    return [(int(s), int(i)) for s, i in zip(best.scores.tolist(), best.ids.tolist(), strict=True)]
+
+
+@dataclass
+class Rings:
+    """Rings of the routing objects: root, least and greatest distance, first subtree and number of subtrees of each."""
+
+    root: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    first: np.ndarray
+    number: np.ndarray
+
+
+def cut_rings(counted: list[tuple[int, int, int, float, float]], subtree: int) -> tuple[Rings, list[tuple[int, int, int, int]]]:
+    """Rings of about a subtree, from counts (root, step, n, least and greatest distance), and (root, step, first, number) for each step.
+
+    Neighbouring steps of a routing object share a ring until it is full; a step with more than a subtree has several
+    subtrees of its own.
+    """
+    rings: list[list] = []
+    steps: list[tuple[int, int, int, int]] = []
+    held: dict[int, int] = {}  # members of a ring
+    parts = 0
+    for root, step, n, low, high in sorted(counted):
+        last = len(rings) - 1
+        if rings and rings[last][0] == root and held[last] + n <= subtree:
+            held[last] += n
+            rings[last][2] = high
+        else:
+            last += 1
+            held[last] = n
+            number = max(1, -(-n // subtree))
+            rings.append([root, low, high, parts, number])
+            parts += number
+        steps.append((root, step, rings[last][3], rings[last][4]))
+    kinds = (np.int32, float, float, np.int32, np.int32)
+    return Rings(*(np.array([r[i] for r in rings], dtype=k) for i, k in enumerate(kinds))), steps
 
 
 def _unpacked(row: pd.Series, width: int) -> dict[str, np.ndarray]:
@@ -152,19 +231,18 @@ def search(data: DataFrame, queries: DataFrame, k: int = K, roots: int = ROOTS,
 
     Returns query_id, rank (from 1), vec_id, score; fewer rows where there are fewer candidates. Vectors shorter than
     the longest count as padded with zeros. Rows that repeat an id count as rows of their own. No data or no queries
-    give no rows. Scores are exact where squared norms stay below 2**52 (float64); beyond that a ValueError tells so.
+    give no rows. Scores must fit into 64 bits.
     """
     spark = data.sparkSession
     scratch = Scratch(spark, "mtree")
     out = "query_id long, rank int, vec_id long, score long"
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    both = data.select(F.lit(1).alias("n"), square.alias("r"), F.size("v").alias("w")).unionByName(queries.select(F.lit(0).alias("n"), F.lit(0.0).alias("r"), F.size("v").alias("w")))
-    count, most, width = both.agg(F.sum("n"), F.max("r"), F.max("w")).first()
-    if not count:
+    both = data.select(F.lit(1).alias("n"), F.lit(0).alias("m"), square.alias("r"), F.size("v").alias("w")).unionByName(queries.select(F.lit(0).alias("n"), F.lit(1).alias("m"), F.lit(0.0).alias("r"), F.size("v").alias("w")))
+    count, n_queries, most, width = both.agg(F.sum("n"), F.sum("m"), F.max("r"), F.max("w")).first()
+    if not count or not n_queries:
         return spark.createDataFrame([], out)
-    if most >= 1 << 52:
-        raise ValueError("components are too large for exact scores")
-    width = max(width, 1)
+    space = Space(most, max(width, 1))
+    width = space.width
     n_roots = max(1, min(roots, round(count / subtree)))
     pivots = data.orderBy(F.xxhash64("id"), "id").limit(n_roots).collect()  # a bounded sample
     centres = _lift(_matrix([p.v for p in pivots], width), most)
@@ -172,24 +250,24 @@ def search(data: DataFrame, queries: DataFrame, k: int = K, roots: int = ROOTS,
     def routed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             if len(part):
-                d = _distances(_lift(_matrix(part["v"], width), most), centres)
-                yield part.assign(root=d.argmin(1).astype("int32"), far=d.min(1))
+                x = _lift(_matrix(part["v"], width), most)
+                root = _distances(x, centres).argmin(1)
+                yield part.assign(root=root.astype("int32"), far=np.sqrt(((x - centres[root]) ** 2).sum(1)))
 
     belongs = scratch.keep(data.mapInPandas(routed, "id long, v array<long>, root int, far double"), "routed")
-    balls = belongs.groupBy("root").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()  # a row for each routing object
-    parts = np.ones(len(centres), int)
-    radii = np.full(len(centres), -1.0)
-    for b in balls:
-        parts[b.root], radii[b.root] = -(-b.n // subtree), b.radius
+    radius = belongs.groupBy("root").agg(F.max("far").alias("radius"))  # a row for each routing object
+    step = F.least(F.lit(STEPS - 1), F.floor(F.coalesce(F.try_divide(F.col("far"), F.col("radius")), F.lit(0.0)) * STEPS)).cast("int")
+    stepped = belongs.join(F.broadcast(radius), "root").withColumn("step", step).drop("radius")
+    counted = stepped.groupBy("root", "step").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high"))
+    rings, steps = cut_rings([tuple(r) for r in counted.collect()], subtree)  # ROOTS * STEPS at most
 
     def built(pdf: pd.DataFrame) -> pd.DataFrame:
         root, part = int(pdf["root"].iloc[0]), int(pdf["part"].iloc[0])
         tree = build_pages(pdf["id"].to_numpy(np.int64), _lift(_matrix(pdf["v"], width), most), centres[root], page)
         return pd.DataFrame([{"root": root, "part": part, **{c: a.astype(np.int64 if c in ("ids", "sizes") else np.float64).tobytes() for c, a in tree.items()}}])
 
-    # A hot routing object's vectors are dealt evenly into subtrees.
-    n_parts = F.element_at(F.lit(parts.astype(np.int64)), F.col("root") + 1)
-    dealt = belongs.withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), n_parts).cast("int"))
+    ringed = stepped.join(F.broadcast(spark.createDataFrame(steps, "root int, step int, first int, number int")), ["root", "step"])  # ROOTS * STEPS at most
+    dealt = ringed.select("id", "v", "root", (F.col("first") + F.pmod(F.xxhash64("id", F.lit(7)), F.col("number"))).cast("int").alias("part"))
     trees = scratch.keep(dealt.groupBy("root", "part").applyInPandas(built, _PAGES), "trees")
     scratch.drop(belongs)
 
@@ -199,7 +277,7 @@ def search(data: DataFrame, queries: DataFrame, k: int = K, roots: int = ROOTS,
             tree = _unpacked(theirs.iloc[0], width)
             parent = centres[int(key[0])]
             for query, q, floor in zip(mine["id"], _matrix(mine["v"], width), mine["floor"], strict=True):
-                rows += [(query, i, s) for s, i in search_pages(tree, parent, query, q, most, k, floor)]
+                rows += [(query, i, s) for s, i in search_pages(tree, parent, query, q, space, k, floor)]
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
     def visit(asked: DataFrame) -> DataFrame:
@@ -213,37 +291,41 @@ def search(data: DataFrame, queries: DataFrame, k: int = K, roots: int = ROOTS,
         w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
-    n_queries = queries.count()
     asked_of = "id long, v array<long>, root int, part int, floor double"
 
+    def to_rings(q: np.ndarray) -> np.ndarray:
+        """Least distance of each query to each ring."""
+        d = _distances(np.c_[q, np.zeros(len(q))], centres)[:, rings.root]
+        return np.maximum(np.maximum(rings.low - d, d - rings.high), 0)
+
+    def home_of(ids: pd.Series, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ring and subtree in which a query's search begins."""
+        ring = least.argmin(1)
+        return ring, rings.first[ring] + ids.to_numpy() % rings.number[ring]
+
     def home(parts_of: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """One subtree under the nearest routing object that has members."""
         for part in parts_of:
             if len(part):
-                q = _matrix(part["v"], width)
-                d = _distances(np.c_[q, np.zeros(len(q))], centres)
-                d[:, radii < 0] = np.inf
-                root = d.argmin(1)
-                yield part.assign(root=root.astype("int32"), part=(part["id"].to_numpy() % parts[root]).astype("int32"), floor=-np.inf)[["id", "v", "root", "part", "floor"]]
+                ring, at = home_of(part["id"], to_rings(_matrix(part["v"], width)))
+                yield part.assign(root=rings.root[ring], part=at.astype("int32"), floor=-np.inf)[["id", "v", "root", "part", "floor"]]
 
     first = scratch.keep(visit(queries.mapInPandas(home, asked_of)), "first")
     floors = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("s")).select(F.col("query_id").alias("id"), F.when(F.col("n") >= k, F.col("s").cast("double")).alias("floor"))
 
     def rest(parts_of: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Every other subtree under the routing objects whose ball reaches into the bound."""
+        """Every other subtree of the rings that reach into the bound."""
         for part in parts_of:
             rows = []
             if len(part):
                 q = _matrix(part["v"], width)
-                d = _distances(np.c_[q, np.zeros(len(q))], centres)
-                d[:, radii < 0] = np.inf
-                floor = part["floor"].fillna(-np.inf).to_numpy(float)
-                reach = np.sqrt(np.maximum(most + (q * q).sum(1) - 2 * floor, 0)) * (1 + SLACK) + SLACK
-                homes = d.argmin(1)
+                least = to_rings(q)
+                floor = space.below(part["floor"].fillna(-np.inf).to_numpy(float))
+                reach = space.reach((q * q).sum(1), floor)
+                _, homes = home_of(part["id"], least)
                 for i, (query, v) in enumerate(zip(part["id"], part["v"], strict=True)):
-                    for root in np.flatnonzero(d[i] - radii * (1 + SLACK) <= reach[i]):
-                        skip = query % parts[root] if root == homes[i] else -1
-                        rows += [(query, v, root, p, floor[i]) for p in range(parts[root]) if p != skip]
+                    for ring in np.flatnonzero(least[i] * (1 - SLACK) - space.slack <= reach[i]):
+                        first_part = int(rings.first[ring])
+                        rows += [(query, v, int(rings.root[ring]), p, floor[i]) for p in range(first_part, first_part + int(rings.number[ring])) if p != homes[i]]
             yield pd.DataFrame(rows, columns=["id", "v", "root", "part", "floor"])
 
     asked = queries.join(floors, "id", "left").mapInPandas(rest, asked_of)

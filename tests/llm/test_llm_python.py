@@ -46,6 +46,34 @@ def test_search_is_exact(spark, kind):
     assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in got} == brute_top(rows, 5)
 
 
+def test_search_is_exact_beyond_exact_floats(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(-(1 << 29), 1 << 29, (600, 3))
+    x[::4] = x[0] + rng.integers(0, 2, (150, 3))
+    df = spark.createDataFrame([(i, [int(c) for c in v]) for i, v in enumerate(x)], "id long, v array<long>")
+    got = topk_search.search(df, df.filter("id % 50 = 0"), k=5, roots=4, subtree=60, page=16).collect()
+    scores = x.astype(object) @ x.astype(object).T
+    expected = {}
+    for q in range(0, 600, 50):
+        best = sorted((-scores[q, i], i) for i in range(600) if i != q)[:5]
+        expected |= {(q, rank): (i, -s) for rank, (s, i) in enumerate(best, 1)}
+    assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in got} == expected
+
+
+def test_rings_hold_a_subtree_each():
+    rng = random.Random(1)
+    counted = [(root, step, rng.choice([1, 7, 40, 250]), step / 9, step / 9 + 0.05) for root in range(5) for step in range(30) if rng.random() < 0.8]
+    rings, steps = topk_search.cut_rings(counted, 100)
+    held = {}
+    for (root, step, n, low, high), (r, s, first, number) in zip(sorted(counted), steps, strict=True):
+        assert (root, step) == (r, s)
+        ring = rings.first.tolist().index(first)
+        assert rings.root[ring] == root and rings.low[ring] <= low and high <= rings.high[ring] and rings.number[ring] == number
+        held[first, number] = held.get((first, number), 0) + n
+    assert all(n <= 100 * number for (_, number), n in held.items())
+    assert rings.first.tolist() == [0, *np.cumsum(rings.number)[:-1].tolist()]
+
+
 def test_search_of_nothing(spark):
     df = spark.createDataFrame([], "id long, v array<long>")
     assert topk_search.search(df, df).count() == 0
@@ -61,7 +89,7 @@ def test_bounds_save_distances():
     tree = topk_search.build_pages(np.arange(4000), lifted, parent)
     told = {}
     for q in range(0, 4000, 400):
-        got = topk_search.search_pages(tree, parent, q, x[q], most, 10, -np.inf, told)
+        got = topk_search.search_pages(tree, parent, q, x[q], topk_search.Space(most, 8), 10, -np.inf, told)
         scores = x @ x[q]
         order = [i for i in np.lexsort((np.arange(4000), -scores)) if i != q][:10]
         assert sorted(got, key=lambda g: (-g[0], g[1])) == [(int(scores[i]), int(i)) for i in order]
