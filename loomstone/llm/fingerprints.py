@@ -20,6 +20,8 @@ the query.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -112,40 +114,65 @@ def likeness(a: str, b: str) -> Column:
     return F.expr(_let(gap, "g", _let(total, "t", f"case when {a} = {b} then 1D when t = 0 then 0D else greatest(0D, 1D - g / cast(t as double)) end")))
 
 
-def with_next(docs: DataFrame, key: str, carried: list[str]) -> DataFrame:
-    """Add for each row ``next``, a struct of the carried columns of the row after it by descending key, circularly.
-
-    Null keys come last; rows of one key are ordered by the carried columns. The rows are dealt into buckets of
-    neighbouring keys, between split points that are keys of the table (approximate quantiles); the row at a split
-    point also goes, as a guest, to the end of the bucket before its own. So a window over each bucket suffices.
+def _ordered_bucket(splits: list[int], numbers: list[int]) -> Column:
+    """SQL column: bucket of ``__key`` and ``__hash``; the lists tell each bucket's greatest key (descending) and into how many it is cut by hash."""
+    steps = max(1, len(splits).bit_length())
+    # the index of the last split point that is not below the key
+    middle = 'if(__splits[mid] >= __key, named_struct("lo", mid, "hi", s.hi), named_struct("lo", s.lo, "hi", mid - 1))'
+    search = f"aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', {len(splits) - 1}), (s, i) -> if(s.lo = s.hi, s, {_let('cast(floor((s.lo + s.hi + 1) / 2) as int)', 'mid', middle)}), s -> s.lo)"
+    # hashes are dealt by range, so that buckets follow each other in the order of hashes too
+    cut = "least(__numbers[i] - 1, cast(floor((__hash / 18446744073709551616D + 0.5D) * __numbers[i]) as int))"
+    return F.expr(_let(search, "i", f"__firsts[i] + {cut}"))
+
+
+def with_next(docs: DataFrame, key: str, text: str, make: Callable[[DataFrame], DataFrame], carried: list[str]) -> DataFrame:
+    """``make`` of the rows, with a column ``next`` more: a struct of the carried columns of the row after each by descending key, circularly.
+
+    Null keys come last; rows of one key are ordered by a hash of their text, then the text. The rows are dealt into
+    buckets that follow each other in this order: by approximate quantiles of the keys, which needn't be keys, and keys
+    with much of all rows (found by exact counts) in buckets of their own, by ranges of the hash. The first row of a
+    bucket also goes, as a guest, to the end of the bucket before. So a window over each bucket suffices. Columns whose
+    names begin with two underscores, and ``next``, are the operator's own and must not be in docs.
     """
     spark = docs.sparkSession
-    keyed = docs.withColumn("__key", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))))
+    null = F.lit(-(1 << 63))
+    keyed = docs.withColumns({"__key": F.coalesce(F.col(key).cast("long"), null), "__hash": F.xxhash64(text)})
     n = min(MOST_BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    top = keyed.agg(F.max("__key")).first()[0]
-    if top is None:
-        return docs.withColumn("next", F.lit(None).cast(docs.select(F.struct(*carried)).dtypes[0][1]))
+    top, rows = keyed.agg(F.max("__key"), F.count("*")).first()
+    if not rows:
+        return make(docs).withColumn("next", F.lit(None).cast(make(docs).select(F.struct(*carried)).dtypes[0][1]))
     points = keyed.select(F.col("__key").cast("double").alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.5 / n)
-    splits = sorted({int(x) for x in points if x < top and abs(x) < 1 << 53} | {top})
-    steps = max(1, len(splits).bit_length())
-    found = keyed.withColumn("__splits", F.lit(np.array(splits, dtype=np.int64))).withColumn(
-        "__b",  # the index of the least split point that is not below the key
-        F.expr(f"aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', {len(splits) - 1}), (s, i) -> {_let('cast(floor((s.lo + s.hi) / 2) as int)', 'mid', 'if(__splits[mid] >= __key, named_struct("lo", s.lo, "hi", mid), named_struct("lo", least(mid + 1, s.hi), "hi", s.hi))')}, s -> s.hi)"),
-    )
+    most = max(2, -(-rows // n))
+    hot = {r["__key"]: r["count"] for r in keyed.groupBy("__key").count().filter(F.col("count") >= most).collect()}  # n at most
+    ends = {max(-(1 << 63), int(x)) for x in points} | set(hot) | {k - 1 for k in hot if k > -(1 << 63)}
+    splits = sorted({x for x in ends if x < top} | {top}, reverse=True)
+    numbers = [-(-hot.get(x, 0) // most) or 1 for x in splits]
+    lists = {"__splits": splits, "__numbers": numbers, "__firsts": [0, *np.cumsum(numbers)[:-1].tolist()]}
+    lit = lambda values: F.lit(np.array(values, dtype=np.int64))
+    found = keyed.withColumns({k: lit(v) for k, v in lists.items()}).withColumn("__b", _ordered_bucket(splits, numbers)).drop(*lists)
+    # of each bucket that has rows: the first one's key and hash (two numbers for each of some n buckets)
+    heads = sorted((r["__b"], -r.h["k"], r.h["__hash"]) for r in found.groupBy("__b").agg(F.min(F.struct((-1 - F.col("__key")).alias("k"), "__hash")).alias("h")).collect())
+    heads = [(b, k - 1, h) for b, k, h in heads]
+    size = heads[-1][0] + 1
+    first = {name: [0] * size for name in ("__head_key", "__head_hash", "__before")}
+    for (b, k, h), (before, *_) in zip(heads, [heads[-1], *heads], strict=False):
+        first["__head_key"][b], first["__head_hash"][b], first["__before"][b] = k, h, before
     own = F.struct(F.col("__b").alias("b"), F.lit(False).alias("guest"))
-    before = F.struct(((F.col("__b") + 1) % F.lit(len(splits))).alias("b"), F.lit(True).alias("guest"))
-    dealt = found.withColumn("__to", F.explode(F.when(F.expr("__splits[__b]") == F.col("__key"), F.array(own, before)).otherwise(F.array(own)))).drop("__splits", "__b")
-    w = W.partitionBy("__to.b").orderBy("__to.guest", F.desc("__key"), *carried)
-    return dealt.withColumn("next", F.lead(F.struct(*carried)).over(w)).filter(~F.col("__to.guest")).drop("__to", "__key")
+    guest = F.struct(F.expr("__before[__b]").alias("b"), F.lit(True).alias("guest"))
+    is_first = F.expr("__head_key[__b] = __key and __head_hash[__b] = __hash")
+    dealt = found.withColumns({k: lit(v) for k, v in first.items()}).withColumn("__to", F.explode(F.when(is_first, F.array(own, guest)).otherwise(F.array(own)))).drop("__b", *first)
+    w = W.partitionBy("__to.b").orderBy("__to.guest", F.desc("__key"), "__hash", text)
+    return make(dealt).withColumn("next", F.lead(F.struct(*carried)).over(w)).filter(~F.col("__to.guest")).drop("__to", "__key", "__hash")
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text of ``documents`` and of its edited text, with likenesses.
 
-    Null texts count as empty; an empty table gives no rows; a single document is its own next one.
+    Null texts count as empty; an empty table gives no rows; a single document is its own next one; columns of the table
+    beyond doc_id and text are not read.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    paired = with_next(docs.withColumn("v", vector("text")), "doc_id", ["text", "v"])
+    paired = with_next(docs, "doc_id", "text", lambda df: df.withColumn("v", vector("text")), ["text", "v"])
     half = "cast(floor(length(text) / 2) as int)"
     edited = paired.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.expr(f"concat(substring(text, 1, length(text) - {half}), substring(next.text, 1, {half}))"))
     full = edited.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "v", vector("edited").alias("ev"), F.col("next.v").alias("nv"))

@@ -129,14 +129,32 @@ def test_next_documents_in_a_circle(spark):
     rng = random.Random(1)
     ids = [*rng.sample(range(100000), 500), None]
     df = docs_of(spark, [(i, f"t{i}") for i in ids]).repartition(7)
-    got = {r.doc_id: r.n for r in fingerprints.with_next(df, "doc_id", ["text"]).select("doc_id", F.col("next.text").alias("n")).collect()}
+    following = lambda df: fingerprints.with_next(df, "doc_id", "text", lambda x: x, ["text"])
+    got = {r.doc_id: r.n for r in following(df).select("doc_id", F.col("next.text").alias("n")).collect()}
     order = [*sorted((i for i in ids if i is not None), reverse=True), None]
     assert got == {a: f"t{b}" for a, b in zip(order, [*order[1:], order[0]], strict=True)}
-    single = fingerprints.with_next(docs_of(spark, [(5, "x")]), "doc_id", ["text"]).first()
-    assert single.next.text == "x"
-    assert fingerprints.with_next(docs_of(spark, []), "doc_id", ["text"]).count() == 0
-    twice = fingerprints.with_next(docs_of(spark, [(5, "b"), (5, "a"), (4, "c")]), "doc_id", ["text"]).collect()
-    assert {(r.text, r.next.text) for r in twice} == {("a", "b"), ("b", "c"), ("c", "a")}
+    assert following(docs_of(spark, [(5, "x")])).first().next.text == "x"
+    assert following(docs_of(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["wide", "hot", "one", "null", "ends"])
+def test_next_documents_of_any_ids(spark, kind):
+    rng = random.Random(7)
+    ids = {
+        "wide": [rng.randrange(-(1 << 63), 1 << 63) for _ in range(400)],
+        "hot": [rng.choice([7, 7, 7, (1 << 60) + rng.randrange(9), (1 << 60) + 5]) for _ in range(400)],
+        "one": [3] * 300,
+        "null": [None] * 200 + [1],
+        "ends": [-(1 << 63), (1 << 63) - 1] * 40 + [None] * 3 + [-(1 << 63) + 1],
+    }[kind]
+    df = docs_of(spark, [(i, f"text {k}") for k, i in enumerate(ids)]).repartition(5)
+    low = -(1 << 63)
+    rows = df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    order = [r.text for r in sorted(rows, key=lambda r: (-(low if r.doc_id is None else r.doc_id), r.h, r.text))]
+    paired = fingerprints.with_next(df, "doc_id", "text", lambda x: x, ["text"])
+    got = {r.text: r.next.text for r in paired.collect()}
+    assert paired.columns == [*df.columns, "next"]
+    assert got == dict(zip(order, [*order[1:], order[0]], strict=True))
 
 
 # --- secrets
