@@ -118,30 +118,39 @@ def schedule(blocks: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
     return started.filter(F.col("start") < F.col("budget")).select("source", "block", "epoch", "start", (F.col("start") / F.col("budget")).alias("at"))
 
 
-def mixed(docs: DataFrame, carried: list[str], *, whole: bool = False, target: float | None = ENTROPY, repetitions: float | None = REPETITIONS, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix: a row per document and epoch with the carried columns, mix_tokens, mix_epoch, mix_block and mix_at.
+#: Columns that the mix adds.
+ADDED = ("mix_tokens", "mix_epoch", "mix_block", "mix_at")
+
+
+def mixed(docs: DataFrame, carried: list[str], *, whole: bool = False, target: float | None = ENTROPY, repetitions: float | None = REPETITIONS, key: str = "doc_id", text: str = "text", source: str = "source", added: bool = True) -> DataFrame:
+    """The mix: a row per document and epoch with the carried columns and, if added, mix_tokens, mix_epoch, mix_block and mix_at.
 
     whole: the budget is such that every document is in the mix; otherwise it is the corpus' number of tokens. Null
     sources count as the source with an empty name; rows that repeat an id share a block; an empty table gives no rows.
+    Carried columns may have any names; those of the added ones are replaced by them.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    name = F.coalesce(F.col(source), F.lit(""))
-    hashed = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.xxhash64(F.col(text)).cast("string")))
-    counted = scratch.keep(docs.select(name.alias("source"), hashed.alias("hash"), count_tokens(F.col(text)).alias("tokens")), "counted")
+    quoted = lambda c: F.col(f"`{c}`")
+    name = F.coalesce(quoted(source), F.lit(""))
+    hashed = F.xxhash64(F.coalesce(quoted(key).cast("string"), F.xxhash64(quoted(text)).cast("string")))
+    counted = scratch.keep(docs.select(name.alias("source"), hashed.alias("hash"), count_tokens(quoted(text)).alias("tokens")), "counted")
     totals = counted.groupBy("source").agg(F.sum("tokens").alias("tokens")).limit(MOST_SOURCES + 1).collect()
     if len(totals) > MOST_SOURCES:
         raise ValueError(f"there are more than {MOST_SOURCES} sources")
     tokens = {r.source: r.tokens for r in totals}
     mix = solve(tokens, None if whole else float(sum(tokens.values())), target, repetitions)
     plan = spark.createDataFrame([(s, n, mix.budgets[s], max(LEAST_BLOCKS, round(n / BLOCK_TOKENS))) for s, n in sorted(tokens.items())], "source string, tokens long, budget double, n_blocks long")
-    sized = F.broadcast(plan.select(F.col("source").alias("__source"), F.col("n_blocks").alias("__n")))  # a row per source, MOST_SOURCES at most
-    block = lambda df, s, h: df.join(sized, s == F.col("__source")).withColumn("__block", F.pmod(h, F.col("__n")))
-    blocks = block(counted, F.col("source"), F.col("hash")).groupBy("source", F.col("__block").alias("block")).agg(F.sum("tokens").alias("tokens"))
-    taken = scratch.keep(schedule(blocks, plan.drop("n_blocks")), "schedule").select(F.col("source").alias("__s"), F.col("block").alias("__b"), F.col("epoch").alias("mix_epoch"), F.col("block").alias("mix_block"), F.col("at").alias("mix_at"))
-    rows = block(docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys(carried)), name.alias("__name"), hashed.alias("__hash"), count_tokens(F.col(text)).alias("mix_tokens")), F.col("__name"), F.col("__hash"))
-    found = rows.join(taken, (F.col("__name") == F.col("__s")) & (F.col("__block") == F.col("__b")))
-    return found.select(*(F.col(f"`{c}`") for c in carried), "mix_tokens", "mix_epoch", "mix_block", "mix_at")
+    sized = F.broadcast(plan.select("source", "n_blocks"))  # a row per source, MOST_SOURCES at most
+    block = lambda df: df.join(sized, "source").withColumn("block", F.pmod("hash", F.col("n_blocks"))).drop("n_blocks", "hash")
+    blocks = block(counted).groupBy("source", "block").agg(F.sum("tokens").alias("tokens"))
+    taken = scratch.keep(schedule(blocks, plan.drop("n_blocks")), "schedule").select("source", "block", "epoch", "at")
+    scratch.drop(counted)
+    # the carried columns in a struct of their own, so that no name of theirs meets one of the mix
+    row = F.struct(*(quoted(c) for c in dict.fromkeys(carried)))
+    found = block(docs.select(row.alias("row"), name.alias("source"), hashed.alias("hash"), count_tokens(quoted(text)).alias("tokens"))).join(taken, ["source", "block"])
+    own = [F.col(c).alias(a) for c, a in zip(("tokens", "epoch", "block", "at"), ADDED, strict=True)] if added else []
+    return found.select(*(F.col(f"row.`{c}`") for c in dict.fromkeys(carried) if not (added and c.lower() in ADDED)), *own)
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
