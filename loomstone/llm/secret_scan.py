@@ -113,21 +113,22 @@ def _judged(spans: str, copied: str) -> Column:
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source") -> DataFrame:
     """The table with every span in the text replaced: live ones by ``SECRET``, widely copied ones by ``EXAMPLE``.
 
-    Overlapping spans are replaced once, as live if the first of them is. All rows and columns stay (and if there is an
-    ``n_chars`` column, it follows the text); texts without spans, null ones included, stay as they are.
+    Overlapping spans are replaced once, as live if the first of them is. All rows and columns stay, of whatever names
+    (and if there is an ``n_chars`` column, it follows the text); texts without spans, null ones included, stay as they are.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
-    spotted = docs.withColumn("__spans", F.when(F.col(text).isNull(), F.expr(f"cast(array() as array<{SPAN}>)")).otherwise(candidates(text)))
-    some = spotted.filter(F.size("__spans") > 0).withColumn("__id", identity(key, text))
-    found = scratch.keep(some.select(F.col("__id").alias("id"), F.col(owner).alias("owner"), F.col("__spans").alias("spans")), "found")
-    copied = copied_values(found).withColumnRenamed("id", "__id").withColumnRenamed("copied", "__copied")
-    judged = some.join(copied, "__id", "left").withColumn("__judged", _judged("__spans", "__copied"))
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{owner}`").cast("string").alias("owner"))
+    # the patterns are searched once: spans are written with their rows
+    spotted = scratch.keep(own.select("row", "text", "owner", identity("key", "text").alias("id"), F.when(F.col("text").isNull(), none).otherwise(candidates("text")).alias("spans")), "spotted")
+    some = spotted.filter(F.size("spans") > 0)
+    copied = copied_values(some.select("id", "owner", "spans"))
+    judged = some.select("row", "text", "id", "spans").join(copied, "id", "left").select("row", "text", _judged("spans", "copied").alias("judged"))
     mark = f"if(s.copied, '{EXAMPLE}', '{SECRET}')"
-    step = f"if(s.start >= a.at, named_struct('at', s.end, 'out', concat(a.out, substring(`{text}`, a.at + 1, s.start - a.at), {mark})), named_struct('at', greatest(a.at, s.end), 'out', a.out))"
-    masked = judged.withColumn(text, F.expr(f"aggregate(__judged, named_struct('at', 0, 'out', ''), (a, s) -> {step}, a -> concat(a.out, substring(`{text}`, a.at + 1)))"))
-    if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return masked.select(*docs.columns).unionByName(spotted.filter(F.size("__spans") == 0).select(*docs.columns))
+    step = f"if(s.start >= a.at, named_struct('at', s.end, 'out', concat(a.out, substring(text, a.at + 1, s.start - a.at), {mark})), named_struct('at', greatest(a.at, s.end), 'out', a.out))"
+    masked = judged.select("row", F.expr(f"aggregate(judged, named_struct('at', 0, 'out', ''), (a, s) -> {step}, a -> concat(a.out, substring(text, a.at + 1)))").alias("text"))
+    changed = {text: F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {text: F.col("text")}
+    return masked.select(*(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns)).unionByName(spotted.filter(F.size("spans") == 0).select("row.*"))
 
 
 def _listed(spans: Column) -> Column:
