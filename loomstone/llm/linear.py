@@ -60,6 +60,15 @@ class Incidence:
     def transposed_times(self, v: np.ndarray) -> np.ndarray:
         return np.bincount(self.column, v[self.row], self.width)
 
+    def only(self, columns: list[int]) -> Incidence:
+        """The matrix with zeros in all other columns."""
+        mask = np.zeros(self.width + 1, bool)
+        mask[columns] = True
+        out = Incidence([], self.width)
+        held = mask[self.column]
+        out.row, out.column, out.height = self.row[held], self.column[held], self.height
+        return out
+
     def take(self, keep: np.ndarray) -> Incidence:
         """The rows where keep holds."""
         out = Incidence([], self.width)

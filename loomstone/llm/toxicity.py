@@ -13,6 +13,7 @@ Models are fitted on a bounded sample of labelled rows: at most ``POSITIVE`` row
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,7 +24,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from .linear import Incidence, fit_sparse_logistic, sigmoid
-from .scratch import Scratch
+from .scratch import Scratch, bound_batches
 
 #: Labelled rows to learn from, at most; features kept for each category; folds; L1 penalty; decision threshold.
 POSITIVE, NEGATIVE, FEATURES, FOLDS, LASSO, THRESHOLD = 4000, 8000, 600, 3, 1e-5, 0.5
@@ -78,7 +79,7 @@ class Reader:
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, names: list[str], positive: int, negative: int) -> tuple[DataFrame, dict[int, float]]:
-    """Texts of the sampled labelled rows with their categories, and the weight of rows without and with the last category."""
+    """Texts of the sampled labelled rows with their categories, one for each id (the least text), and the weight of rows without and with the last category."""
     truth = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*(F.max(F.col(n).cast("int")).alias(n) for n in names)).dropna()
     last = names[-1]
     counts = {r[last]: r["count"] for r in truth.groupBy(last).count().collect()}
@@ -87,63 +88,86 @@ def _sampled(docs: DataFrame, labels: DataFrame, names: list[str], positive: int
     schema = ", ".join(["doc_id long", *(f"{n} int" for n in names)])
     ids = F.broadcast(spark.createDataFrame(chosen, schema))
     weights = {y: n / max(1, sum(1 for c in chosen if c[-1] == y)) for y, n in counts.items()}
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id"), weights
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id")
+    return found.groupBy("doc_id", *names).agg(F.min("text").alias("text")), weights
+
+
+def _chosen(found: DataFrame, names: list[str], name: str, fold: int | None, features: int) -> list[str]:
+    """The features that tell most of a category, by counts of all rows or of those outside a fold.
+
+    found: feature and, for each fold k, n_k and the number of rows with each category, c_k. That is how far the share of
+    the category among rows with the feature is from that among all, in standard errors. The feature "" counts rows.
+    """
+    kept = [k for k in range(FOLDS) if k != fold]
+    of = lambda c: sum((F.col(f"{c}_{k}") for k in kept), F.lit(0))
+    counted = found.select("feature", of("n").alias("n"), of(name).alias("y"))
+    rows = counted.filter("feature = ''").first()
+    if not rows or not 0 < rows.y < rows.n:
+        return []
+    share = rows.y / rows.n
+    gap = F.abs(F.col("y") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)) + 1)
+    return [r.feature for r in counted.filter((F.col("n") >= LEAST_DOCS) & (F.col("feature") != "")).orderBy(F.desc(F.round(gap, 9)), "feature").limit(features).collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, names: list[str], positive: int = POSITIVE, negative: int = NEGATIVE) -> Chain:
     """Learn a chain.
 
     docs: doc_id, text. labels: doc_id and a column of 0 and 1 (or booleans) for each category, in the chain's order; of
-    several labels of a row the highest counts, rows with a null one don't. A category that all or no rows have gets the
-    same probability everywhere.
+    several labels of a row the highest counts, rows with a null one don't; of several texts of an id the least counts. A
+    category that all or no rows have gets the same probability everywhere. An out-of-fold probability comes from a model
+    whose features were chosen without the fold, too.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     sample, weights = _sampled(docs, labels, names, positive, negative)
-    sample = scratch.keep(sample.repartition(48, F.md5("text")), "sample")  # bounded; spread by text
-    total = sample.agg(F.count("*").alias("n"), *(F.sum(n).alias(n) for n in names)).first()
-    n_rows = total["n"]
+    dealt = sample.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")).repartition(48, F.xxhash64("doc_id", F.lit(1)))  # bounded
+    sample = scratch.keep(dealt, "sample")
+    kinds = ["n", *names]
+    columns = [f"{c}_{k}" for c in kinds for k in range(FOLDS)]
 
     def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = [Counter() for _ in range(len(names) + 1)]
+        counts = {c: Counter() for c in columns}
         for part in parts:
             for row in part.itertuples(index=False):
-                own = {f for w in words_of(row.text) for f in features_of(w)}
-                counts[0].update(own)
-                for c, n in zip(counts[1:], names, strict=True):
-                    if getattr(row, n):
-                        c.update(own)
-        yield pd.DataFrame([(f, n, *(c[f] for c in counts[1:])) for f, n in counts[0].items()], columns=["feature", "n", *names])
-
-    schema = ", ".join(["feature string", "n long", *(f"{n} long" for n in names)])
-    found = scratch.keep(sample.mapInPandas(counted, schema).groupBy("feature").agg(F.sum("n").alias("n"), *(F.sum(n).alias(n) for n in names)).filter(F.col("n") >= LEAST_DOCS), "features")
+                own = {"", *(f for w in words_of(row.text) for f in features_of(w))}
+                for c in ["n", *(n for n in names if getattr(row, n))]:
+                    counts[f"{c}_{row.fold}"].update(own)
+        every = sorted(set().union(*counts.values()))
+        yield pd.DataFrame({"feature": pd.Series(every, dtype=object)} | {c: np.array([counts[c][f] for f in every], dtype=np.int64) for c in columns}, columns=["feature", *columns])
+
+    schema = ", ".join(["feature string", *(f"{c} long" for c in columns)])
+    totals = sample.mapInPandas(counted, schema).groupBy("feature").agg(*(F.sum(c).alias(c) for c in columns))
+    found = scratch.keep(totals.filter(sum((F.col(f"n_{k}") for k in range(FOLDS)), F.lit(0)) >= LEAST_DOCS).union(totals.filter("feature = ''")).distinct(), "features")
     index: dict[str, int] = {}
-    for name in names:
-        if 0 < (ones := total[name] or 0) < n_rows:
-            # how far the share of the category among rows with the feature is from that among all, in standard errors
-            share = ones / n_rows
-            gap = F.abs(F.col(name) - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)) + 1)
-            for r in found.orderBy(F.desc(F.round(gap, 9)), "feature").limit(FEATURES).collect():
-                index.setdefault(r.feature, len(index))
+
+    def numbered(features: list[str]) -> list[int]:
+        return [index.setdefault(f, len(index)) for f in features]
+
+    chosen = {(name, None): numbered(_chosen(found, names, name, None, FEATURES)) for name in names}
+    chosen |= {(name, k): numbered(_chosen(found, names, name, k, FEATURES)) for name in names[:-1] for k in range(FOLDS)}
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(index)
         for part in parts:
             yield part.drop(columns="text").assign(columns=[reader.columns(t) for t in part["text"]])
 
-    rows = sample.mapInPandas(read, ", ".join(["doc_id long", *(f"{n} int" for n in names), "columns array<int>"])).toPandas().sort_values("doc_id", kind="stable")
+    rows = sample.select("doc_id", *names, "fold", "text").mapInPandas(read, ", ".join(["doc_id long", *(f"{n} int" for n in names), "fold int", "columns array<int>"]))
+    rows = rows.toPandas().sort_values("doc_id", kind="stable")
+    scratch.drop(sample, found)
     x = Incidence([list(c) for c in rows["columns"]], len(index))
     weight = rows[names[-1]].map(weights).to_numpy(float) if len(rows) else np.zeros(0)
-    fold = np.arange(len(rows)) % FOLDS
+    fold = rows["fold"].to_numpy(int)
+    # a model of a category may use the features chosen for it and for those before it
+    allowed = lambda at, k: sorted({i for n in names[: at + 1] for i in chosen.get((n, k), chosen[n, None])})
     earlier, coefficients = np.zeros((len(rows), 0)), []
-    for name in names:
+    for at, name in enumerate(names):
         y = rows[name].to_numpy(float)
         outside = np.zeros(len(rows))
         if name != names[-1]:
             for k in range(FOLDS):
                 rest, own = fold != k, fold == k
-                b = fit_sparse_logistic(x.take(rest), earlier[rest], y[rest], weight[rest], LASSO)
+                b = fit_sparse_logistic(x.only(allowed(at, k)).take(rest), earlier[rest], y[rest], weight[rest], LASSO)
                 outside[own] = sigmoid(_logit(x.take(own), earlier[own], b))
-        coefficients.append(fit_sparse_logistic(x, earlier, y, weight, LASSO))
+        coefficients.append(fit_sparse_logistic(x.only(allowed(at, None)), earlier, y, weight, LASSO))
         earlier = np.c_[earlier, outside]
     return Chain(names, index, coefficients)
 
@@ -176,10 +200,19 @@ def label_categories(labels: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents with ``p_degraded``, ``p_toxic`` and ``is_toxic`` (0 or 1); rows are kept one to one."""
+    """The documents with ``p_degraded``, ``p_toxic`` and ``is_toxic`` (0 or 1), which replace columns of these names; rows are kept one to one."""
+    chain = fit(docs.select("doc_id", "text"), label_categories(labels), list(CATEGORIES))
+    held = f"p_{uuid.uuid4().hex}"  # a name of no column
+    p = lambda c: F.col(held)[c]
+    scored = docs.withColumn(held, score(F.col("text"), chain))
+    return scored.withColumns({"p_degraded": p("degraded"), "p_toxic": p("toxic"), "is_toxic": F.when(p("toxic") >= THRESHOLD, 1).otherwise(0)}).drop(held)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that aren't toxic, with their columns, of whatever names."""
     chain = fit(docs.select("doc_id", "text"), label_categories(labels), list(CATEGORIES))
-    scored = docs.withColumn("__p", score(F.col("text"), chain))
-    return scored.withColumns({"p_degraded": F.col("__p.degraded"), "p_toxic": F.col("__p.toxic"), "is_toxic": F.when(F.col("__p.toxic") >= THRESHOLD, 1).otherwise(0)}).drop("__p")
+    bound_batches(docs.sparkSession)
+    return docs.filter(score(F.col("text"), chain)["toxic"] < THRESHOLD)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
