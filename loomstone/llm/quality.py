@@ -22,6 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from .linear import fit_logistic, sigmoid
+from .scratch import bound_batches
 
 #: Labelled rows of each label that are learned from, at most.
 SAMPLE = 4000
@@ -93,13 +94,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from the labelled rows that aren't held out.
 
     docs: doc_id, text. labels: doc_id, quality; rows with another label than 0 or 1 or without an id don't count, of
-    rows of one id and label one counts. With one label only, or none, every text gets the same score.
+    rows of one id and label one counts, of texts of one id the least. With one label only, or none, every text gets the same score.
     """
     usable = labels.select("doc_id", F.col("quality").cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"))).distinct()
     counts = dict(usable.groupBy("y").count().collect())
     chosen = [(r.doc_id, y, k % 2) for y in (0, 1) for k, r in enumerate(usable.filter(F.col("y") == y).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(sample).collect())]
     spark = docs.sparkSession
-    picked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(spark.createDataFrame(chosen, "doc_id long, y int, part int")), "doc_id")
+    bound_batches(spark)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(spark.createDataFrame(chosen, "doc_id long, y int, part int")), "doc_id")
+    picked = found.groupBy("doc_id", "y", "part").agg(F.min("text").alias("text"))  # of an id's texts the least, so the sample is bounded
     # GIVEN stretches of a text, evenly spread over it
     spread = F.expr(f"transform(sequence(0, {GIVEN - 1}), i -> substring(text, cast(floor(i * greatest(length(text) - {STRETCH}, 0) / {GIVEN - 1}) as int) + 1, {STRETCH}))")
     given = picked.filter("part = 0").select("y", F.array_distinct(spread).alias("s")).collect()
