@@ -23,6 +23,7 @@ and of equi-joins that Spark may split.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -375,9 +376,10 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     row = F.unhex(F.md5(F.encode(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("\n"), F.coalesce(F.col(text), F.lit(""))), "UTF-8")))
     rows = scratch.keep(docs.select(F.col(key).alias("key"), row.alias("row"), node_of(text).alias("node")), "rows")
     labelled = rows.join(labels, "node", "left").select("row", F.coalesce("label", "node").alias("label"), F.struct(F.col("key").isNull().alias("u"), "key", "node", "row").alias("rank"))
-    kept = labelled.groupBy("label").agg(F.min("rank").alias("best")).select(F.col("best.row").alias("__row"))
-    survivors = docs.withColumn("__row", row).join(kept, "__row", "left_semi")
-    return survivors.dropDuplicates(["__row"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    held = f"row_{uuid.uuid4().hex}"  # a name of no column
+    kept = labelled.groupBy("label").agg(F.min("rank").alias("best")).select(F.col("best.row").alias(held))
+    survivors = docs.withColumn(held, row).join(kept, held, "left_semi")
+    return survivors.dropDuplicates([held]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
