@@ -19,7 +19,7 @@ REPETITIONS = 1.25
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain, fitted to ``labels``, doesn't find toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.judge(docs, labels).filter("is_toxic = 0").select(*docs.columns)
+    return toxicity.without_toxic(docs, labels)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, those of smaller sources repeated in part, up to ``REPETITIONS`` epochs."""
-    return mixing.mixed(docs, docs.columns, whole=True, target=None, repetitions=REPETITIONS).select(*docs.columns)
+    return mixing.mixed(docs, docs.columns, whole=True, target=None, repetitions=REPETITIONS, added=False)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
