@@ -1,14 +1,18 @@
 """Main text of web pages, with site templates removed.
 
-Every page is parsed once, into blocks of text with the hashes of the element subtrees that hold them. The hashes are
-counted in Spark by host and page, copies of a page as one: a subtree that recurs on many pages of its host is part of the site's template, and
-its text is deleted. What an article and its page's frame have in common elsewhere is told apart by place: subtrees
-outside an ``article`` or ``main`` element are template from ``LEAST_PAGES`` pages and ``LEAST_SHARE`` of the host's
-pages on, those inside only from ``INNER_PAGES`` and ``INNER_SHARE`` on, as passages recur in articles too, and never a
-subtree that holds most of its page's text (inside, of its page's text in articles). Only after that, articles decide
-between what is left: where they hold half of it or more, the rest goes. Elements that are never article text (menus,
-forms, scripts, ...) are left out by name, role or class before; a class or id counts for nothing on an element that
-holds an article or, on a page without one, most of the page's text.
+Every page is parsed once, into blocks of text and the elements that hold them, with a hash of each element's subtree.
+The hashes are counted in Spark by host and page, copies of a page as one: a subtree that recurs on many pages of its
+host is part of the site's template, and its blocks are deleted. What an article and its page's frame have in common
+elsewhere is told apart by place: subtrees outside an ``article`` or ``main`` element are template from ``LEAST_PAGES``
+pages and ``LEAST_SHARE`` of the host's pages on, those inside only from ``INNER_PAGES`` and ``INNER_SHARE`` on, as
+passages recur in articles too, and never a subtree that holds most of its page's text (inside, of its page's text in
+articles).
+
+Everything that is shown takes part in the count. What it leaves is then sorted out by kind: elements that are never
+article text by their tag or role (menus, forms, footers, ...), and elements whose class or id says so. A class or id
+counts only if it is made up of words for page furniture (and words like ``box`` or ``left``), and for nothing on an
+element that holds an article or, on a page without one, most of the page's text. At last, articles decide between what is
+left: where they hold half of it or more, the rest goes.
 
 Counts are summed before they are shuffled, and only pages with a template subtree are joined with their list, so
 a host that holds a third of all pages makes no large group.
@@ -17,6 +21,7 @@ a host that holds a third of all pages makes no large group.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -33,7 +38,10 @@ INNER_PAGES, INNER_SHARE = 10, 0.6
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
-NEVER = frozenset("head script style noscript template svg math iframe object embed canvas audio video map select datalist option button textarea form fieldset nav footer aside menu dialog".split())
+#: Never shown as text.
+NEVER = frozenset("head script style noscript template svg math iframe object embed canvas audio video map select datalist option button textarea".split())
+#: Shown, but never article text.
+FURNITURE = frozenset("form fieldset nav footer aside menu dialog".split())
 ROOTS = frozenset(("article", "main"))
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -42,36 +50,49 @@ NOT_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search f
 NOT_TEXT_NAMES = frozenset(
     "ad ads adbox adsense advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login "
     "popup modal overlay sidebar rail widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar share sharing social comment comments disqus respond reply replies related "
-    "recommended recommendations pagination pager search toolbar skip hidden copyright legal disclaimer teaser teasers".split()
+    "recommended recommendations pagination pager search toolbar skip hidden copyright disclaimer".split()
 )
+#: Words that say nothing of an element's part in the page, where they stand beside one that does.
+NEUTRAL_NAMES = frozenset("area bar block bottom box btn button buttons center column container content desktop first footer global group header holder inner item items last left link links list main mobile outer page panel post primary right row secondary section site slot small the top unit wrap wrapper".split())
 
-_NAMES = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
+_NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
+def names_furniture(value: str) -> bool:
+    """Whether one of the names in a class or id is made up of words for page furniture and neutral ones or numbers."""
+    for name in value.split():
+        words = [w.lower() for w in _NAMES.findall(name)]
+        if any(w in NOT_TEXT_NAMES for w in words) and all(w in NOT_TEXT_NAMES or w in NEUTRAL_NAMES or w.isdigit() for w in words):
+            return True
+    return False
+
+
 class _Element:
-    __slots__ = ("article", "chars", "dim", "hidden", "holds", "inside", "named", "off", "parts", "tag", "value")
+    __slots__ = ("article", "chars", "first", "first_in", "furniture", "holds", "inside", "named", "off", "outer", "parts", "spared", "tag", "value")
 
-    def __init__(self, tag: str, off: bool, inside: bool, dim: bool = False, named: int | None = None, article: bool = False) -> None:
-        self.tag, self.off, self.inside = tag, off, inside
-        self.dim, self.named, self.article = dim, named, article  # in an element that its names leave out; this one's number if it has such names
+    def __init__(self, tag: str, off: bool, inside: bool, furniture: bool = False, named: bool = False, outer: _Element | None = None, article: bool = False) -> None:
+        self.tag, self.off, self.inside, self.article = tag, off, inside, article
+        self.furniture = furniture  # in an element that is never article text
+        self.named, self.outer = named, outer  # has such a name; the next element around it that has one
+        self.spared = False
         self.parts: list[str] = [tag]
-        self.chars = self.value = self.hidden = 0  # hidden: characters that names leave out
+        self.chars = self.value = self.first = self.first_in = 0
         self.holds = 0  # 1: articles with such names only, 3: one without
 
 
 class PageParser(HTMLParser):
-    """Blocks of a page: text, the block elements that hold it, and whether it stands in an article.
-
-    spared: numbers of elements that are not left out whatever their class and id (see ``wrongly_named``).
-    """
+    """Blocks of a page (text, whether it stands in an article, whether it can't be article text), and the elements that hold them."""
 
-    def __init__(self, spared: frozenset[int] = frozenset()) -> None:
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.spared, self.n_named = spared, 0
+        self.blocks: list[tuple[str, _Element]] = []
+        self.n_inside = 0
+        #: Of each element with blocks, but inline ones: the element, its first and last block, and how many of them are inside.
+        self.elements: list[tuple[_Element, int, int, int]] = []
         self.shut_named: list[_Element] = []
-        self.blocks: list[tuple[str, tuple[_Element, ...], bool]] = []
         self.stack = [_Element("", False, False)]
+        self.open: Counter[str] = Counter()
         self.held: list[str] = []
 
     def flush(self) -> None:
@@ -80,9 +101,10 @@ class PageParser(HTMLParser):
             self.held = []
             if text:
                 top = self.stack[-1]
-                for e in self.stack:
-                    e.chars += len(text)
-                self.blocks.append((text, tuple(e for e in self.stack[1:] if e.tag not in INLINE), top.inside))
+                if not top.furniture:
+                    top.chars += len(text)
+                self.blocks.append((text, top))
+                self.n_inside += top.inside
                 top.parts.append(text)
 
     def shut(self, n: int) -> None:
@@ -91,14 +113,29 @@ class PageParser(HTMLParser):
             if self.stack[-1].tag not in INLINE:
                 self.flush()
             e = self.stack.pop()
+            self.open[e.tag] -= 1
             e.value = xxhash.xxh3_64_intdigest("\x1f".join(e.parts)) - (1 << 63)
-            if e.named is not None:
+            if e.named:
                 self.shut_named.append(e)
-            self.stack[-1].hidden += e.hidden
-            if e.article and not e.off:
-                e.holds |= 3 if e.named is None else 1
-            self.stack[-1].holds |= e.holds
-            self.stack[-1].parts += e.parts if e.tag in INLINE else [f"\x1e{e.value}"]
+            if e.tag not in INLINE and len(self.blocks) > e.first:
+                self.elements.append((e, e.first, len(self.blocks) - 1, self.n_inside - e.first_in))
+            above = self.stack[-1]
+            above.chars += e.chars
+            if e.article and not (e.off or e.furniture):
+                e.holds |= 1 if e.named else 3
+            above.holds |= e.holds
+            above.parts += e.parts if e.tag in INLINE else [f"\x1e{e.value}"]
+            e.parts = []
+
+    def _close(self, tags: frozenset[str] | set[str], stops: set[str]) -> None:
+        """Close the innermost element of one of the tags, unless one of the stops comes first."""
+        if any(self.open[t] for t in tags):
+            for i in range(len(self.stack) - 1, 0, -1):
+                if self.stack[i].tag in tags:
+                    self.shut(i)
+                    return
+                if self.stack[i].tag in stops:
+                    return
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
@@ -107,7 +144,7 @@ class PageParser(HTMLParser):
         stack = self.stack
         if tag not in INLINE:
             self.flush()
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and self.open["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
                     self.shut(i)
@@ -115,90 +152,97 @@ class PageParser(HTMLParser):
                 if stack[i].tag not in INLINE:
                     break
         if tag in SAME:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in SAME[tag]:
-                    self.shut(i)
-                    break
-                if stack[i].tag in STOPS[tag]:
-                    break
+            self._close(SAME[tag], STOPS[tag])
         if tag in VOID:
             return
         top = stack[-1]
-        off, article, in_body, named = top.off or tag in NEVER or (tag == "header" and not top.inside), tag in ROOTS, False, False
+        off, article, in_body, named = top.off or tag in NEVER, tag in ROOTS, False, False
+        furniture = top.furniture or tag in FURNITURE or (tag == "header" and not top.inside)
         for name, value in attrs:
             if name == "hidden":
                 off = True
             elif value and name == "role":
-                off = off or value.lower() in NOT_TEXT_ROLES
+                furniture = furniture or value.lower() in NOT_TEXT_ROLES
                 article = article or value.lower() in ROOTS
             elif value and name == "itemprop":
                 in_body = value == "articleBody"
             elif value and name in ("class", "id"):
                 # a page, an article or a heading may be named for what it has beside it
                 if tag not in ("html", "body", "main", "h1") and not (tag == "article" and name == "id"):
-                    named = named or any(n.lower() in NOT_TEXT_NAMES for n in _NAMES.findall(value))
+                    named = named or names_furniture(value)
             elif value and ((name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value))):
                 off = True
-        number = self.n_named if named else None
-        self.n_named += named
-        stack.append(_Element(tag, off, top.inside or article or in_body, top.dim or (named and number not in self.spared), number, article))
+        e = _Element(tag, off, top.inside or article or in_body, furniture, named, top if top.named else top.outer, article)
+        e.first, e.first_in = len(self.blocks), self.n_inside
+        stack.append(e)
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # outside of XML the slash has no sense
 
     def handle_endtag(self, tag: str) -> None:
-        stack = self.stack
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == tag:
-                self.shut(i)
-                return
-            if stack[i].tag in ("body", "html", "article", "main") and tag not in ("body", "html"):
-                return
+        self._close({tag}, {"body", "html", "article", "main"} if tag not in ("body", "html") else set())
 
     def handle_data(self, data: str) -> None:
-        top = self.stack[-1]
-        if top.dim and not top.off:
-            top.hidden += len(" ".join(data.split()))
-        elif not top.off:
+        if not self.stack[-1].off:
             self.held.append(data)
 
     def parse_comment(self, i: int, report: bool = True) -> int:
         at = super().parse_comment(i, report)
         return at if at >= 0 else len(self.rawdata)  # never closed, as a page is fed at once: it hides the rest
 
-    def wrongly_named(self) -> frozenset[int]:
-        """Numbers of the elements with names that hold an article or, on a page without one, most of the page's text.
+    def _spare(self) -> None:
+        """Spare elements whose names say too much: those that hold the page's articles or, on a page without one, most of its text.
 
         Articles with such names themselves count where the page has no other. Beside an article, an advert or comments
         may well be longer than it.
         """
-        self.flush()
-        self.shut(1)
         page = self.stack[0]
-        return frozenset(e.named for e in self.shut_named if (e.holds == page.holds if page.holds else e.chars + e.hidden > (page.chars + page.hidden) / 2))
+        for e in self.shut_named:
+            e.spared = e.holds == page.holds if page.holds else e.chars > page.chars / 2
 
-    def result(self) -> list[tuple[str, list[int], bool]]:
-        """(text, hashes of the subtrees that hold it, inside an article) in page order.
+    def result(self) -> tuple[list[tuple[str, bool, bool]], list[tuple[int, bool, int, int]]]:
+        """Blocks (text, inside an article, can't be article text) and subtrees (hash, inside, first and last block), in page order.
 
-        Subtrees with most of the page's text, for text in articles most of that, have no hash here.
+        A subtree with blocks in and outside articles is there twice. Subtrees with most of the page's text, for text in
+        articles most of that, are not there.
         """
         self.flush()
         self.shut(1)
-        most = {i: sum(len(t) for t, _, inside in self.blocks if inside or not i) / 2 for i in (False, True)}
-        return [(text, [e.value for e in path if e.chars < most[inside] and e.tag not in ROOTS], inside) for text, path, inside in self.blocks]
-
-
-def parsed(html: str | None) -> list[tuple[str, list[int], bool]]:
-    """Blocks of a page; null and empty pages have none."""
+        self._spare()
+        out: dict[_Element, bool] = {}  # of elements with such names: whether they leave out what they hold
+
+        def left_out(e: _Element | None) -> bool:
+            chain = []
+            while e is not None and e not in out:
+                chain.append(e)
+                e = e.outer
+            known = out[e] if e is not None else False
+            for e in reversed(chain):
+                known = out[e] = known or not e.spared
+            return known
+
+        blocks = [(text, e.inside, e.furniture or left_out(e if e.named else e.outer)) for text, e in self.blocks]
+        before, inner = [0], 0
+        for text, inside, other in blocks:
+            before.append(before[-1] + len(text) * (not other))
+            inner += len(text) * (inside and not other)
+        most = {True: inner / 2, False: before[-1] / 2}
+        subtrees = []
+        for e, first, last, n_in in self.elements:
+            if e.tag not in ROOTS:
+                chars = before[last + 1] - before[first]
+                subtrees += [(e.value, inside, first, last) for inside, n in ((True, n_in), (False, last + 1 - first - n_in)) if n and (chars < most[inside] or not chars)]
+        return blocks, subtrees
+
+
+def parsed(html: str | None) -> tuple[list[tuple[str, bool, bool]], list[tuple[int, bool, int, int]]]:
+    """Blocks and subtrees of a page (see ``PageParser.result``); null and empty pages have none."""
     if not html:
-        return []
+        return [], []
     p = PageParser()
     p.feed(html)
     p.close()
-    if spared := p.wrongly_named():
-        p = PageParser(spared)
-        p.feed(html)
-        p.close()
     return p.result()
 
 
@@ -207,18 +251,22 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-_BLOCKS = "array<struct<text: string, path: array<long>, inside: boolean>>"
+_BLOCKS = "array<struct<text: string, inside: boolean, other: boolean>>"
+_SUBTREES = "array<struct<hash: long, inside: boolean, first: int, last: int>>"
 
 
 def blocks_of(html: Column) -> Column:
-    """Blocks of an HTML column: an array of text, path and inside."""
+    """A struct of the blocks and subtrees of an HTML column."""
 
-    @F.pandas_udf(_BLOCKS)
-    def blocks(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(f"blocks {_BLOCKS}, subtrees {_SUBTREES}")
+    def pages(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.Series([[{"text": t, "path": p, "inside": i} for t, p, i in parsed(h)] for h in part], dtype=object)
+            rows = [parsed(h) for h in part]
+            blocks = [[dict(zip(("text", "inside", "other"), b, strict=True)) for b in blocks] for blocks, _ in rows]
+            subtrees = [[dict(zip(("hash", "inside", "first", "last"), x, strict=True)) for x in subtrees] for _, subtrees in rows]
+            yield pd.DataFrame({"blocks": pd.Series(blocks, dtype=object), "subtrees": pd.Series(subtrees, dtype=object)})
 
-    return blocks(html)
+    return pages(html)
 
 
 def content_of(blocks: Column) -> Column:
@@ -229,9 +277,9 @@ def content_of(blocks: Column) -> Column:
 def templates(pages: DataFrame) -> DataFrame:
     """Subtrees that are part of their host's template: host, hash, inside.
 
-    pages: a row per page with host, blocks and content. Pages of a host with the same content count once.
+    pages: a row per page with host, subtrees and content. Pages of a host with the same content count once.
     """
-    held = pages.select("host", "content", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: F.transform(b["path"], lambda h: F.struct(h.alias("hash"), b["inside"].alias("inside"))))))).alias("e"))
+    held = pages.select("host", "content", F.explode(F.array_distinct(F.transform("subtrees", lambda x: F.struct(x["hash"].alias("hash"), x["inside"].alias("inside"))))).alias("e"))
     counts = held.groupBy("host", "e.hash", "e.inside").agg(F.countDistinct("content").alias("n")).filter(F.col("n") >= LEAST_PAGES)
     sizes = pages.groupBy("host").agg(F.countDistinct("content").alias("n_pages"))
     least = F.when(F.col("inside"), F.greatest(F.lit(float(INNER_PAGES)), F.col("n_pages") * INNER_SHARE)).otherwise(F.col("n_pages") * LEAST_SHARE)
@@ -248,21 +296,21 @@ def _in_articles(blocks: Column) -> Column:
 def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """The table without its HTML, with ``text``, the main text of each page (empty if none). Rows are kept one to one.
 
-    Columns named text, blocks, host or key are replaced by or lost to the result's own.
+    Other columns stay, of whatever names, but for one named text, which is replaced.
     """
     scratch = Scratch(pages.sparkSession, "html")
-    kept = [c for c in pages.columns if c not in (html, "text", "blocks", "host", "key")]
-    key = F.md5(F.encode(F.concat_ws("\n", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in (url, html))), "UTF-8"))
-    found = scratch.keep(pages.select(*(F.col(f"`{c}`") for c in kept), host_of(F.col(url)).alias("host"), key.alias("key"), blocks_of(F.col(html)).alias("blocks")), "blocks")
-    flagged = scratch.keep(templates(found.select("host", "blocks", content_of(F.col("blocks")).alias("content"))), "templates")
-    each = found.select("key", "host", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: F.transform(b["path"], lambda h: F.struct(h.alias("hash"), b["inside"].alias("inside"))))))).alias("e")).select("key", "host", "e.*")
+    quoted = lambda c: F.col(f"`{c}`")
+    kept = [c for c in pages.columns if c not in (html, "text")]
+    key = F.md5(F.encode(F.concat_ws("\n", *(F.coalesce(quoted(c).cast("string"), F.lit("")) for c in (url, html))), "UTF-8"))
+    row = F.struct(*(quoted(c) for c in kept)) if kept else F.lit(None)
+    found = scratch.keep(pages.select(row.alias("row"), host_of(quoted(url)).alias("host"), key.alias("key"), blocks_of(quoted(html)).alias("page")).select("row", "host", "key", "page.*"), "blocks")
+    flagged = scratch.keep(templates(found.select("host", "subtrees", content_of(F.col("blocks")).alias("content"))), "templates")
+    each = found.select("key", "host", F.explode("subtrees").alias("e")).select("key", "host", "e.*")
     # written first, so that its size is known: few lists are broadcast, within Spark's threshold, and no text is shuffled
-    by_place = (F.collect_set(F.when(F.col("inside") == i, F.col("hash"))).alias(name) for i, name in ((True, "inner"), (False, "outer")))
-    lists = scratch.keep(each.join(flagged, ["host", "hash", "inside"]).groupBy("key").agg(*by_place), "lists")
-    joined = found.join(lists, "key", "left")
-    clean = F.expr("filter(blocks, b -> inner is null or not arrays_overlap(b.path, if(b.inside, inner, outer)))")
-    texts = joined.select(*(F.col(f"`{c}`") for c in kept), _in_articles(clean).alias("__blocks"))
-    return texts.select(*(F.col(f"`{c}`") for c in kept), F.array_join(F.transform("__blocks", lambda b: b["text"]), " ").alias("text"))
+    lists = scratch.keep(each.join(flagged, ["host", "hash", "inside"]).groupBy("key").agg(F.collect_set(F.struct("inside", "first", "last")).alias("off")), "lists")
+    clean = F.expr("filter(blocks, (b, i) -> not b.other and not exists(coalesce(off, array()), e -> e.inside = b.inside and e.first <= i and i <= e.last))")
+    texts = found.join(lists, "key", "left").select("row", _in_articles(clean).alias("blocks"))
+    return texts.select(*(F.col(f"row.`{c}`") for c in kept), F.array_join(F.transform("blocks", lambda b: b["text"]), " ").alias("text"))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Columns of any names, repeated ids and empty tables, through every operator that carries columns."""
 
 import os
+import urllib.parse
 
 import pyspark.sql.functions as F
 import pytest
 
-from loomstone.llm import linear, mixing, near_dedup, quality, secret_scan, toxicity
+from loomstone.llm import html_text, linear, mixing, near_dedup, quality, secret_scan, toxicity
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -123,3 +124,77 @@ def test_pipeline_of_no_documents_and_of_clashing_columns(spark, tmp_path):
         labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
     assert corpus_pipeline.run(spark, f"{tmp_path}/clash").count() > 0
+
+
+# --- HTML
+
+
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        ("<p>a</p><script><!-- code</script><p>article text</p>", "a article text"),
+        ('<p title="<!--">a</p>', "a"),
+        ('<article class="card">teaser</article><div>the long text of the page, which is in a div</div>', "teaser the long text of the page, which is in a div"),
+        ('<article><section id="legal">law</section><div class="ad-hoc-report">report</div><div class="post-comment-free">free</div></article>', "law report free"),
+        ('<article>in<div class="ad-banner">buy</div><div class="comment-list">c1</div><div id="cookieNotice2">ok</div></article>', "in"),
+        ('<div class="layout has-sidebar"><article>in</article></div><div class="sidebar left">no</div>', "in"),
+        ("a<!-- hidden", "a"),
+        ("<p>one<p>two<ul><li>three<li>four</ul>", "one two three four"),
+        ("<table><tr><td>1<td>2<tr><td>3</table>", "1 2 3"),
+    ],
+)
+def test_main_text_of_odd_pages(spark, page, expected):
+    got = html_text.extract(spark.createDataFrame([(1, "https://a.example/", page)], "page_id long, url string, html string")).first()
+    assert got.text == expected
+
+
+def test_html_keeps_columns_of_any_names(spark):
+    df = spark.createDataFrame([(i, "https://a.example/", f"<p>page {i}") for i in range(4)] + [(9, None, None)], "page_id long, url string, html string")
+    docs = df.withColumns({c: F.lit(f"own {c}") for c in (*CLASHES, "host", "blocks", "subtrees", "off")})
+    got = html_text.extract(docs)
+    assert got.columns == [*(c for c in docs.columns if c != "html"), "text"]
+    rows = got.collect()
+    assert all(r[c] == f"own {c}" for r in rows for c in ("host", "key", "a.b", "row"))
+    assert {r.page_id: r.text for r in rows} == {**{i: f"page {i}" for i in range(4)}, 9: ""}
+
+
+def test_deep_pages_stay_linear():
+    blocks, subtrees = html_text.parsed("<div>x" * 30_000)
+    assert len(blocks) == 30_000 and len(subtrees) <= 30_000
+    assert len(html_text.parsed("<div>x</p></td></b>" * 20_000)[0]) == 20_000
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables aren't here")
+def test_html_query_against_brute_force(spark, tmp_path):
+    """The registered query over the driver's pages and a site with a frame in plain divs, against counts by hand."""
+    pages = [tuple(r) for r in spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "url", "html").collect()]
+    frame = "<div><b>Offers of the week</b></div><div class=x><p>page {i} has a long text of its own, number {i}</p><p>shared {k}</p></div><div>Imprint</div>"
+    pages += [(100_000 + i, f"https://Plain.example/{i}", frame.format(i=i, k=i % 30)) for i in range(60)] + [(100_100, "https://plain.example/0", frame.format(i=0, k=0)), (100_101, None, None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    host = lambda u: urllib.parse.urlsplit(u or "").hostname or ""
+    read = {p: html_text.parsed(h) for p, _, h in pages}
+    contents, seen = {}, {}
+    for p, u, _ in pages:
+        blocks, subtrees = read[p]
+        content = tuple(b[0] for b in blocks)
+        contents.setdefault(host(u), set()).add(content)
+        for h, inside, _, _ in subtrees:
+            seen.setdefault((host(u), h, inside), set()).add(content)
+
+    def template(u, h, inside):
+        n, of = len(seen[host(u), h, inside]), len(contents[host(u)])
+        return n >= max(10, 0.6 * of) if inside else n >= 3 and n >= 0.005 * of
+
+    expected, deleted = {}, 0
+    for p, u, _ in pages:
+        blocks, subtrees = read[p]
+        off = {(i, inside) for h, inside, a, b in subtrees if template(u, h, inside) for i in range(a, b + 1)}
+        deleted += len(off)
+        left = [(t, inside) for i, (t, inside, other) in enumerate(blocks) if not other and (i, inside) not in off]
+        within = [x for x in left if x[1]]
+        chars = lambda x: sum(len(t) for t, _ in x)
+        expected[p] = " ".join(t for t, _ in (within if 2 * chars(within) >= chars(left) else left))
+    got = {r.page_id: (r.text, r.n_chars) for r in html_text.op5_html_extraction(spark, str(tmp_path)).collect()}
+    assert got == {p: (t, len(t)) for p, t in expected.items()}
+    assert deleted > 100
+    assert got[100_001][0] == "page 1 has a long text of its own, number 1 shared 1"
