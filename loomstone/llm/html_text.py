@@ -11,7 +11,7 @@ articles).
 Everything that is shown takes part in the count. What it leaves is then sorted out by kind: elements that are never
 article text by their tag or role (menus, forms, footers, ...), and elements whose class or id says so. A class or id
 counts only if it is made up of words for page furniture (and words like ``box`` or ``left``), and for nothing on an
-element that holds an article or, on a page without one, most of the page's text. At last, articles decide between what is
+element that holds most of the page's text in articles or, on a page without any, of its text. At last, articles decide between what is
 left: where they hold half of it or more, the rest goes.
 
 Counts are summed before they are shuffled, and only pages with a template subtree are joined with their list, so
@@ -69,7 +69,7 @@ def names_furniture(value: str) -> bool:
 
 
 class _Element:
-    __slots__ = ("article", "chars", "first", "first_in", "furniture", "holds", "inside", "named", "off", "outer", "parts", "spared", "tag", "value")
+    __slots__ = ("article", "chars", "first", "first_in", "furniture", "in_articles", "in_named", "inside", "named", "off", "outer", "parts", "spared", "tag", "value")
 
     def __init__(self, tag: str, off: bool, inside: bool, furniture: bool = False, named: bool = False, outer: _Element | None = None, article: bool = False) -> None:
         self.tag, self.off, self.inside, self.article = tag, off, inside, article
@@ -78,7 +78,7 @@ class _Element:
         self.spared = False
         self.parts: list[str] = [tag]
         self.chars = self.value = self.first = self.first_in = 0
-        self.holds = 0  # 1: articles with such names only, 3: one without
+        self.in_articles = self.in_named = 0  # characters in articles, and in those with such names
 
 
 class PageParser(HTMLParser):
@@ -122,8 +122,9 @@ class PageParser(HTMLParser):
             above = self.stack[-1]
             above.chars += e.chars
             if e.article and not (e.off or e.furniture):
-                e.holds |= 1 if e.named else 3
-            above.holds |= e.holds
+                e.in_articles, e.in_named = (e.in_articles, e.chars) if e.named else (e.chars, e.in_named)
+            above.in_articles += e.in_articles
+            above.in_named += e.in_named
             above.parts += e.parts if e.tag in INLINE else [f"\x1e{e.value}"]
             e.parts = []
 
@@ -192,14 +193,15 @@ class PageParser(HTMLParser):
         return at if at >= 0 else len(self.rawdata)  # never closed, as a page is fed at once: it hides the rest
 
     def _spare(self) -> None:
-        """Spare elements whose names say too much: those that hold the page's articles or, on a page without one, most of its text.
+        """Spare elements whose names say too much: those that hold most of the page's text in articles or, on a page without any, of its text.
 
         Articles with such names themselves count where the page has no other. Beside an article, an advert or comments
         may well be longer than it.
         """
         page = self.stack[0]
+        share = "in_articles" if page.in_articles else "in_named" if page.in_named else "chars"
         for e in self.shut_named:
-            e.spared = e.holds == page.holds if page.holds else e.chars > page.chars / 2
+            e.spared = 2 * getattr(e, share) > getattr(page, share)
 
     def result(self) -> tuple[list[tuple[str, bool, bool]], list[tuple[int, bool, int, int]]]:
         """Blocks (text, inside an article, can't be article text) and subtrees (hash, inside, first and last block), in page order.
