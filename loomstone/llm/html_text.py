@@ -14,8 +14,8 @@ counts only if it is made up of words for page furniture (and words like ``box``
 element that holds most of the page's text in articles or, on a page without any, of its text. At last, articles decide between what is
 left: where they hold half of it or more, the rest goes.
 
-Counts are summed before they are shuffled, and only pages with a template subtree are joined with their list, so
-a host that holds a third of all pages makes no large group.
+Counts are summed before they are shuffled, and only template subtrees that hold text of no other kind are joined with
+their pages, as that text goes anyway; so a host that holds a third of all pages makes no large group.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 import pyspark.sql.functions as F
 import xxhash
@@ -203,8 +204,8 @@ class PageParser(HTMLParser):
         for e in self.shut_named:
             e.spared = 2 * getattr(e, share) > getattr(page, share)
 
-    def result(self) -> tuple[list[tuple[str, bool, bool]], list[tuple[int, bool, int, int]]]:
-        """Blocks (text, inside an article, can't be article text) and subtrees (hash, inside, first and last block), in page order.
+    def result(self) -> tuple[list[tuple[str, bool, bool]], list[tuple[int, bool, int, int, bool]]]:
+        """Blocks (text, inside an article, can't be article text) and subtrees (hash, inside, first and last block, whether it holds text that can be article text), in page order.
 
         A subtree with blocks in and outside articles is there twice. Subtrees with most of the page's text, for text in
         articles most of that, are not there.
@@ -234,11 +235,11 @@ class PageParser(HTMLParser):
         for e, first, last, n_in in self.elements:
             if e.tag not in ROOTS:
                 chars = before[last + 1] - before[first]
-                subtrees += [(e.value, inside, first, last) for inside, n in ((True, n_in), (False, last + 1 - first - n_in)) if n and (chars < most[inside] or not chars)]
+                subtrees += [(e.value, inside, first, last, chars > 0) for inside, n in ((True, n_in), (False, last + 1 - first - n_in)) if n and (chars < most[inside] or not chars)]
         return blocks, subtrees
 
 
-def parsed(html: str | None) -> tuple[list[tuple[str, bool, bool]], list[tuple[int, bool, int, int]]]:
+def parsed(html: str | None) -> tuple[list[tuple[str, bool, bool]], list[tuple[int, bool, int, int, bool]]]:
     """Blocks and subtrees of a page (see ``PageParser.result``); null and empty pages have none."""
     if not html:
         return [], []
@@ -253,29 +254,28 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-_BLOCKS = "array<struct<text: string, inside: boolean, other: boolean>>"
-_SUBTREES = "array<struct<hash: long, inside: boolean, first: int, last: int>>"
+_BLOCKS = "array<struct<at: int, text: string, inside: boolean>>"
+_SUBTREES = "array<struct<hash: long, inside: boolean, first: int, last: int, own: boolean>>"
 
 
 def blocks_of(html: Column) -> Column:
-    """A struct of the blocks and subtrees of an HTML column."""
+    """A struct of the blocks of an HTML column that can be article text, with their places, its subtrees, and a digest of all its texts.
 
-    @F.pandas_udf(f"blocks {_BLOCKS}, subtrees {_SUBTREES}")
+    Copies of a page have the same digest, whatever their markup.
+    """
+
+    @F.pandas_udf(f"blocks {_BLOCKS}, subtrees {_SUBTREES}, content long")
     def pages(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = [parsed(h) for h in part]
-            blocks = [[dict(zip(("text", "inside", "other"), b, strict=True)) for b in blocks] for blocks, _ in rows]
-            subtrees = [[dict(zip(("hash", "inside", "first", "last"), x, strict=True)) for x in subtrees] for _, subtrees in rows]
-            yield pd.DataFrame({"blocks": pd.Series(blocks, dtype=object), "subtrees": pd.Series(subtrees, dtype=object)})
+            blocks = [[{"at": i, "text": t, "inside": inside} for i, (t, inside, other) in enumerate(blocks) if not other] for blocks, _ in rows]
+            subtrees = [[dict(zip(("hash", "inside", "first", "last", "own"), x, strict=True)) for x in subtrees] for _, subtrees in rows]
+            content = [xxhash.xxh3_64_intdigest("\x1f".join(t for t, *_ in blocks)) - (1 << 63) for blocks, _ in rows]
+            yield pd.DataFrame({"blocks": pd.Series(blocks, dtype=object), "subtrees": pd.Series(subtrees, dtype=object), "content": np.array(content, dtype=np.int64)})
 
     return pages(html)
 
 
-def content_of(blocks: Column) -> Column:
-    """Digest of the texts of a page's blocks; copies of a page have the same, whatever their markup."""
-    return F.xxhash64(F.transform(blocks, lambda b: b["text"]))
-
-
 def templates(pages: DataFrame) -> DataFrame:
     """Subtrees that are part of their host's template: host, hash, inside.
 
@@ -306,11 +306,11 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame
     key = F.md5(F.encode(F.concat_ws("\n", *(F.coalesce(quoted(c).cast("string"), F.lit("")) for c in (url, html))), "UTF-8"))
     row = F.struct(*(quoted(c) for c in kept)) if kept else F.lit(None)
     found = scratch.keep(pages.select(row.alias("row"), host_of(quoted(url)).alias("host"), key.alias("key"), blocks_of(quoted(html)).alias("page")).select("row", "host", "key", "page.*"), "blocks")
-    flagged = scratch.keep(templates(found.select("host", "subtrees", content_of(F.col("blocks")).alias("content"))), "templates")
-    each = found.select("key", "host", F.explode("subtrees").alias("e")).select("key", "host", "e.*")
+    flagged = scratch.keep(templates(found.select("host", "subtrees", "content")), "templates")
+    each = found.select("key", "host", F.explode(F.filter("subtrees", lambda x: x["own"])).alias("e")).select("key", "host", "e.*")
     # written first, so that its size is known: few lists are broadcast, within Spark's threshold, and no text is shuffled
     lists = scratch.keep(each.join(flagged, ["host", "hash", "inside"]).groupBy("key").agg(F.collect_set(F.struct("inside", "first", "last")).alias("off")), "lists")
-    clean = F.expr("filter(blocks, (b, i) -> not b.other and not exists(coalesce(off, array()), e -> e.inside = b.inside and e.first <= i and i <= e.last))")
+    clean = F.expr("filter(blocks, b -> not exists(coalesce(off, array()), e -> e.inside = b.inside and e.first <= b.at and b.at <= e.last))")
     texts = found.join(lists, "key", "left").select("row", _in_articles(clean).alias("blocks"))
     return texts.select(*(F.col(f"row.`{c}`") for c in kept), F.array_join(F.transform("blocks", lambda b: b["text"]), " ").alias("text"))
 

@@ -178,7 +178,7 @@ def test_html_query_against_brute_force(spark, tmp_path):
         blocks, subtrees = read[p]
         content = tuple(b[0] for b in blocks)
         contents.setdefault(host(u), set()).add(content)
-        for h, inside, _, _ in subtrees:
+        for h, inside, *_ in subtrees:
             seen.setdefault((host(u), h, inside), set()).add(content)
 
     def template(u, h, inside):
@@ -188,7 +188,7 @@ def test_html_query_against_brute_force(spark, tmp_path):
     expected, deleted = {}, 0
     for p, u, _ in pages:
         blocks, subtrees = read[p]
-        off = {(i, inside) for h, inside, a, b in subtrees if template(u, h, inside) for i in range(a, b + 1)}
+        off = {(i, inside) for h, inside, a, b, _ in subtrees if template(u, h, inside) for i in range(a, b + 1)}
         deleted += len(off)
         left = [(t, inside) for i, (t, inside, other) in enumerate(blocks) if not other and (i, inside) not in off]
         within = [x for x in left if x[1]]
