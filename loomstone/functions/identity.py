@@ -54,3 +54,16 @@ def operation_id(channel: Column, content: Column) -> Column:
 def chunk_id(operation: Column, index: Column) -> Column:
     """Id of a delivery's chunk."""
     return F.sha2(F.concat(operation, F.lit(":"), index.cast("string")), 256)
+
+
+_CROCKFORD = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+
+
+def ulid(ts: Column, random_bits: Column) -> Column:
+    """A sortable id: the instant in ms (48 bits) and 80 bits of a hex string of 20 digits, in base 32.
+
+    random_bits: ``substring(replace(uuid(), '-', ''), 1, 20)``, say; ids of one instant sort by it.
+    """
+    bits = F.concat(F.lpad(F.conv(F.unix_millis(ts).cast("string"), 10, 2), 50, "0"), *(F.lpad(F.conv(F.substring(random_bits, i * 5 + 1, 5), 16, 2), 20, "0") for i in range(4)))
+    letter = lambda i: F.substring(F.lit(_CROCKFORD), F.conv(F.substring(bits, i * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1))
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(25)), letter), "")

@@ -134,6 +134,12 @@ def normalized_words(c: Column) -> Column:
     return F.concat(F.lit(" "), words, F.lit(" "))
 
 
+def plain_words(text: str) -> str:
+    """``normalized_words`` of a constant, on the driver."""
+    bare = "".join(c for c in unicodedata.normalize("NFKD", text) if not 0x300 <= ord(c) <= 0x36F)
+    return f" {re.sub(r'[^a-z0-9+#.]+', ' ', bare.lower()).strip()} "
+
+
 def includes_term(padded: Column, term: Column) -> Column:
     """Whether a term of two characters or more stands as whole words in ``normalized_words`` text."""
     needle = F.trim(normalized_words(term))

@@ -6,13 +6,15 @@ A profile is one small configuration, so its catalogue is a literal of the plan:
 from __future__ import annotations
 
 import datetime as dt
+import functools
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pyspark.sql.functions as F
 from pyspark.sql import Column
 
-from ..functions.text import includes_term, normalized_words, strip_evidence_tag
+from ..functions.text import SPACES, normalized_words, plain_words, strip_evidence_tag
 
 # Fixed value: what a field holds that isn't answered yet.
 UNVERIFIED = "⚠ VERIFY"
@@ -91,40 +93,58 @@ def catalogue_text(profile: Profile, today: dt.date) -> str:
     return "\n".join(f"- [{tag}] {line}" for tag, line in catalogue(profile, today))
 
 
-def known_evidence(quote: Column, profile: Profile, today: dt.date) -> Column:
-    """Whether a quote (with or without its tag) is exactly a line of the catalogue."""
-    lines = F.array(*(F.lit(line) for _, line in catalogue(profile, today)))
-    return F.coalesce(F.array_contains(F.transform(lines, strip_evidence_tag), strip_evidence_tag(quote)), F.lit(False))
+def _bare_tag(line: str) -> str:
+    """A constant without a leading ``- [tag]`` and white space at its ends."""
+    return re.sub(rf"^[{SPACES}]*-?[{SPACES}]*\[[^\]]+\][{SPACES}]*", "", line).strip(SPACES)
 
 
-def applicable_evidence(quote: Column, text: Column, category: Column, profile: Profile, today: dt.date) -> Column:
-    """Whether the requirement (text and category) names what the quoted line is about, as whole words.
+def _is_known(bare: Column, profile: Profile, today: dt.date) -> Column:
+    return bare.isin(*sorted({_bare_tag(line) for _, line in catalogue(profile, today)}))
 
-    That is one of its tag's fixed words, or the name or an alias of its competency. A line under another tag never is.
-    """
+
+def _is_applicable(bare: Column, asked: Column, profile: Profile, today: dt.date) -> Column:
+    """For a quote without its tag, and the words asked for."""
     aliases = {c.name: (c.name, *c.aliases) for c in profile.competencies}
     about: dict[str, Sequence[str]] = {}
     for tag, line in catalogue(profile, today):
         about.setdefault(line, TAG_TERMS.get(tag) or aliases.get(tag, ()))
-    asked = normalized_words(F.concat_ws(" ", text, category))
-    bare = strip_evidence_tag(quote)
     out = F.lit(False)
     for line, terms in about.items():
-        for term in terms:
-            out = out | ((bare == line) & includes_term(asked, F.lit(term)))
-    return F.coalesce(out, F.lit(False))
+        named = [F.contains(asked, F.lit(words)) for words in map(plain_words, terms) if len(words.strip()) >= 2]
+        if named:
+            out = out | ((bare == line) & functools.reduce(lambda a, b: a | b, named))
+    return out
+
+
+def known_evidence(quote: Column, profile: Profile, today: dt.date) -> Column:
+    """Whether a quote (with or without its tag) is exactly a line of the catalogue."""
+    return F.coalesce(_is_known(strip_evidence_tag(quote), profile, today), F.lit(False))
+
+
+def applicable_evidence(quote: Column, text: Column, category: Column, profile: Profile, today: dt.date) -> Column:
+    """Whether the requirement (text and category) names what the quoted line is about, as whole words.
+
+    That is one of its tag's fixed words, or the name or an alias of its competency. A line under another tag never is.
+    """
+    return F.coalesce(_is_applicable(strip_evidence_tag(quote), normalized_words(F.concat_ws(" ", text, category)), profile, today), F.lit(False))
+
+
+def admitted(matches: Column, profile: Profile, today: dt.date) -> Column:
+    """An array of matches, of which those whose evidence isn't admissible lose it, and so aren't met."""
+    # quotes without tags and the words asked for are made once for each match
+    read = F.transform(matches, lambda m: F.struct(m.alias("m"), strip_evidence_tag(m["evidence"]).alias("bare"), F.when(m["evidence"].isNotNull(), normalized_words(F.concat_ws(" ", m["requirement"]["text"], m["requirement"]["category"]))).alias("asked")))
 
+    def judged(x: Column) -> Column:
+        real = F.coalesce(_is_known(x["bare"], profile, today) & _is_applicable(x["bare"], x["asked"], profile, today), F.lit(False))
+        m = x["m"]
+        return F.struct(m["requirement"].alias("requirement"), F.when(real, m["status"]).otherwise(F.lit("not_met")).alias("status"), F.when(real, m["evidence"]).alias("evidence"))
 
-def admitted(match: Column, profile: Profile, today: dt.date) -> Column:
-    """A match whose evidence isn't admissible loses it, and so isn't met."""
-    requirement = match["requirement"]
-    real = match["evidence"].isNull() | (known_evidence(match["evidence"], profile, today) & applicable_evidence(match["evidence"], requirement["text"], requirement["category"], profile, today))
-    kept = F.when(real, match["evidence"])
-    return F.struct(requirement.alias("requirement"), F.when(kept.isNull(), F.lit("not_met")).otherwise(match["status"]).alias("status"), kept.alias("evidence"))
+    return F.transform(read, judged)
 
 
 def guard(matches: Column, profile: Profile, today: dt.date) -> Column:
     """Struct of the admitted matches and of the number of those whose evidence was rejected."""
-    kept = F.transform(matches, lambda m: admitted(m, profile, today))
-    rejected = F.size(F.filter(matches, lambda m: m["evidence"].isNotNull() & admitted(m, profile, today)["evidence"].isNull()))
-    return F.struct(kept.alias("matches"), rejected.alias("rejected"))
+    given = lambda some: F.size(F.filter(some, lambda m: m["evidence"].isNotNull()))
+    # bound once
+    bound = F.transform(F.array(admitted(matches, profile, today)), lambda kept: F.struct(kept.alias("matches"), (given(matches) - given(kept)).alias("rejected")))
+    return F.element_at(bound, 1)

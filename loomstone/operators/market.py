@@ -27,6 +27,11 @@ def load_corpus(active: DataFrame, extractions: DataFrame, matches: DataFrame, v
     return keyed.join(got, ["fingerprint", "requirements_hash"], "left")
 
 
+def report(postings: DataFrame, matches: DataFrame, extractions: DataFrame) -> DataFrame:
+    """Postings that have matches, with their requirements where they have an extraction."""
+    return postings.join(matches.select("fingerprint", "matches"), "fingerprint").join(extractions.select("fingerprint", "requirements"), "fingerprint", "left")
+
+
 def label_counts(postings: DataFrame, label: Column, pos: str = "pos") -> DataFrame:
     """Postings by label (null: unknown), with the first appearance, which breaks ties (``most_first``)."""
     return postings.groupBy(F.coalesce(label, F.lit("unknown")).alias("label")).agg(F.count("*").alias("n"), F.min(pos).alias("first_pos"))

@@ -109,3 +109,43 @@ def rate_limited(calls: DataFrame, most: int = 3, seconds: int = 600) -> DataFra
     """Calls with whether there were already ``most`` of the same principal and operation in the time before."""
     w = W.partitionBy("principal", "operation").orderBy(F.unix_seconds(F.col("ts").cast("timestamp"))).rangeBetween(-seconds, 0)
     return calls.withColumn("limited", F.count("*").over(w) > most)
+
+
+#: Recent runs by default, and at most.
+RECENT, MOST_RECENT = 20, 200
+
+
+def start_run(runs: DataFrame, run_id: str, kind: str, started_at: Column, triggered_by: str = "internal") -> DataFrame:
+    """The run table with a run more, of which nothing else is known yet."""
+    first = {"run_id": F.lit(run_id), "kind": F.lit(kind), "started_at": started_at, "triggered_by": F.lit(triggered_by)}
+    row = runs.sparkSession.range(1).select(*(first.get(c, F.lit(None)).cast(runs.schema[c].dataType).alias(c) for c in runs.columns))
+    return runs.unionByName(row)
+
+
+def finish_runs(runs: DataFrame, finished: DataFrame) -> DataFrame:
+    """The run table after runs have finished. finished: run_id and some of the table's columns.
+
+    A null leaves the table's value as it is, and so does a column that finished lacks.
+    """
+    given = [c for c in finished.columns if c != "run_id"]
+    new = finished.select("run_id", *(F.col(c).alias(f"__{c}") for c in given))
+    joined = runs.join(new, "run_id", "left")
+    return joined.select(*(F.coalesce(F.col(f"__{c}").cast(runs.schema[c].dataType), F.col(c)).alias(c) if c in given else F.col(c) for c in runs.columns))
+
+
+def recent_runs(runs: DataFrame, kind: str, n: int = RECENT) -> DataFrame:
+    """The newest runs of a kind, newest first; n from 1 to MOST_RECENT."""
+    if isinstance(n, bool) or not isinstance(n, int) or not 1 <= n <= MOST_RECENT:
+        raise ValueError(f"limit: an integer from 1 to {MOST_RECENT}")
+    return runs.filter(F.col("kind") == kind).orderBy(F.desc("started_at"), F.desc("run_id")).limit(n)
+
+
+def events_of(events: DataFrame, fingerprints: DataFrame, newest: str = "occurred_at", tie: str = "event_id") -> DataFrame:
+    """Events of the given postings with their place among the posting's (1: the newest)."""
+    own = events.join(fingerprints.select("fingerprint").distinct(), "fingerprint", "left_semi")
+    return own.withColumn("place", F.row_number().over(W.partitionBy("fingerprint").orderBy(F.desc(newest), F.desc(tie))))
+
+
+def repeated(names: DataFrame, name: str) -> DataFrame:
+    """Names that stand more than once, with their number."""
+    return names.groupBy(name).agg(F.count("*").alias("n")).filter(F.col("n") > 1)

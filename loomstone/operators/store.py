@@ -158,6 +158,14 @@ def orphans_removed(child: DataFrame, parent: DataFrame, key: str = "fingerprint
     return child.join(parent.select(key).distinct(), key, "left_semi")
 
 
+def hydrated(rows: DataFrame) -> DataFrame:
+    """Stored rows as postings: a known location needs a city, collected_at is the last sighting, broken payloads are marked."""
+    known = (F.col("location_kind") == "known") & F.col("location_city").isNotNull()
+    whole = F.try_parse_json("raw_payload").isNotNull()
+    payload = F.when(F.col("raw_payload").isNull() | whole, F.col("raw_payload")).otherwise(F.lit('{"corrupted":true}'))
+    return rows.withColumns({"__known": F.coalesce(known, F.lit(False)), "collected_at": F.col("last_seen_at"), "raw_payload": payload}).withColumns({"location_kind": F.when(F.col("__known"), "known").otherwise("unknown"), "location_city": F.when(F.col("__known"), F.col("location_city"))}).drop("__known")
+
+
 class Snapshots:
     """Versions of a table under a folder, with a pointer to the current one; one writer at a time."""
 

@@ -229,12 +229,6 @@ def weekly_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.weekly_volume(table(spark, sf_dir, "events"), F.col("ts"))
 
 
-@_query("SELECT d.doc_id, d.source, l.quality, l.toxic, l.doc_id IS NULL AS missing FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
-def corpus_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lab = table(spark, sf_dir, "labels").withColumn("hit", F.lit(True))
-    return table(spark, sf_dir, "documents").join(lab, "doc_id", "left").select("doc_id", "source", "quality", "toxic", F.col("hit").isNull().alias("missing"))
-
-
 # --- scoring ---------------------------------------------------------------------------------------------------------
 
 _CONFIG = scoring.ScoringConfig()
@@ -444,23 +438,15 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.rate_limited(e, most=1, seconds=86400).select("event_id", "limited")
 
 
-@_query("SELECT event_type, count(*) AS n, count(*) FILTER (json_valid(props)) AS parsed FROM events GROUP BY 1")
-def props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.from_json("props", "map<string,string>").isNotNull()).alias("parsed"))
-
-
-@_query()
 def breaker_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     outcome = F.when(i % 3 == 0, "success").when(i % 3 == 1, "transient").otherwise(F.when(i % 5 == 0, "permanent").otherwise("transient"))
-    e = table(spark, sf_dir, "events").withColumn("key", F.concat("event_type", F.lit(":"), F.date_format("ts", "yyyy-MM-dd")))
-    return machines.breaker_replay(e, "key", F.unix_millis(F.col("ts").cast("timestamp")), i, outcome)
+    return machines.breaker_replay(table(spark, sf_dir, "events"), "event_type", F.unix_millis(F.col("ts").cast("timestamp")), i, outcome)
 
 
-@_query()
 def crawl_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outcome = F.element_at(F.array(*map(F.lit, ("error", "error", "ok", "error", "ingested", "error", "gone", "requeue"))), (F.xxhash64("event_id") % 4 + 5).cast("int"))
+    names = F.array(*map(F.lit, ("ok", "error", "ingested", "error", "gone", "requeue", "error")))
+    outcome = F.element_at(names, (F.shiftright(F.col("event_id") * 2654435761, 8) % 7 + 1).cast("int"))
     return machines.crawl_fold(table(spark, sf_dir, "events"), "user_id", F.col("event_id"), outcome)
 
 
@@ -519,12 +505,17 @@ def normalize_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.normalize_all(raw, F.lit(NOW)).select("source", "source_id", "fingerprint", "work_mode", "location_city")
 
 
-@_query()
 def digest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = table(spark, sf_dir, "documents").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("channel"), F.coalesce("text", F.lit("")).alias("text"))
     return delivery.chunks(m, 1000).select("operation_id", "chunk_index", "content_hash")
 
 
+from . import lifecycle  # noqa: E402  registers its queries, with folds as SQL
+
+for _f, _sql in ((breaker_replay, lifecycle.BREAKER_SQL), (crawl_states, lifecycle.CRAWL_SQL), (digest_chunks, lifecycle.CHUNKS_SQL)):
+    _query(_sql)(_f)
+
+
 @_query("SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, count(*) AS n FROM events GROUP BY 1")
 def stream_weekly_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weekly counts, taken from a stream of the table's files batch by batch."""
