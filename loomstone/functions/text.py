@@ -189,6 +189,11 @@ def significant_tokens(title: Column) -> Column:
     return F.filter(F.split(normalize_for_similarity(title), " "), lambda t: (t != "") & ~t.isin(*STOPWORDS))
 
 
+def significant_title(title: Column) -> Column:
+    """A title's significant words, sorted and joined; empty for null."""
+    return F.coalesce(F.array_join(F.array_sort(significant_tokens(title)), " "), F.lit(""))
+
+
 def bigrams(c: Column) -> Column:
     """Character pairs of a string as numbers, from the code points; of one character, itself; of none, nothing."""
     codes = F.transform(F.split(c, ""), lambda x: F.ascii(x).cast("long"))
@@ -196,33 +201,28 @@ def bigrams(c: Column) -> Column:
     return F.when(F.length(c) >= 2, pairs).when(F.length(c) == 1, codes).otherwise(F.array().cast("array<bigint>"))
 
 
-#: Bigrams numbered in one fold.
-_CHUNK = 256
+#: Bigrams numbered together.
+_CHUNK = 64
 
 
 def numbered_bigrams(title: Column) -> Column:
     """The bigrams of a title's significant words, sorted and joined, as numbers, each with its occurrence number.
 
     Numbering makes a set of the multiset, so that a built-in set intersection counts common bigrams with repetition.
-    Among sorted bigrams, occurrences are counted from the first equal one, in chunks, so that long titles stay cheap.
+    Among sorted bigrams, an occurrence's number is its distance from the first equal one; that is looked for within a
+    chunk, and once for the bigram that the chunk begins with, so that long titles stay cheap.
     """
-    joined = F.coalesce(F.array_join(F.array_sort(significant_tokens(title)), " "), F.lit(""))
-    start = lambda last, n: F.struct(F.array().cast("array<bigint>").alias("out"), last.alias("last"), n.cast("bigint").alias("n"))
-
-    def step(s: Column, g: Column) -> Column:
-        n = F.when(s["last"] == g, s["n"] + 1).otherwise(F.lit(0).cast("bigint"))
-        return F.struct(F.array_append(s["out"], g * (1 << 21) + n).alias("out"), g.alias("last"), n.alias("n"))
 
     def numbered(o: Column) -> Column:
         def chunk(k: Column) -> Column:
-            own = F.slice(o, k * _CHUNK + 1, F.lit(_CHUNK))
-            # one less than the number of the chunk's first bigram
-            return F.aggregate(own, start(own[0], k * _CHUNK - F.array_position(o, own[0])), step, lambda s: s["out"])
+            own, begun = F.slice(o, k * _CHUNK + 1, F.lit(_CHUNK)), F.array_position(o, F.element_at(o, k * _CHUNK + 1))
+            bound = F.transform(F.array(F.struct(own.alias("own"), (k * _CHUNK + 1 - begun).alias("before"))), lambda c: F.transform(c["own"], lambda g, i: g * (1 << 21) + F.when(g == c["own"][0], c["before"] + i).otherwise(i + 1 - F.array_position(c["own"], g))))
+            return F.element_at(bound, 1)
 
         return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(o) - 1) / _CHUNK).cast("int")), chunk))
 
     # bound once
-    return F.element_at(F.transform(F.array(F.array_sort(bigrams(joined))), lambda o: F.when(F.size(o) == 0, o).otherwise(numbered(o))), 1)
+    return F.element_at(F.transform(F.array(F.array_sort(bigrams(significant_title(title)))), lambda o: F.when(F.size(o) == 0, o).otherwise(numbered(o))), 1)
 
 
 def dice(a: Column, b: Column) -> Column:
@@ -294,7 +294,8 @@ def decode_entities(c: Column, numeric: bool = True) -> Column:
     named = c
     for name, char in ENTITIES.items():  # & last, so that what it makes is not decoded again
         named = F.replace(named, F.lit(f"&{name};"), F.lit(char))
-    return F.when(F.contains(c, F.lit("&#")), _decode_numeric(c)).otherwise(named) if numeric else named
+    some = F.when(F.contains(c, F.lit("&#")), c)  # other rows aren't handed over
+    return F.when(F.contains(c, F.lit("&#")), _decode_numeric(some)).otherwise(named) if numeric else named
 
 
 def html_to_text(markup: Column, numeric: bool = True) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 
-from ..functions.text import company_group, dice, normalize, numbered_bigrams
+from ..functions.text import company_group, normalize, significant_title
 
 DAY_MS = 86_400_000
 THRESHOLD, WINDOW_DAYS, CAP = 0.35, 14, 500
@@ -28,32 +32,64 @@ def ranked(df: DataFrame, key: str, ms: str, order: list[str | Column]) -> DataF
 
 
 def prepared(postings: DataFrame) -> DataFrame:
-    """What comparisons need of a posting: fingerprint, grp, city, ms, bigrams, and its rank within the company."""
+    """What comparisons need of a posting: fingerprint, grp, city, ms, the title's significant words, and its rank within the company."""
     base = postings.select(
         "fingerprint",
         company_group(F.col("company")).alias("grp"),
         F.when(F.col("location_kind") == "known", normalize(F.col("location_city"))).alias("city"),
         F.unix_millis("first_seen_at").alias("ms"),
         "pos",
-        numbered_bigrams(F.col("title")).alias("grams"),
+        significant_title(F.col("title")).alias("words"),
     )
     return ranked(base, "grp", "ms", ["pos"])
 
 
+def bigrams_of(words: str) -> np.ndarray:
+    """Bigrams of a string (of one character, itself) as numbers, each with its occurrence number."""
+    codes = np.frombuffer(words.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    grams = np.sort(codes[:-1] << 21 | codes[1:]) if len(codes) > 1 else codes
+    first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]]) if len(grams) else grams
+    return grams << 21 | np.arange(len(grams)) - np.repeat(first, np.diff(np.r_[first, len(grams)]))
+
+
+def _compared(threshold: float, window_ms: int, cap: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Pairs among the rows of two blocks of ranks of one company and city, by an index from bigrams to rows."""
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        grams = [bigrams_of(w) for w in rows["words"]]
+        sizes = np.array([len(g) for g in grams])
+        of, ids = np.unique(np.concatenate(grams), return_inverse=True)
+        holders = np.repeat(np.arange(len(rows)), sizes)[np.argsort(ids, kind="stable")]
+        ends = np.cumsum(np.bincount(ids, minlength=len(of)))
+        starts, stops = np.r_[0, ends[:-1]], np.cumsum(sizes)
+        rank, ms, names = rows["rank"].to_numpy(), rows["ms"].to_numpy(), rows["fingerprint"].to_numpy(dtype=object)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for i in np.flatnonzero(rows["own"].to_numpy()):
+            mine = ids[stops[i] - sizes[i] : stops[i]]
+            common = np.bincount(np.concatenate([holders[starts[g] : ends[g]] for g in mine]), minlength=len(rows)) if len(mine) else np.zeros(len(rows), int)
+            total = sizes + sizes[i]
+            similarity = np.where(total == 0, 0.0, 2.0 * common / np.maximum(total, 1))
+            near = np.flatnonzero((rank < rank[i]) & (rank[i] - rank <= cap) & (ms[i] - ms <= window_ms) & (similarity >= threshold))
+            found.append((np.full(len(near), i), near, similarity[near]))
+        later, earlier, alike = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return pd.DataFrame({"fingerprint": pd.Series(names[later], dtype=object), "duplicate_of": pd.Series(names[earlier], dtype=object), "similarity": alike, "e_rank": rank[earlier]})
+
+    return compare
+
+
 def similar_pairs(postings: DataFrame, threshold: float = THRESHOLD, days: float = WINDOW_DAYS, cap: int = CAP) -> DataFrame:
     """All (candidate, earlier, similarity) pairs that qualify.
 
     Same company group; earlier by at most ``days``, among the newest ``cap`` earlier rows of the company; cities both
-    unknown or equal; similarity of at least the threshold. The cap makes the join an equi-join of blocks of ranks: a row
-    meets the rows of its own and the previous block only, so work is linear in the rows whatever the company's size.
+    unknown or equal; similarity of at least the threshold. The cap cuts a company into blocks of ranks: a row meets the
+    rows of its own and the previous block only, so work is linear in the rows whatever the company's size, and no group
+    has more than twice the cap. Within a group, rows meet by an index of bigrams; pairs below the threshold are never
+    made into rows.
     """
-    rows = prepared(postings).withColumn("block", F.floor(F.col("rank") / cap))
-    earlier = rows.select(*(F.col(c).alias(f"e_{c}") for c in ("fingerprint", "grp", "city", "ms", "rank", "grams")), F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("e_block"))
-    on = (F.col("grp") == F.col("e_grp")) & F.col("city").eqNullSafe(F.col("e_city")) & (F.col("block") == F.col("e_block")) & (F.col("e_rank") < F.col("rank")) & (F.col("rank") - F.col("e_rank") <= cap) & (F.col("ms") - F.col("e_ms") <= int(days * DAY_MS))
-    # the smaller of two sets of bigrams bounds what they have in common
-    bound = 2 * F.least(F.size("grams"), F.size("e_grams")) >= threshold * (F.size("grams") + F.size("e_grams"))
-    similarity = dice(F.col("grams"), F.col("e_grams"))
-    return rows.join(earlier, on & bound).select("fingerprint", F.col("e_fingerprint").alias("duplicate_of"), similarity.alias("similarity"), "e_rank").filter(F.col("similarity") >= threshold)
+    rows = prepared(postings).filter(F.col("grp").isNotNull()).withColumn("block", F.floor(F.col("rank") / cap))
+    place = lambda block, own: F.struct(block.alias("block"), F.lit(own).alias("own"))
+    placed = rows.select("fingerprint", "grp", "city", "ms", "rank", "words", F.explode(F.array(place(F.col("block"), True), place(F.col("block") + 1, False))).alias("p")).select("*", "p.block", "p.own").drop("p")
+    return placed.groupBy("grp", "city", "block").applyInPandas(_compared(threshold, int(days * DAY_MS), cap), "fingerprint string, duplicate_of string, similarity double, e_rank long")
 
 
 def shadow_duplicates(postings: DataFrame, threshold: float = THRESHOLD, days: float = WINDOW_DAYS, cap: int = CAP) -> DataFrame:
