@@ -310,6 +310,7 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame
     each = found.select("key", "host", F.explode(F.filter("subtrees", lambda x: x["own"])).alias("e")).select("key", "host", "e.*")
     # written first, so that its size is known: few lists are broadcast, within Spark's threshold, and no text is shuffled
     lists = scratch.keep(each.join(flagged, ["host", "hash", "inside"]).groupBy("key").agg(F.collect_set(F.struct("inside", "first", "last")).alias("off")), "lists")
+    scratch.drop(flagged)
     clean = F.expr("filter(blocks, b -> not exists(coalesce(off, array()), e -> e.inside = b.inside and e.first <= b.at and b.at <= e.last))")
     texts = found.join(lists, "key", "left").select("row", _in_articles(clean).alias("blocks"))
     return texts.select(*(F.col(f"row.`{c}`") for c in kept), F.array_join(F.transform("blocks", lambda b: b["text"]), " ").alias("text"))

@@ -349,6 +349,7 @@ def node_classes(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataF
     links = checker.alike(checker.fresh(rest.join(right, near).select(*_ordered("node", "node_2")).distinct()))
     if not links.isEmpty():
         labels = joined(links)
+    scratch.only(labels)
     return empty if labels is None else labels
 
 

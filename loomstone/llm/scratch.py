@@ -51,6 +51,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/loomstone/{name}-{uuid.uuid4().hex[:12]}"
         self.made = 0
+        self.kept: list[DataFrame] = []
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write ``df`` as Parquet and return the table that was written."""
@@ -59,6 +60,7 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch_path = path
+        self.kept.append(kept)
         return kept
 
     def drop(self, *kept: DataFrame | None) -> None:
@@ -67,3 +69,8 @@ class Scratch:
             if df is not None:
                 path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.kept = [x for x in self.kept if not any(x is df for df in kept)]
+
+    def only(self, *needed: DataFrame | None) -> None:
+        """Delete all kept tables but those that are still needed."""
+        self.drop(*(x for x in self.kept if not any(x is df for df in needed)))
