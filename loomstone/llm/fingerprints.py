@@ -37,8 +37,8 @@ MASK = MODULUS - 1
 ONES = 1 | 1 << SHIFTS | 1 << 2 * SHIFTS
 #: Up to eight words, the last of which may end a sentence. Java's and RE2's readings agree on it.
 PIECE = r"(?:[^ \t\r\f]*[^ \t\r\f.!?][ \t\r\f]+){0,7}[^ \t\r\f]+"
-#: Most buckets of neighbouring ids; a bucket is sorted with spilling, so this bounds the split points only.
-MOST_BUCKETS = 16384
+#: Rows of a bucket of neighbouring ids, about, and most buckets; a bucket is sorted with spilling, so the latter bounds the split points only.
+BUCKET_ROWS, MOST_BUCKETS = 5000, 65536
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -137,8 +137,9 @@ def with_next(docs: DataFrame, key: str, text: str, make: Callable[[DataFrame],
     spark = docs.sparkSession
     null = F.lit(-(1 << 63))
     keyed = docs.withColumns({"__key": F.coalesce(F.col(key).cast("long"), null), "__hash": F.xxhash64(text)})
-    n = min(MOST_BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     top, rows = keyed.agg(F.max("__key"), F.count("*")).first()
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = min(MOST_BUCKETS, max(4 * partitions, rows // BUCKET_ROWS))
     if not rows:
         return make(docs).withColumn("next", F.lit(None).cast(make(docs).select(F.struct(*carried)).dtypes[0][1]))
     points = keyed.select(F.col("__key").cast("double").alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.5 / n)
@@ -161,6 +162,8 @@ def with_next(docs: DataFrame, key: str, text: str, make: Callable[[DataFrame],
     guest = F.struct(F.expr("__before[__b]").alias("b"), F.lit(True).alias("guest"))
     is_first = F.expr("__head_key[__b] = __key and __head_hash[__b] = __hash")
     dealt = found.withColumns({k: lit(v) for k, v in first.items()}).withColumn("__to", F.explode(F.when(is_first, F.array(own, guest)).otherwise(F.array(own)))).drop("__b", *first)
+    if n > 4 * partitions:  # as many tasks as the rows need, whatever the session's setting
+        dealt = dealt.repartition(n // 2, F.col("__to.b"))
     w = W.partitionBy("__to.b").orderBy("__to.guest", F.desc("__key"), "__hash", text)
     return make(dealt).withColumn("next", F.lead(F.struct(*carried)).over(w)).filter(~F.col("__to.guest")).drop("__to", "__key", "__hash")
 
