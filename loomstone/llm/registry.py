@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, html_text, mixing, near_dedup, quality, secret_scan, sharding, topk_search, toxicity
+from . import bpe, fill_middle, fingerprints, html_text, mixing, near_dedup, pieces, quality, secret_scan, sharding, topk_search, toxicity, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,9 +22,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": secret_scan.op8_secret_scan,
         "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_sharding": sharding.op10_sharding,
+        "op11_sentence_pieces": pieces.op11_sentence_pieces,
+        "op12_whitening": whitening.op12_whitening,
+        "op13_fill_middle": fill_middle.op13_fill_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """name -> DuckDB SQL."""
-    return {"op2_topk_search": topk_search.ORACLE_SQL, "op7_fingerprints": fingerprints.ORACLE_SQL, "op8_secret_scan": secret_scan.ORACLE_SQL}
+    return {
+        "op2_topk_search": topk_search.ORACLE_SQL,
+        "op7_fingerprints": fingerprints.ORACLE_SQL,
+        "op8_secret_scan": secret_scan.ORACLE_SQL,
+        "op13_fill_middle": fill_middle.ORACLE_SQL,
+    }
