@@ -116,13 +116,13 @@ def _squares(scaled: np.ndarray) -> list[int | None]:
 
 def _reduced(parts: DataFrame, merge: Callable[[list[bytes]], bytes], tasks: int) -> bytes | None:
     """One summary of all: ``FAN_IN`` meet in a task, level by level. None without any."""
-    while tasks > 1:
-        tasks = -(-tasks // FAN_IN)
 
-        def merged(group: pd.DataFrame, merge: Callable = merge, tasks: int = tasks) -> pd.DataFrame:
-            return pd.DataFrame({"part": [int(group.part.iloc[0]) % tasks], "summary": [merge(list(group.summary))]})
+    def merged(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": group.part.iloc[:1], "summary": [merge(list(group.summary))]})
 
-        parts = parts.withColumn("part", F.expr(f"part % {tasks}")).groupBy("part").applyInPandas(merged, PART)
+    while tasks > 1:
+        tasks = -(-tasks // FAN_IN)
+        parts = parts.withColumn("part", F.col("part") % tasks).groupBy("part").applyInPandas(merged, PART)
     got = parts.collect()  # one row at most
     return got[0].summary if got else None
 
