@@ -320,15 +320,15 @@ def _column(spark: SparkSession, given: Column, path: str | None, begin: bool, e
     told = read_model(path or model_path())
     digest, held = hashlib.md5(told.encode()).hexdigest(), spark.sparkContext.broadcast(told)
 
-    @F.pandas_udf(out)
-    def mapped(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame] if "," in out else Iterator[pd.Series]:
+    def mapped(parts):  # noqa: ANN001, ANN202
         encoder = _encoder(held.value, digest, begin, end)
         for part in parts:
             values = part.tolist()
             for i in range(0, len(values), HANDED):
                 yield run(encoder, values[i : i + HANDED])
 
-    return mapped(given)
+    mapped.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.DataFrame if "," in out else pd.Series]}
+    return F.pandas_udf(mapped, out)(given)
 
 
 def token_digests(spark: SparkSession, text: Column, path: str | None = None, begin: bool = True, end: bool = True) -> Column:
