@@ -8,6 +8,7 @@ import json
 import pyspark.sql.functions as F
 from pyspark.sql import Column
 
+from . import segments
 from .text import html_to_text, normalize, truncate_text
 
 TITLE_MOST, DESCRIPTION_MOST = 500, 12_000
@@ -28,7 +29,7 @@ def bounded_content(title: Column, description: Column) -> Column:
     text = html_to_text(description)
     short = truncate_text(text, DESCRIPTION_MOST)
     head = F.substring(title, 1, TITLE_MOST)
-    return F.struct(head.alias("title"), short.alias("description"), content_hash(head, short).alias("content_hash"), F.coalesce(F.length(text) > DESCRIPTION_MOST, F.lit(False)).alias("truncated"))
+    return F.struct(head.alias("title"), short.alias("description"), content_hash(head, short).alias("content_hash"), F.coalesce(segments.units(text) > DESCRIPTION_MOST, F.lit(False)).alias("truncated"))
 
 
 def requirements_hash(requirements: Column) -> Column:

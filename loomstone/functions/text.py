@@ -14,6 +14,8 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column
 from pyspark.sql.types import ArrayType, StringType
 
+from . import segments
+
 # Fixed value: words that carry no signal in a posting's title.
 STOPWORDS = ("estagio", "estagiario", "estagiaria", "trainee", "pessoa", "vaga", "de", "em", "para", "na", "no", "um", "uma", "e", "a", "o")
 # Fixed value: legal forms at the end of a company's name.
@@ -309,19 +311,19 @@ def had_markup(c: Column) -> Column:
 
 
 def truncate_text(c: Column, most: int) -> Column:
-    """Whole paragraphs up to most characters; if the first is too long, up to its last blank; without one, cut."""
+    """Whole paragraphs up to most UTF-16 units; if the first is too long, whole words; if the first word is too long, whole user-perceived characters."""
     joined = F.aggregate(
         F.split(c, r"\n{2,}"),
-        F.struct(F.lit("").alias("s"), F.lit(True).alias("open")),
+        F.struct(F.lit("").alias("s"), F.lit(0).alias("n"), F.lit(True).alias("open")),
         lambda a, p: F.when(
-            a["open"] & (F.length(a["s"]) + F.when(a["s"] == "", F.lit(0)).otherwise(F.lit(2)) + F.length(p) <= most),
-            F.struct(F.when(a["s"] == "", p).otherwise(F.concat(a["s"], F.lit("\n\n"), p)).alias("s"), F.lit(True).alias("open")),
-        ).otherwise(F.struct(a["s"].alias("s"), F.lit(False).alias("open"))),
+            a["open"] & (a["n"] + F.when(a["s"] == "", F.lit(0)).otherwise(F.lit(2)) + segments.units(p) <= most),
+            F.struct(F.when(a["s"] == "", p).otherwise(F.concat(a["s"], F.lit("\n\n"), p)).alias("s"), (a["n"] + F.when(a["s"] == "", F.lit(0)).otherwise(F.lit(2)) + segments.units(p)).alias("n"), F.lit(True).alias("open")),
+        ).otherwise(F.struct(a["s"].alias("s"), a["n"].alias("n"), F.lit(False).alias("open"))),
         lambda a: a["s"],
     )
-    head = F.substring(c, 1, most)
-    at_word = F.regexp_replace(head, r"\s+\S*\z", "")
-    return F.when(F.length(c) <= most, c).when(joined != "", joined).when(head.rlike(r"\S\s"), at_word).otherwise(head)
+    # no text has more units than bytes
+    fits = (F.octet_length(c) <= most) | (segments.units(c) <= most)
+    return F.when(fits, c).when(joined != "", joined).otherwise(segments.truncate_at_word(c, most))
 
 
 def strip_evidence_tag(c: Column) -> Column:

@@ -139,7 +139,25 @@ def url_allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", payloads.url_allowed(F.col("url"), list(_ALLOWED)).alias("allowed"))
 
 
-@_query("WITH s AS (SELECT doc_id, CASE WHEN length(text) <= 400 THEN text END AS whole, list_transform(range(1, len(string_split_regex(text, '\\n{2,}')) + 1), lambda i: array_to_string(string_split_regex(text, '\\n{2,}')[1:i], chr(10) || chr(10))) AS heads, substr(text, 1, 400) AS head FROM documents), l AS (SELECT *, list_filter(heads, lambda h: length(h) <= 400) AS fit FROM s) SELECT doc_id, CASE WHEN whole IS NOT NULL THEN whole WHEN head IS NULL THEN NULL WHEN len(fit) > 0 AND fit[len(fit)] <> '' THEN fit[len(fit)] WHEN regexp_matches(head, '\\S\\s') THEN regexp_replace(head, '\\s+\\S*$', '') ELSE head END AS short FROM l")
+#: Words and what stands between them, for RE2; characters with their marks.
+_WORDS_SQL = (
+    r"\r\n|[\r\n\x0b\f\x{85}\x{2028}\x{2029}]|(?:(?:\p{L}[\p{M}\p{Cf}]*(?:(?:[.''\x{b7}\x{2018}\x{2019}\x{2024}\x{2027}][\p{M}\p{Cf}]*)?\p{L}[\p{M}\p{Cf}]*)*)"
+    r"|(?:\p{Nd}[\p{M}\p{Cf}]*(?:(?:[.,;''\x{2018}\x{2019}\x{2024}\x{2044}][\p{M}\p{Cf}]*)?\p{Nd}[\p{M}\p{Cf}]*)*)|\p{Pc}[\p{M}\p{Cf}]*)+|[ \x{1680}\x{2000}-\x{2006}\x{2008}-\x{200a}\x{205f}\x{3000}]+[\p{M}\p{Cf}]*|(?s:.)[\p{M}\p{Cf}]*"
+)
+_UNITS_SQL = r"(length({0}) + length(regexp_replace({0}, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')))"
+
+
+@_query(
+    rf"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, text, {_UNITS_SQL.format("text")} <= 400 AS fits, string_split_regex(text, '\n{{2,}}') AS parts FROM documents),
+h AS (SELECT r, max(k) AS k FROM (SELECT r, unnest(range(1, least(len(parts), 400) + 1)) AS k, parts FROM t WHERE NOT fits) WHERE {_UNITS_SQL.format("array_to_string(parts[1:k], chr(10) || chr(10))")} <= 400 GROUP BY 1),
+p AS (SELECT r, array_to_string(parts[1:k], chr(10) || chr(10)) AS joined FROM h JOIN t USING (r)),
+g AS (SELECT r, unnest(segments) AS s, generate_subscripts(segments, 1) AS i FROM (SELECT r, regexp_extract_all(substr(text, 1, 1000), '{_WORDS_SQL}') AS segments FROM t WHERE NOT fits)),
+w AS (SELECT r, string_agg(s, '' ORDER BY i) AS words FROM (SELECT *, sum({_UNITS_SQL.format("s")}) OVER (PARTITION BY r ORDER BY i) AS n FROM g) WHERE n <= 400 GROUP BY 1),
+c AS (SELECT r, unnest(clusters) AS s, generate_subscripts(clusters, 1) AS i FROM (SELECT r, regexp_extract_all(substr(text, 1, 1000), '\r\n|(?s:.)[\p{{M}}\x{{200d}}]*') AS clusters FROM t WHERE NOT fits)),
+x AS (SELECT r, string_agg(s, '' ORDER BY i) AS clusters FROM (SELECT *, sum({_UNITS_SQL.format("s")}) OVER (PARTITION BY r ORDER BY i) AS n FROM c) WHERE n <= 400 GROUP BY 1)
+SELECT doc_id, CASE WHEN text IS NULL OR fits THEN text WHEN coalesce(joined, '') <> '' THEN joined WHEN words IS NOT NULL THEN regexp_replace(words, '[{SQL_SPACES}]+$', '') ELSE coalesce(clusters, '') END AS short
+FROM t LEFT JOIN p USING (r) LEFT JOIN w USING (r) LEFT JOIN x USING (r)"""
+)
 def truncate_description(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.truncate_text(F.col("text"), 400).alias("short"))
 
