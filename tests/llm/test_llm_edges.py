@@ -178,23 +178,67 @@ def test_html_query_against_brute_force(spark, tmp_path):
         blocks, subtrees = read[p]
         content = tuple(b[0] for b in blocks)
         contents.setdefault(host(u), set()).add(content)
-        for h, inside, *_ in subtrees:
-            seen.setdefault((host(u), h, inside), set()).add(content)
+        for h, inside, *_, kind in subtrees:
+            seen.setdefault((host(u), h, inside, kind), set()).add(content)
 
-    def template(u, h, inside):
-        n, of = len(seen[host(u), h, inside]), len(contents[host(u)])
-        return n >= max(10, 0.6 * of) if inside else n >= 3 and n >= 0.005 * of
+    def template(u, h, inside, kind):
+        n, of = len(seen[host(u), h, inside, kind]), len(contents[host(u)])
+        if kind == html_text.NAMED:
+            return n >= 3 or len({k[0] for k in seen if k[1] == h and k[3] == kind}) >= 3
+        if inside:
+            return n >= max(10, 0.6 * of)
+        return n >= 3 and n >= (0.005 if kind == html_text.CONTAINER else 0.6) * of
 
     expected, deleted = {}, 0
     for p, u, _ in pages:
         blocks, subtrees = read[p]
-        off = {(i, inside) for h, inside, a, b, _ in subtrees if template(u, h, inside) for i in range(a, b + 1)}
+        off = {(i, inside) for h, inside, a, b, _, kind in subtrees if template(u, h, inside, kind) for i in range(a, b + 1)}
         deleted += len(off)
-        left = [(t, inside) for i, (t, inside, other) in enumerate(blocks) if not other and (i, inside) not in off]
-        within = [x for x in left if x[1]]
-        chars = lambda x: sum(len(t) for t, _ in x)
-        expected[p] = " ".join(t for t, _ in (within if 2 * chars(within) >= chars(left) else left))
+        expected[p] = " ".join(t for i, (t, inside, other) in enumerate(blocks) if not other and (i, inside) not in off)
     got = {r.page_id: (r.text, r.n_chars) for r in html_text.op5_html_extraction(spark, str(tmp_path)).collect()}
     assert got == {p: (t, len(t)) for p, t in expected.items()}
     assert deleted > 100
     assert got[100_001][0] == "page 1 has a long text of its own, number 1 shared 1"
+
+
+def main_texts(spark, pages):
+    rows = [(i, u, h) for i, (u, h) in enumerate(pages)]
+    return {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_sentences_that_some_stories_share_stay(spark):
+    """On a host of 50 pages, three share a paragraph; what most of them share goes."""
+    page = "<div><p>story {i} with a text of its own that goes on for some time</p>{shared}<p>imprint of the host</p></div>"
+    got = main_texts(spark, [("https://a.example/", page.format(i=i, shared="<p>a sentence of three</p>" if i < 3 else "")) for i in range(50)])
+    assert all(got[i] == f"story {i} with a text of its own that goes on for some time" + (" a sentence of three" if i < 3 else "") for i in range(50))
+
+
+def test_a_story_beside_its_article_stays(spark):
+    page = "<article>two sentences. of a story</article><div><p>second half</p></div>"
+    frame = "<article>a long text {i} that holds most of its page</article><div class=x><h2>More</h2><ul><li>card {i}</li></ul></div>"
+    got = main_texts(spark, [("https://a.example/", page), *(("https://b.example/", frame.format(i=i)) for i in range(10)), ("https://b.example/", page)])
+    assert got[0] == got[11] == "two sentences. of a story second half"
+    assert {got[i] for i in range(1, 11)} == {f"a long text {i} that holds most of its page" for i in range(10)}
+
+
+def test_a_form_around_a_page_is_the_page(spark):
+    page = "<body><form action=x><nav>menu</nav><h1>Title</h1><p>text of the page</p><form><label>Search</label></form><footer>f</footer></form></body>"
+    got = main_texts(spark, [("https://a.example/", page), ("https://a.example/l", "<form><label>User</label><label>Password</label></form>"), ("https://a.example/a", "<article>text</article><form><p>your name</p><p>your mail</p></form>")])
+    assert got == {0: "Title text of the page", 1: "", 2: "text"}
+
+
+def test_names_that_may_mean_something_else_need_the_count(spark):
+    story = "<p>a story about the market</p><p>with a long first part</p><div class='share'><p>Share of the market went to 5 per cent</p></div>"
+    button = "<article>text {i} of this page</article><div class='share-box'><b>Share</b> {i}</div>"
+    got = main_texts(spark, [("https://a.example/", story), *((f"https://b{i % 4 if i < 4 else 9}.example/", button.format(i=i)) for i in range(8))])
+    assert got[0] == "a story about the market with a long first part Share of the market went to 5 per cent"
+    assert {got[i + 1] for i in range(8)} == {f"text {i} of this page" for i in range(8)}
+
+
+def test_counts_decide(spark, monkeypatch):
+    """Without the count all of a site's frame stays."""
+    page = "<div><b>Offers</b><i>of the week</i><p>now</p></div><div><p>text {i} of its own</p></div><div class='notice'>seen {i} times</div>"
+    pages = [("https://a.example/", page.format(i=i)) for i in range(6)]
+    assert set(main_texts(spark, pages).values()) == {f"text {i} of its own" for i in range(6)}
+    monkeypatch.setattr(html_text, "LEAST_PAGES", 100)
+    assert set(main_texts(spark, pages).values()) == {f"Offers of the week now text {i} of its own seen {i} times" for i in range(6)}
