@@ -237,7 +237,7 @@ def test_names_that_may_mean_something_else_need_the_count(spark):
 
 def test_counts_decide(spark, monkeypatch):
     """Without the count all of a site's frame stays."""
-    page = "<div><b>Offers</b><i>of the week</i><p>now</p></div><div><p>text {i} of its own</p></div><div class='notice'>seen {i} times</div>"
+    page = "<div><b>Offers</b> <i>of the week</i><p>now</p></div><div><p>text {i} of its own</p></div><div class='notice'>seen {i} times</div>"
     pages = [("https://a.example/", page.format(i=i)) for i in range(6)]
     assert set(main_texts(spark, pages).values()) == {f"text {i} of its own" for i in range(6)}
     monkeypatch.setattr(html_text, "LEAST_PAGES", 100)
