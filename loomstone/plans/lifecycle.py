@@ -8,8 +8,9 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from ..functions import identity
-from ..operators import delivery, evidence, ledger, market, render, runs, scorer, scoring, store
+from ..operators import buckets, delivery, evidence, ledger, market, render, runs, scorer, scoring, store
 from ..sources import payloads
+from ..sources.folders import shared_folder
 from . import catalog
 from .views import CRITERIA, POSTINGS_SQL, PROFILE_SKILLS, TAXONOMY, postings, table
 
@@ -211,6 +212,24 @@ u AS (SELECT operation_id, unnest(range(len(c))) AS i, c FROM c)
 SELECT operation_id, i::INTEGER AS chunk_index, sha256(c[i + 1]) AS content_hash FROM u"""
 
 
+# --- tables in parts -------------------------------------------------------------------------------------------------
+
+
+@_query(
+    """WITH b AS (SELECT o_orderkey AS fingerprint, o_orderdate::TIMESTAMP AS at, o_orderstatus AS status FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT o_orderkey AS fingerprint, o_orderdate::TIMESTAMP + INTERVAL 1 DAY AS at FROM orders WHERE o_orderkey % 50 = 0)
+SELECT fingerprint, coalesce(b.at, n.at) AS first_seen_at, coalesce(n.at, b.at) AS last_seen_at, CASE WHEN n.at IS NOT NULL THEN 'seen again' ELSE b.status END AS status FROM b FULL JOIN n USING (fingerprint)"""
+)
+def bucket_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bucketed table after an upsert."""
+    k, at = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    o = table(spark, sf_dir, "orders")
+    held = buckets.BucketedTable(spark, shared_folder(spark, "buckets"), buckets=64)
+    held.create(o.filter(k % 3 != 0).select(k.alias("fingerprint"), at.alias("first_seen_at"), at.alias("last_seen_at"), F.col("o_orderstatus").alias("status")))
+    later = at + F.expr("INTERVAL 1 DAY")
+    held.upsert(o.filter(k % 50 == 0).select(k.alias("fingerprint"), k.alias("pos"), later.alias("first_seen_at"), later.alias("last_seen_at"), F.lit("seen again").alias("status")))
+    return held.read()
+
+
 # --- delivery and rendering ------------------------------------------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.buckets import BucketedTable
 from ..operators.normalize import normalize_all, without_normalizer
 from ..operators.store import Snapshots, upsert
 
@@ -34,8 +35,8 @@ def split_late(postings: DataFrame, by_source: DataFrame) -> tuple[DataFrame, Da
     return joined.filter(~late).drop("cutoff"), joined.filter(late).drop("cutoff").withColumn("reason", F.lit("too_old"))
 
 
-def ingest(stream: DataFrame, table: Snapshots, events: str, checkpoint: str, now: Callable[[], Column], by_source: Callable[[], DataFrame] | None = None) -> StreamingQuery:
-    """Upsert a raw stream into a snapshot table, batch by batch; late and unknown rows go to an event table.
+def ingest(stream: DataFrame, table: Snapshots | BucketedTable, events: str, checkpoint: str, now: Callable[[], Column], by_source: Callable[[], DataFrame] | None = None) -> StreamingQuery:
+    """Upsert a raw stream into a table, batch by batch; late and unknown rows go to an event table. A bucketed table is rewritten in part only.
 
     Of a batch's rows of one posting the last to arrive counts: rows are numbered as they are read, before they are told
     apart by source. A batch that is run again gives the same table: upserts keep first sightings, and events are written
@@ -47,10 +48,13 @@ def ingest(stream: DataFrame, table: Snapshots, events: str, checkpoint: str, no
         numbered = batch.withColumn("pos", F.monotonically_increasing_id())
         postings = normalize_all(numbered, now())
         kept, late = split_late(postings, by_source()) if by_source else (postings, None)
-        old = table.read()
-        columns = [c for c in kept.columns if c != "pos"]
-        base = old if old is not None else spark.createDataFrame([], kept.drop("pos").schema)
-        table.write(upsert(base, kept.select(*columns, "pos")).select(*base.columns))
+        if isinstance(table, BucketedTable):
+            table.upsert(kept)
+        else:
+            old = table.read()
+            columns = [c for c in kept.columns if c != "pos"]
+            base = old if old is not None else spark.createDataFrame([], kept.drop("pos").schema)
+            table.write(upsert(base, kept.select(*columns, "pos")).select(*base.columns))
         refused = without_normalizer(batch)
         if late is not None:
             refused = refused.unionByName(late.select("source", "source_id", "reason"))
