@@ -6,25 +6,40 @@ It is only called for what the caches lack, after the filter; failures are value
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 
+from .model_output import EXTRACTION_SCHEMA, MATCH_SCHEMA, Answer, checked
 from .scoring import MATCH, REQUIREMENT
 
-MOST_REQUIREMENTS, IN_FLIGHT, RETRIES = 40, 8, 3
+IN_FLIGHT, RETRIES = 8, 3
 _EXTRACTED = f"fingerprint string, content_hash string, requirements array<{REQUIREMENT}>, seniority string, experience_years int, failure string"
 _MATCHED = f"fingerprint string, requirements_hash string, matches array<{MATCH}>, failure string, finished array<struct<requirement_index: int, match: {MATCH}>>"
 
 
+def extraction(model: Callable[[str, str], dict | Answer], title: str | None, description: str | None) -> tuple[list[dict] | None, str | None, int | None, str | None, int]:
+    """(requirements, seniority, experience_years, failure, attempts) of a posting.
+
+    A blank description gives no requirements, without asking (its failure is "blank"). An answer that doesn't fit
+    ``EXTRACTION_SCHEMA`` (kinds, weights, lengths, number of requirements) is asked for again, up to RETRIES times.
+    """
+    if not (description or "").strip():
+        return [], None, None, "blank", 0
+    got, failure, attempts = checked(model, (title, description), EXTRACTION_SCHEMA, RETRIES)
+    if got is None:
+        return None, None, None, failure, attempts
+    found = [{"text": r["text"], "category": r["category"], "weight": r["weight"], "verifiable": r.get("verifiable", True)} for r in got["requirements"]]
+    return found, got.get("seniority"), got.get("experience_years"), None, attempts
+
+
 def extract(postings: DataFrame, cache: DataFrame, model: Callable[[str, str], dict], version: str, name: str) -> tuple[DataFrame, DataFrame]:
-    """(cached, fresh) extractions of postings (fingerprint, content_hash, title, description).
+    """(cached, fresh) extractions of postings (fingerprint, content_hash, title, description); see ``extraction``.
 
-    A blank description gives no requirements and isn't for the cache (its failure is "blank"). A result that isn't a
-    list of at most MOST_REQUIREMENTS is asked for again, up to RETRIES times, and then is a failure.
+    What is "blank" isn't for the cache.
     """
     known = cache.filter((F.col("prompt_version") == version) & (F.col("model") == name)).select("fingerprint", "content_hash", "requirements", "seniority", "experience_years")
     cached = postings.select("fingerprint", "content_hash").join(known, ["fingerprint", "content_hash"])
@@ -32,29 +47,40 @@ def extract(postings: DataFrame, cache: DataFrame, model: Callable[[str, str], d
 
     def call(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
-            for p in part.itertuples(index=False):
-                if not (p.description or "").strip():
-                    rows.append((p.fingerprint, p.content_hash, [], None, None, "blank"))
-                    continue
-                failure = "invalid_output"
-                for _ in range(RETRIES):
-                    try:
-                        got = model(p.title, p.description)
-                    except Exception as e:
-                        failure = type(e).__name__
-                        continue
-                    found = got.get("requirements")
-                    if isinstance(found, list) and len(found) <= MOST_REQUIREMENTS:
-                        rows.append((p.fingerprint, p.content_hash, found, got.get("seniority"), got.get("experience_years"), None))
-                        break
-                else:
-                    rows.append((p.fingerprint, p.content_hash, None, None, None, failure))
+            rows = [(p.fingerprint, p.content_hash, *extraction(model, p.title, p.description)[:4]) for p in part.itertuples(index=False)]
             yield pd.DataFrame(rows, columns=["fingerprint", "content_hash", "requirements", "seniority", "experience_years", "failure"])
 
     return cached, misses.mapInPandas(call, _EXTRACTED)
 
 
+REQUIREMENTS = "fingerprint string, requirement_index int, text string, category string, weight string, verifiable boolean, seniority string, experience_years int, failure string, attempts int"
+
+
+def requirements_table(model: Callable[[str, str], dict | Answer]) -> object:
+    """A table function of postings: a row for each requirement that the model finds, or one without for a posting that has none or has failed.
+
+    Its table argument has fingerprint, title and description; partition it to spread the postings. Register it for SQL:
+    ``spark.udtf.register("requirements", requirements_table(model))``, then
+    ``SELECT * FROM requirements(TABLE(postings) PARTITION BY fingerprint)``.
+    """
+
+    class Requirements:
+        def eval(self, row: Row) -> Iterator[tuple]:
+            found, seniority, years, failure, attempts = extraction(model, row["title"], row["description"])
+            rest = (seniority, years, failure, attempts)
+            for i, r in enumerate(found or []):
+                yield (row["fingerprint"], i, r["text"], r["category"], r["weight"], r["verifiable"], *rest)
+            if not found:
+                yield (row["fingerprint"], None, None, None, None, None, *rest)
+
+    return F.udtf(Requirements, returnType=REQUIREMENTS)
+
+
+def requirements_of(postings: DataFrame, model: Callable[[str, str], dict], by: Sequence[str] = ("fingerprint",)) -> DataFrame:
+    """``requirements_table`` over postings, spread by columns."""
+    return requirements_table(model)(postings.asTable().partitionBy(*by))
+
+
 def match(postings: DataFrame, cache: DataFrame, partial: DataFrame, model: Callable[[dict], dict], version: str, name: str, profile: str) -> tuple[DataFrame, DataFrame]:
     """(cached, fresh) matches of postings (fingerprint, requirements_hash, requirements).
 
@@ -75,12 +101,11 @@ def match(postings: DataFrame, cache: DataFrame, partial: DataFrame, model: Call
 
         def one(item: tuple[int, dict]) -> tuple[int, dict | None, str | None]:
             i, requirement = item
-            try:
-                got = model(requirement)
-                status = got.get("status") if got.get("evidence") is not None else "not_met"
-                return i, {"requirement": requirement, "status": status, "evidence": got.get("evidence")}, None
-            except Exception as e:
-                return i, None, type(e).__name__
+            got, failure, _ = checked(model, (requirement,), MATCH_SCHEMA, 1)
+            if got is None:
+                return i, None, failure
+            status = got.get("status") if got.get("evidence") is not None else "not_met"
+            return i, {"requirement": requirement, "status": status, "evidence": got.get("evidence")}, None
 
         for part in parts:
             rows = []

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 
 from ..functions.identity import bounded_content, requirements_hash
 from ..functions.text import normalize, normalize_title
+from ..sources.folders import shared_folder
 from . import enrich, evidence, scoring
 from .prefilter import Criteria, classify_tracks
 
@@ -70,12 +71,20 @@ class Run:
     fields: DataFrame
 
 
-def model_scores(postings: DataFrame, extractions: DataFrame, matches: DataFrame, partial: DataFrame, models: Models, criteria: Criteria, config: scoring.ScoringConfig, profile: evidence.Profile, profile_hash: str, today: dt.date, keep: Callable[[DataFrame], DataFrame] = lambda df: df.persist()) -> Run:
+def written(df: DataFrame) -> DataFrame:
+    """A frame's rows, as a table in a folder that all executors share."""
+    path = shared_folder(df.sparkSession, "answers")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def model_scores(postings: DataFrame, extractions: DataFrame, matches: DataFrame, partial: DataFrame, models: Models, criteria: Criteria, config: scoring.ScoringConfig, profile: evidence.Profile, profile_hash: str, today: dt.date, keep: Callable[[DataFrame], DataFrame] | None = None) -> Run:
     """Score postings: requirements, their matches with admissible evidence only, score, and highlights.
 
-    Models are asked only for what the caches lack. keep must hold a frame's rows, so that no model is asked twice for
-    one thing; the default caches them.
+    Models are asked only for what the caches lack, while this is called. keep must hold a frame's rows, so that no model is
+    asked twice for one thing; the default writes and rereads them, so that not even a lost executor makes it ask again.
     """
+    keep = keep or written
     content = bounded_content(F.col("title"), F.col("description"))
     bounded = with_tracks(postings, criteria).withColumn("__c", content)
     asked = bounded.select("fingerprint", F.col("__c.content_hash").alias("content_hash"), F.col("__c.title").alias("title"), F.col("__c.description").alias("description"))

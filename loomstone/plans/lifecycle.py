@@ -8,10 +8,10 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from ..functions import identity
-from ..operators import buckets, delivery, evidence, ledger, market, render, runs, scorer, scoring, store
+from ..operators import buckets, delivery, enrich, evidence, ledger, market, model_output, render, runs, scorer, scoring, store
 from ..sources import payloads
 from ..sources.folders import shared_folder
-from . import catalog
+from . import answers, catalog
 from .views import CRITERIA, POSTINGS_SQL, PROFILE_SKILLS, TAXONOMY, postings, table
 
 _query = catalog._query
@@ -212,6 +212,25 @@ u AS (SELECT operation_id, unnest(range(len(c))) AS i, c FROM c)
 SELECT operation_id, i::INTEGER AS chunk_index, sha256(c[i + 1]) AS content_hash FROM u"""
 
 
+# --- answers of models -----------------------------------------------------------------------------------------------
+
+
+@_query(
+    """WITH d AS (SELECT doc_id, doc_id % 8 AS k, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) = '' AS blank FROM documents WHERE doc_id IS NOT NULL),
+r AS (SELECT *, NOT blank AND k IN (0, 1, 3) AS found, CASE WHEN blank THEN 'blank' WHEN k IN (2, 5) THEN 'invalid_output' WHEN k = 4 THEN 'transport_failed' WHEN k = 6 THEN 'permanent_error' END AS failure,
+  CASE WHEN blank THEN 0 WHEN k IN (2, 5) THEN 3 WHEN k = 4 THEN 4 WHEN k = 3 THEN 2 ELSE 1 END AS attempts FROM d),
+e AS (SELECT *, unnest(CASE WHEN found THEN [0, 1] ELSE [NULL] END) AS i FROM r)
+SELECT doc_id::VARCHAR AS fingerprint, i AS requirement_index, CASE WHEN found THEN 'r' || i || ' of ' || doc_id END AS text, CASE WHEN found THEN 'skill' END AS category, CASE WHEN found THEN ['mandatory', 'desirable'][i + 1] END AS weight, CASE WHEN found THEN true END AS verifiable,
+  CASE WHEN failure IS NULL AND doc_id % 3 <> 0 THEN 'junior' END AS seniority, CASE WHEN failure IS NULL THEN (doc_id % 5)::INTEGER END AS experience_years, failure, attempts FROM e"""
+)
+def requirement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requirements of every document by a table function, from a model that doesn't always answer well."""
+    docs = table(spark, sf_dir, "documents").filter(F.col("doc_id").isNotNull())
+    model = model_output.asking(answers.answer, lambda title, description: f"{title}\n\n{description}", model_output.EXTRACTION_SCHEMA, sleep=lambda seconds: None)
+    name = F.col("doc_id").cast("string")
+    return enrich.requirements_of(docs.select(name.alias("fingerprint"), name.alias("title"), F.col("text").alias("description")), model)
+
+
 # --- tables in parts -------------------------------------------------------------------------------------------------
 
 

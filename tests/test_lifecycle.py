@@ -51,7 +51,7 @@ def test_the_two_budgets_are_apart():
     assert (got.ok, got.attempts, got.data) == (True, 6, {"status": "met"})
     assert waits == [0.5, 1.0, 2.0]
     assert prompts[0] == prompts[1] == "Q"
-    assert prompts[2].startswith("Q\n\nYour previous response was invalid: Output was not valid JSON")
+    assert prompts[2].startswith(f"Q\n\n{model_output.REPAIR}: Output was not valid JSON")
     assert "status: not one of met, partial, not_met" in prompts[4]
 
 
