@@ -6,7 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.similarity import ranked
-from ..sources import captured
+from ..sources import captured, sitemaps
 from ..sources.folders import shared_folder
 from ..sources.schemas import PAGES
 from . import catalog
@@ -85,3 +85,24 @@ count(*) FILTER (pos < cap AND bad IS NULL AND unwanted) AS business_rejected, a
 def captured_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each captured query, scanned up to its source's cap: counters, and whether the cap cut it short."""
     return _read(spark, sf_dir, "scans", None)
+
+
+_SITE = "https://www.jobs.example/sitemap-"
+_HOSTS = ("www.jobs.example",)
+
+
+@_query(
+    f"""WITH RECURSIVE d AS (SELECT DISTINCT doc_id AS i FROM documents WHERE doc_id >= 0), l AS (SELECT i, 10 * i + 1 + k AS j FROM d, range(10) t(k) WHERE i % 17 <> 3 UNION ALL SELECT i, 3 * i + 2 FROM d UNION ALL SELECT i, i // 4 FROM d),
+e AS (SELECT DISTINCT i, j FROM l WHERE j IN (SELECT i FROM d)), r AS (SELECT i, 0 AS depth FROM d WHERE i = 0 UNION SELECT e.j, depth + 1 FROM r JOIN e USING (i) WHERE depth < 12)
+SELECT '{_SITE}' || i || '.xml' AS url, min(depth)::INTEGER AS depth FROM r GROUP BY i"""
+)
+def sitemap_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sitemaps that the first one leads to, among files that list each other in cycles, some of them on other hosts."""
+    i = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").filter("doc_id >= 0").select("doc_id").distinct()
+    loc = lambda host, n: F.concat(F.lit(f"<loc> {host}/sitemap-"), n.cast("string"), F.lit(".xml</loc>"))
+    below = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda k: loc("https://www.jobs.example", i * 10 + k)), "")
+    elsewhere = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda k: loc("https://jobs.example.net", i * 10 + k)), "")
+    xml = F.concat(F.lit("<sitemapindex>"), F.when(i % 17 != 3, below).otherwise(elsewhere), loc("https://www.jobs.example", i * 3 + 2), loc("https://www.jobs.example", F.floor(i / 4)), F.lit("<loc>https://www.jobs.example/vagas/dev/"), i.cast("string"), F.lit("/</loc></sitemapindex>"))
+    files = docs.select(F.concat(F.lit(_SITE), i.cast("string"), F.lit(".xml")).alias("url"), xml.alias("xml"))
+    return sitemaps.discovered(files, [f"{_SITE}0.xml"], _HOSTS, r"\.xml$")

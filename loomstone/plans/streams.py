@@ -6,7 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.folders import shared_folder
-from ..streaming import absence
+from ..streaming import absence, sink
 from . import catalog
 from .views import table
 
@@ -47,3 +47,15 @@ GROUP BY d.key, d.due HAVING NOT coalesce(bool_or(date_trunc('day', make_timesta
 def missed_days_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days without a successful run by 19:00 in São Paulo (three hours behind all year)."""
     return _absences(spark, sf_dir, absence.Daily("19:00", "America/Sao_Paulo"), 37)
+
+
+@_query("SELECT event_id, user_id, event_type FROM events WHERE event_id % 2 = 0")
+def delivered_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a stream that was delivered twice: its checkpoint was lost in between, and the ledger knows its batches."""
+    sink.register(spark)
+    folder = shared_folder(spark, "delivery")
+    rows = event_stream(spark, sf_dir).filter("event_id % 2 = 0").select("event_id", "user_id", "event_type")
+    for n in range(2):
+        write = rows.writeStream.format("delivery_files").option("path", f"{folder}/sink").option("checkpointLocation", f"{folder}/checkpoint-{n}")
+        write.trigger(availableNow=True).start().awaitTermination()
+    return sink.delivered(spark, f"{folder}/sink", rows.schema)
