@@ -528,7 +528,7 @@ def digest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivery.chunks(m, 1000).select("operation_id", "chunk_index", "content_hash")
 
 
-from . import captures, lifecycle, observed, streams  # noqa: E402, F401  register their queries; folds as SQL
+from . import captures, functions, lifecycle, observed, streams  # noqa: E402, F401  register their queries; folds as SQL
 
 for _f, _sql in ((breaker_replay, lifecycle.BREAKER_SQL), (crawl_states, lifecycle.CRAWL_SQL), (digest_chunks, lifecycle.CHUNKS_SQL)):
     _query(_sql)(_f)
