@@ -55,10 +55,14 @@ def _apart(c: Column, table: dict[str, str], more: str = "", otherwise: Callable
     more: further characters (of a pattern's class) for which ``otherwise`` is asked. Latin texts are told by a cheap test.
     """
     several = F.from_json(F.lit(json.dumps(table)), "map<string,string>")
-    each = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(several, x), otherwise(x))), "")
     found = f"[{more}{''.join(f'\\x{{{ord(x):x}}}' for x in table)}]"
     beyond = f"[^\\x00-\\x{{{min(map(ord, table)) - 1:x}}}]"
-    return F.when(c.rlike(beyond) & c.rlike(found), each).otherwise(c)
+
+    def apart(text: Column) -> Column:
+        each = F.array_join(F.transform(F.split(text, ""), lambda x: F.coalesce(F.try_element_at(several, x), otherwise(x))), "")
+        return F.when(text.rlike(beyond) & text.rlike(found), each).otherwise(text)
+
+    return F.transform(F.array(c), apart)[0]  # bound once: nested calls would repeat the text's expression
 
 
 def _hangul(c: Column) -> Column:
