@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 import random
 from zoneinfo import ZoneInfo
 
@@ -44,6 +45,7 @@ def replayed(spark, tmp_path, batches, rule, lateness):
     for i, batch in enumerate(batches):
         with open(tmp_path / "in" / f"{i:03d}.json", "w") as f:
             f.writelines(json.dumps({"key": k, "ms": ms, "ok": ok}) + "\n" for k, ms, ok in batch)
+        os.utime(f.name, (1_700_000_000 + i,) * 2)  # files are read in order of their times
     stream = spark.readStream.schema("key string, ms long, ok boolean").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     alerts = absence.absences(stream, F.col("key"), F.timestamp_millis("ms"), F.col("ok"), rule, lateness)
     rows = absence.run_to_table(alerts, str(tmp_path / "out"), str(tmp_path / "checkpoint")).select("key", F.unix_millis("since"), F.unix_millis("due")).collect()

@@ -104,6 +104,7 @@ def test_a_stream_delivered_again(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for i in range(3):
         (tmp_path / "in" / f"{i}.json").write_text(f'{{"id": {i}, "text": "t{i}"}}\n{{"id": {10 + i}}}\n')
+        os.utime(tmp_path / "in" / f"{i}.json", (1_700_000_000 + i,) * 2)  # files are read in order of their times
     path = str(tmp_path / "sink")
     for n in ("a", "b", "b"):  # b: a lost checkpoint, then one that knows all
         stream = spark.readStream.schema("id long, text string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
