@@ -379,8 +379,3 @@ def minimum_period(text: Column) -> Column:
         n = F.regexp_extract(text, pattern, 1).try_cast("int")
         found.append(F.when(n.between(1, 8), n))
     return F.coalesce(*found)
-
-
-def unescaped(text: str) -> str:
-    """All HTML entities of a constant decoded (driver side)."""
-    return html.unescape(text)

@@ -20,11 +20,6 @@ def section_of(verdict: Column, gate: Column, failure: Column | None = None) ->
     return F.when(~failed & gate.isNotNull(), "opening_later").when(failed | (verdict == "review"), "review").when(verdict == "apply", "recommended")
 
 
-def entry_text(title: Column, company: Column, score: Column, note: Column) -> Column:
-    """An entry of the digest."""
-    return F.concat_ws("\n", F.concat(title, F.lit(" — "), company), F.concat(F.lit("score "), F.round(score).cast("long").cast("string")), note)
-
-
 def sections(scored: DataFrame, order: str = "score") -> DataFrame:
     """A row for each section with its entries' text, best first."""
     entries = F.array_sort(F.collect_list(F.struct((-F.col(order)).alias("o"), F.col("pos"), F.col("entry").alias("t"))))
@@ -63,28 +58,3 @@ def chunks(messages: DataFrame, limit: int = MESSAGE_LIMIT) -> DataFrame:
     keyed = messages.withColumn("operation_id", operation_id(F.col("channel"), F.sha2("text", 256)))
     each = keyed.select("operation_id", F.posexplode(split("text")).alias("chunk_index", "body"))
     return each.select("operation_id", chunk_id(F.col("operation_id"), F.col("chunk_index")).alias("chunk_id"), "chunk_index", F.sha2("body", 256).alias("content_hash"), "body")
-
-
-def to_send(planned: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Planned chunks that aren't confirmed yet; nothing of an operation with an uncertain chunk."""
-    done = ledger.filter(F.col("status") == "confirmed").select("chunk_id")
-    blocked = ledger.filter(F.col("status") == "uncertain").select("operation_id").distinct()
-    return planned.join(done, "chunk_id", "left_anti").join(blocked, "operation_id", "left_anti")
-
-
-def after_attempt(ledger: DataFrame, results: DataFrame) -> DataFrame:
-    """The ledger after sending. results: chunk_id, outcome (ok, rejected, unknown), message_id."""
-    joined = ledger.join(results.select("chunk_id", "outcome", F.col("message_id").alias("__m")), "chunk_id", "left")
-    status = F.when(F.col("outcome") == "ok", "confirmed").when(F.col("outcome") == "rejected", "failed").when(F.col("outcome") == "unknown", "uncertain").otherwise(F.col("status"))
-    return joined.withColumns({"status": status, "attempts": F.col("attempts") + F.col("outcome").isNotNull().cast("int"), "message_id": F.coalesce("__m", "message_id")}).select(*ledger.columns)
-
-
-def completed(ledger: DataFrame) -> DataFrame:
-    """Operations with all chunks confirmed."""
-    return ledger.groupBy("operation_id").agg(F.bool_and(F.col("status") == "confirmed").alias("complete"))
-
-
-def reconcile(ledger: DataFrame, operation: str, index: int, sent: bool) -> DataFrame:
-    """The ledger with an uncertain chunk settled by hand."""
-    hit = (F.col("operation_id") == operation) & (F.col("chunk_index") == index) & (F.col("status") == "uncertain")
-    return ledger.withColumn("status", F.when(hit, "confirmed" if sent else "pending").otherwise(F.col("status")))

@@ -6,11 +6,11 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from ..functions import dates, identity, text
-from ..operators import market, prefilter, runs, scoring, store
+from ..operators import market, normalize, prefilter, runs, scoring, store
 from ..sources import payloads
 from ..sources.folders import shared_folder
-from ..streaming import ingest
-from . import catalog
+from ..streaming import ingest, machines
+from . import catalog, lifecycle
 from .streams import event_stream
 from .views import table
 
@@ -199,3 +199,19 @@ def stream_final_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     weeks = ingest.weekly_stream(event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "ts", "10 days")
     weeks.writeStream.format("parquet").option("path", f"{folder}/weeks").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(weeks.schema).parquet(f"{folder}/weeks").select(F.date_format("week", "yyyy-MM-dd").alias("week"), "n")
+
+
+@_query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR coalesce(text, '') = '' THEN CASE WHEN doc_id % 2 = 0 THEN 'from the payload of ' || doc_id END ELSE 'own ' || doc_id END AS description FROM documents")
+def description_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptions without tags, from the raw payload where they are missing."""
+    i = F.col("doc_id")
+    own = F.when((i % 3 != 0) & (F.coalesce("text", F.lit("")) != ""), F.concat(F.lit("own "), i.cast("string")))
+    raw = F.when(i % 2 == 0, F.to_json(F.struct(F.concat(F.lit("from <b>the</b> payload of "), i.cast("string")).alias("description")))).otherwise('{"description": " "}')
+    rows = normalize.backfill_description(table(spark, sf_dir, "documents").select("doc_id", own.alias("description"), raw.alias("raw_payload")))
+    return rows.select("doc_id", normalize.plain_description(F.col("description")).alias("description"))
+
+
+@_query(f"SELECT key, state IN ('unknown', 'retryable') AS todo FROM ({lifecycle.CRAWL_SQL}) s")
+def crawl_todo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that have to be loaded (again)."""
+    return catalog.crawl_states(spark, sf_dir).select("key", machines.needs_fetch(F.col("state")).alias("todo"))
