@@ -118,7 +118,7 @@ def clock_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     """WITH m AS (SELECT l_orderkey AS k, l_linenumber AS n, l_linenumber % 3 AS w, ['met', 'partial', 'not_met'][l_linenumber % 3 + 1] AS s, l_orderkey % 10 = 3 AS bad, l_partkey % 4 = 0 AS known FROM lineitem)
-SELECT k, bool_and(NOT bad OR n <> 1) AS valid, coalesce(list(CASE WHEN known THEN 'Uses Docker ' ELSE 'Uses Kafka ' END || n ORDER BY n) FILTER (s <> 'not_met' AND NOT known), []) AS missing FROM m GROUP BY 1"""
+SELECT k, bool_and(NOT bad OR n <> 1) AS valid, coalesce(string_agg(CASE WHEN known THEN 'Uses Docker ' ELSE 'Uses Kafka ' END || n, '; ' ORDER BY n) FILTER (s <> 'not_met' AND NOT known), '') AS missing FROM m GROUP BY 1"""
 )
 def match_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether matches fit their schema, and requirements that name no keyword of a profile."""
@@ -129,7 +129,7 @@ def match_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = _pick(n % 3, "met", "partial", "not_met")
     match = F.struct(n.alias("n"), F.struct(requirement.alias("requirement"), status.alias("status"), F.when(status != "not_met", "quote").alias("evidence")).alias("m"))
     grouped = li.groupBy(F.col("l_orderkey").alias("k")).agg(F.transform(F.array_sort(F.collect_list(match)), lambda x: x["m"]).alias("m"))
-    return grouped.select("k", scoring.valid_matches(F.col("m")).alias("valid"), scoring.missing_terms(F.col("m"), ["docker"]).alias("missing"))
+    return grouped.select("k", scoring.valid_matches(F.col("m")).alias("valid"), F.array_join(scoring.missing_terms(F.col("m"), ["docker"]), "; ").alias("missing"))
 
 
 @_query("SELECT count(*) AS postings, count(*) FILTER (doc_id % 3 = 1 AND coalesce(text, '') <> '') AS extracted FROM documents")
