@@ -47,9 +47,11 @@ def _read(spark: SparkSession, sf_dir: str, what: str, cap: int | None = _ALL) -
     return (reader.option("max_results", str(cap)) if cap is not None else reader).load()
 
 
-_SCANNED_SQL = """WITH k AS (SELECT doc_id AS i, ['gupy', 'ciee', 'solides'][doc_id % 3 + 1] AS source, coalesce(source, 'none') AS query, lang, regexp_extract(coalesce(text, ''), '^([^.\\n]*)', 1) AS t,
+_SCANNED_SQL = """WITH k AS (SELECT doc_id AS i, ['gupy', 'ciee', 'solides'][doc_id % 3 + 1] AS source, coalesce(source, 'none') AS query, lang,
+    regexp_extract(coalesce(text, ''), '^([^.\\n]*)', 1) AS t,
   ['remote', 'hybrid', 'on-site'][doc_id % 7 % 3 + 1] AS m FROM documents WHERE doc_id IS NOT NULL),
-r AS (SELECT *, row_number() OVER (PARTITION BY source, query ORDER BY i) - 1 AS pos, count(*) OVER (PARTITION BY source, query) AS n, CASE source WHEN 'ciee' THEN 100 ELSE 10 END AS size, CASE source WHEN 'ciee' THEN 6000 ELSE 50 END AS cap FROM k),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, query ORDER BY i) - 1 AS pos, count(*) OVER (PARTITION BY source, query) AS n, CASE source WHEN 'ciee'
+    THEN 100 ELSE 10 END AS size, CASE source WHEN 'ciee' THEN 6000 ELSE 50 END AS cap FROM k),
 j AS (SELECT *, CASE source WHEN 'gupy' THEN CASE WHEN i % 11 = 3 THEN 'name: missing' END
     WHEN 'ciee' THEN CASE WHEN i % 17 = 4 THEN 'atividades: not of kind texts' END
     ELSE CASE WHEN i % 5 <> 2 AND (i % 7 = 2 OR lang IS NULL) THEN 'city.name: missing' END END AS bad,
@@ -72,14 +74,18 @@ def captured_pushdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.filter((F.col("mode") == "remote") & F.col("city").isin("en", "fr") & F.col("title").contains("e")).drop("payload")
 
 
-@_query(f"{_SCANNED_SQL} SELECT source, query, (pos // size)::INTEGER AS page, pos, CASE WHEN bad IS NOT NULL THEN 'schema' ELSE 'business' END AS kind, coalesce(bad, 'level') AS problem FROM j WHERE bad IS NOT NULL OR unwanted")
+@_query(
+    f"{_SCANNED_SQL} SELECT source, query, (pos // size)::INTEGER AS page, pos, CASE WHEN bad IS NOT NULL THEN 'schema' ELSE 'business' END AS kind, "
+    f"coalesce(bad, 'level') AS problem FROM j WHERE bad IS NOT NULL OR unwanted"
+)
 def captured_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that break their source's schema or that its filter refuses, with what is wrong."""
     return _read(spark, sf_dir, "rejects").drop("payload")
 
 
 @_query(
-    f"""{_SCANNED_SQL} SELECT source, query, count(*) FILTER (pos < cap) AS received, count(*) FILTER (pos < cap AND bad IS NULL AND NOT unwanted) AS kept, count(*) FILTER (pos < cap AND bad IS NOT NULL) AS schema_rejected,
+    f"""{_SCANNED_SQL} SELECT source, query, count(*) FILTER (pos < cap) AS received, count(*) FILTER (pos < cap AND bad IS NULL AND NOT unwanted) AS kept,
+    count(*) FILTER (pos < cap AND bad IS NOT NULL) AS schema_rejected,
 count(*) FILTER (pos < cap AND bad IS NULL AND unwanted) AS business_rejected, any_value(n) >= any_value(cap) AS truncated, NULL::VARCHAR AS failure FROM j GROUP BY 1, 2"""
 )
 def captured_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +98,8 @@ _HOSTS = ("www.jobs.example",)
 
 
 @_query(
-    f"""WITH RECURSIVE d AS (SELECT DISTINCT doc_id AS i FROM documents WHERE doc_id >= 0), l AS (SELECT i, 10 * i + 1 + k AS j FROM d, range(10) t(k) WHERE i % 17 <> 3 UNION ALL SELECT i, 3 * i + 2 FROM d UNION ALL SELECT i, i // 4 FROM d),
+    f"""WITH RECURSIVE d AS (SELECT DISTINCT doc_id AS i FROM documents WHERE doc_id >= 0), l AS (SELECT i, 10 * i + 1 + k AS j FROM d, range(10) t(k) WHERE i %
+    17 <> 3 UNION ALL SELECT i, 3 * i + 2 FROM d UNION ALL SELECT i, i // 4 FROM d),
 e AS (SELECT DISTINCT i, j FROM l WHERE j IN (SELECT i FROM d)), r AS (SELECT i, 0 AS depth FROM d WHERE i = 0 UNION SELECT e.j, depth + 1 FROM r JOIN e USING (i) WHERE depth < 12)
 SELECT '{_SITE}' || i || '.xml' AS url, min(depth)::INTEGER AS depth FROM r GROUP BY i"""
 )

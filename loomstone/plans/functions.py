@@ -26,8 +26,10 @@ def _pick(index: Column, *values: object) -> Column:
 
 @_query(
     """WITH o AS (SELECT o_orderkey AS k, o_orderdate::TIMESTAMP AS made FROM orders)
-SELECT k, CASE WHEN k % 4 = 0 THEN TIMESTAMP '1999-01-01' END AS notified_at, CASE WHEN k % 7 = 0 THEN made WHEN k % 5 = 0 THEN TIMESTAMP '1999-01-01' END AS discarded_at, CASE WHEN k % 7 = 0 THEN 'old' WHEN k % 5 = 0 THEN 'by hand' END AS discard_reason,
-  CASE WHEN k % 9 = 0 THEN 0 WHEN k % 3 = 0 THEN k % 6 + 1 ELSE k % 6 END::INTEGER AS score_failures, CASE WHEN k % 4 = 0 OR k % 11 <> 0 THEN CASE WHEN k % 11 = 0 OR k % 13 = 0 THEN 'run' END END AS claimed_by, 'eu' AS region FROM o WHERE k % 20 <> 1"""
+SELECT k, CASE WHEN k % 4 = 0 THEN TIMESTAMP '1999-01-01' END AS notified_at, CASE WHEN k % 7 = 0 THEN made WHEN k % 5 = 0 THEN TIMESTAMP '1999-01-01' END AS
+    discarded_at, CASE WHEN k % 7 = 0 THEN 'old' WHEN k % 5 = 0 THEN 'by hand' END AS discard_reason,
+  CASE WHEN k % 9 = 0 THEN 0 WHEN k % 3 = 0 THEN k % 6 + 1 ELSE k % 6 END::INTEGER AS score_failures, CASE WHEN k % 4 = 0 OR k % 11 <> 0 THEN CASE WHEN k % 11 =
+    0 OR k % 13 = 0 THEN 'run' END END AS claimed_by, 'eu' AS region FROM o WHERE k % 20 <> 1"""
 )
 def state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marks, discards, failures and claims on a table, one after the other, and a new column; rows without a parent go."""
@@ -51,7 +53,8 @@ def state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """WITH l AS (SELECT l_orderkey % 500 AS a, l_linenumber AS b, l_returnflag AS c, 'v' || (l_orderkey % 2) AS d, l_partkey AS v, ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 2 + l_linenumber % 2 AS pos FROM lineitem)
+    """WITH l AS (SELECT l_orderkey % 500 AS a, l_linenumber AS b, l_returnflag AS c, 'v' || (l_orderkey % 2) AS d, l_partkey AS v, ((l_orderkey * 10 +
+    l_linenumber) * 1000000 + l_partkey) * 2 + l_linenumber % 2 AS pos FROM lineitem)
 SELECT a, b, c, d, arg_max(v, (pos % 2, pos)) AS v FROM l GROUP BY ALL"""
 )
 def cache_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +75,9 @@ _DIGITS = "'0123456789ABCDEFGHJKMNPQRSTVWXYZ'"
 @_query(
     f"""WITH e AS (SELECT event_id, epoch_us(ts) // 1000 AS ms, substr(sha256(event_id::VARCHAR), 1, 20) AS x FROM events),
 b AS (SELECT event_id, ms, list_transform(range(4), lambda i: ('0x' || substr(x, (i * 5 + 1)::INTEGER, 5))::BIGINT) AS parts FROM e)
-SELECT event_id, array_to_string(list_transform(range(10), lambda i: substr({_DIGITS}, ((ms >> (5 * (9 - i))::INTEGER) & 31)::INTEGER + 1, 1)), '') || array_to_string(list_transform(range(16), lambda i: substr({_DIGITS}, ((parts[(i // 4 + 1)::INTEGER] >> (5 * (3 - i % 4))::INTEGER) & 31)::INTEGER + 1, 1)), '') AS ulid FROM b"""
+SELECT event_id, array_to_string(list_transform(range(10), lambda i: substr({_DIGITS}, ((ms >> (5 * (9 - i))::INTEGER) & 31)::INTEGER + 1, 1)), '') ||
+    array_to_string(list_transform(range(16), lambda i: substr({_DIGITS}, ((parts[(i // 4 + 1)::INTEGER] >> (5 * (3 - i % 4))::INTEGER) & 31)::INTEGER + 1, 1)), '')
+    AS ulid FROM b"""
 )
 def sortable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sortable ids from an instant and 80 bits."""
@@ -90,8 +95,11 @@ def content_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), h AS (SELECT doc_id, substr(t, 1, 300) AS t FROM d), c AS (SELECT *, trim(regexp_replace(regexp_replace(t, '[\\x00-\\x1f\\x7f]', ' ', 'g'), '[ ]+', ' ', 'g'), ' ') AS one FROM h)
-SELECT doc_id, CASE WHEN length(one) > 60 THEN substr(one, 1, 60) || '…' ELSE one END AS label, regexp_replace(replace(t, '|', '\\|'), '[\\t\\n\\x0b\\f\\r ]*\\n[\\t\\n\\x0b\\f\\r ]*', ' ', 'g') AS cell, '<' || t || '> of ' || doc_id AS filled, '{"t": ' || doc_id || '}' AS answer, 'plan ' || doc_id AS fenced FROM c"""
+    """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), h AS (SELECT doc_id, substr(t, 1, 300) AS t FROM d), c AS (SELECT *,
+    trim(regexp_replace(regexp_replace(t, '[\\x00-\\x1f\\x7f]', ' ', 'g'), '[ ]+', ' ', 'g'), ' ') AS one FROM h)
+SELECT doc_id, CASE WHEN length(one) > 60 THEN substr(one, 1, 60) || '…' ELSE one END AS label, regexp_replace(replace(t, '|', '\\|'),
+    '[\\t\\n\\x0b\\f\\r ]*\\n[\\t\\n\\x0b\\f\\r ]*', ' ', 'g') AS cell, '<' || t || '> of ' || doc_id AS filled, '{"t": ' || doc_id || '}' AS answer, 'plan ' ||
+    doc_id AS fenced FROM c"""
 )
 def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log labels, table cells, filled and fenced templates, and the JSON in an answer."""
@@ -117,8 +125,10 @@ def clock_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """WITH m AS (SELECT l_orderkey AS k, l_linenumber AS n, l_linenumber % 3 AS w, ['met', 'partial', 'not_met'][l_linenumber % 3 + 1] AS s, l_orderkey % 10 = 3 AS bad, l_partkey % 4 = 0 AS known FROM lineitem)
-SELECT k, bool_and(NOT bad OR n <> 1) AS valid, coalesce(string_agg(CASE WHEN known THEN 'Uses Docker ' ELSE 'Uses Kafka ' END || n, '; ' ORDER BY n) FILTER (s <> 'not_met' AND NOT known), '') AS missing FROM m GROUP BY 1"""
+    """WITH m AS (SELECT l_orderkey AS k, l_linenumber AS n, l_linenumber % 3 AS w, ['met', 'partial', 'not_met'][l_linenumber % 3 + 1] AS s, l_orderkey % 10 =
+    3 AS bad, l_partkey % 4 = 0 AS known FROM lineitem)
+SELECT k, bool_and(NOT bad OR n <> 1) AS valid, coalesce(string_agg(CASE WHEN known THEN 'Uses Docker ' ELSE 'Uses Kafka ' END || n, '; ' ORDER BY n) FILTER (s
+    <> 'not_met' AND NOT known), '') AS missing FROM m GROUP BY 1"""
 )
 def match_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether matches fit their schema, and requirements that name no keyword of a profile."""
@@ -140,7 +150,8 @@ def corpus_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """WITH r AS (SELECT event_type AS s, event_id AS i, ts FROM events), tried AS (SELECT unnest(CASE WHEN i % 3 = 0 THEN [s] ELSE [s, 'all'] END) AS source, s, i, ts FROM r), ok AS (SELECT source, max(ts) AS last_success FROM tried WHERE NOT (i % 2 = 0 AND source = s) GROUP BY 1),
+    """WITH r AS (SELECT event_type AS s, event_id AS i, ts FROM events), tried AS (SELECT unnest(CASE WHEN i % 3 = 0 THEN [s] ELSE [s, 'all'] END) AS source,
+    s, i, ts FROM r), ok AS (SELECT source, max(ts) AS last_success FROM tried WHERE NOT (i % 2 = 0 AND source = s) GROUP BY 1),
 d AS (SELECT e.event_id, e.event_type AS source, CASE WHEN e.event_id % 5 > 0 THEN e.ts END AS published_at FROM events e)
 SELECT event_id, published_at IS NULL OR last_success IS NULL OR published_at >= last_success - INTERVAL 3 DAYS AS kept FROM d LEFT JOIN ok USING (source)"""
 )
@@ -155,8 +166,10 @@ def recency_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """WITH r AS (SELECT user_id AS run_id, count(*) AS filtered, count(*) FILTER (event_id % 4 > 0) AS scored, count(*) FILTER (event_id % 8 = 0) AS a, count(*) FILTER (event_id % 8 = 4 AND user_id % 2 = 0) AS b FROM events GROUP BY 1), m AS (SELECT *, filtered - scored AS missing FROM r)
-SELECT run_id, missing, CASE WHEN a + b = missing THEN concat_ws(', ', CASE WHEN a > 0 THEN 'late=' || a END, CASE WHEN b > 0 THEN 'refused=' || b END) ELSE 'unclassified=' || missing END AS breakdown FROM m WHERE missing > 0"""
+    """WITH r AS (SELECT user_id AS run_id, count(*) AS filtered, count(*) FILTER (event_id % 4 > 0) AS scored, count(*) FILTER (event_id % 8 = 0) AS a,
+    count(*) FILTER (event_id % 8 = 4 AND user_id % 2 = 0) AS b FROM events GROUP BY 1), m AS (SELECT *, filtered - scored AS missing FROM r)
+SELECT run_id, missing, CASE WHEN a + b = missing THEN concat_ws(', ', CASE WHEN a > 0 THEN 'late=' || a END, CASE WHEN b > 0 THEN 'refused=' || b END) ELSE
+    'unclassified=' || missing END AS breakdown FROM m WHERE missing > 0"""
 )
 def missing_score_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs that left postings without a score, with the reasons where they add up."""
@@ -171,7 +184,8 @@ def missing_score_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """WITH c AS (SELECT event_type AS query, event_id, CASE WHEN event_id % 9 > 0 THEN 'p' || event_id END AS source_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+    """WITH c AS (SELECT event_type AS query, event_id, CASE WHEN event_id % 9 > 0 THEN 'p' || event_id END AS source_id, row_number() OVER (PARTITION BY
+    event_type ORDER BY event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT query, source_id, n > 1000 AS truncated, CASE WHEN query NOT IN ('click', 'view') THEN 'unknown source: ' || query END AS failure FROM c WHERE r <= 1000 AND source_id IS NOT NULL"""
 )
 def capped_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +206,10 @@ def page_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", payloads.json_ld(page).alias("data"))
 
 
-@_query("SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, count(*) AS n FROM events GROUP BY 1 HAVING date_trunc('week', any_value(ts)) + INTERVAL 7 DAYS <= (SELECT max(ts) - INTERVAL 10 DAYS FROM events)")
+@_query(
+    "SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, count(*) AS n FROM events GROUP BY 1 HAVING date_trunc('week', any_value(ts)) + INTERVAL "
+    "7 DAYS <= (SELECT max(ts) - INTERVAL 10 DAYS FROM events)"
+)
 def stream_final_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly counts of a stream that the watermark has made final."""
     folder = shared_folder(spark, "weeks")
@@ -201,7 +218,10 @@ def stream_final_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(weeks.schema).parquet(f"{folder}/weeks").select(F.date_format("week", "yyyy-MM-dd").alias("week"), "n")
 
 
-@_query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR coalesce(text, '') = '' THEN CASE WHEN doc_id % 2 = 0 THEN 'from the payload of ' || doc_id END ELSE 'own ' || doc_id END AS description FROM documents")
+@_query(
+    "SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR coalesce(text, '') = '' THEN CASE WHEN doc_id % 2 = 0 THEN 'from the payload of ' || doc_id END ELSE 'own ' "
+    "|| doc_id END AS description FROM documents"
+)
 def description_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descriptions without tags, from the raw payload where they are missing."""
     i = F.col("doc_id")

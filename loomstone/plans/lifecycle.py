@@ -30,7 +30,10 @@ def _pick(values: tuple[str | None, ...], index: Column) -> Column:
 # --- state -----------------------------------------------------------------------------------------------------------
 
 
-@_query("WITH f AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE coalesce(nullif(c_custkey % 8, 7), 0) + CASE WHEN c_custkey % 2 = 1 THEN 1 ELSE 0 END END AS failures FROM customer) SELECT c_custkey, failures::INTEGER AS failures, failures >= 5 AS exhausted FROM f")
+@_query(
+    "WITH f AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE coalesce(nullif(c_custkey % 8, 7), 0) + CASE WHEN c_custkey % 2 = 1 THEN 1 ELSE 0 "
+    "END END AS failures FROM customer) SELECT c_custkey, failures::INTEGER AS failures, failures >= 5 AS exhausted FROM f"
+)
 def failure_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failures counted and cleared, and who has reached the ceiling."""
     k = F.col("c_custkey")
@@ -52,7 +55,11 @@ def rescore_frees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return freed.select("o_orderkey", F.col("score_failures").alias("failures"), F.col("notified_at").isNotNull().alias("notified"), F.col("claimed_by").isNotNull().alias("claimed"))
 
 
-@_query(f"WITH {POSTINGS_SQL} SELECT source_id, CASE WHEN location_kind = 'known' AND location_city IS NOT NULL THEN 'known' ELSE 'unknown' END AS location_kind, CASE WHEN location_kind = 'known' THEN location_city END AS location_city, CASE pos % 3 WHEN 0 THEN '{{\"a\":1}}' WHEN 1 THEN '{{\"corrupted\":true}}' END AS raw_payload FROM p")
+@_query(
+    f"WITH {POSTINGS_SQL} SELECT source_id, CASE WHEN location_kind = 'known' AND location_city IS NOT NULL THEN 'known' ELSE 'unknown' END AS "
+    f"location_kind, CASE WHEN location_kind = 'known' THEN location_city END AS location_city, CASE pos % 3 WHEN 0 THEN '{{\"a\":1}}' WHEN 1 THEN "
+    f"'{{\"corrupted\":true}}' END AS raw_payload FROM p"
+)
 def hydrated_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored rows as postings; broken payloads are marked."""
     p = postings(spark, sf_dir).withColumns({"last_seen_at": F.col("first_seen_at"), "raw_payload": _pick(('{"a":1}', '{"a":', None), F.col("pos") % 3)})
@@ -109,7 +116,10 @@ def evidence_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALIGNED = "CASE WHEN len(tracks) = 0 THEN 0.4 WHEN list_contains(tracks, 'dev') OR list_contains(tracks, 'security') THEN 1.0 ELSE 0.7 END::DOUBLE"
 
 
-@_query(f"{catalog.FILTERED_SQL} SELECT source_id, array_to_string(tracks, ',') AS tracks, round(CASE WHEN len(tracks) = 0 THEN 50.0 ELSE 55 + 45 * {_ALIGNED} END, 6) AS score, 'review' AS verdict, true AS low_confidence FROM f")
+@_query(
+    f"{catalog.FILTERED_SQL} SELECT source_id, array_to_string(tracks, ',') AS tracks, round(CASE WHEN len(tracks) = 0 THEN 50.0 ELSE 55 + 45 * {_ALIGNED} "
+    f"END, 6) AS score, 'review' AS verdict, true AS low_confidence FROM f"
+)
 def stub_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores by tracks alone."""
     scored = scorer.scorer("stub")(postings(spark, sf_dir), CRITERIA, scorer.config_from({}))
@@ -124,7 +134,11 @@ def delivered_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scorer.delivered(placed).select("l_orderkey", "section")
 
 
-@_query("WITH s AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'extraction_failed' WHEN 1 THEN 'matching_failed' END AS reason FROM documents WHERE doc_id % 10 < 8) SELECT reason, count(*) AS n FROM s WHERE reason IS NOT NULL GROUP BY 1 UNION ALL SELECT 'not_attempted_after_run_failure', count(*) FROM documents WHERE doc_id % 10 >= 8 HAVING count(*) > 0")
+@_query(
+    "WITH s AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'extraction_failed' WHEN 1 THEN 'matching_failed' END AS reason FROM documents WHERE doc_id % 10 "
+    "< 8) SELECT reason, count(*) AS n FROM s WHERE reason IS NOT NULL GROUP BY 1 UNION ALL SELECT 'not_attempted_after_run_failure', count(*) FROM "
+    "documents WHERE doc_id % 10 >= 8 HAVING count(*) > 0"
+)
 def score_failure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failures by reason, and postings that a run didn't reach."""
     i = F.col("doc_id")
@@ -144,7 +158,10 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").cast("string").alias("run_id"), F.col("o_orderstatus").alias("kind"), F.lit("internal").alias("triggered_by"), F.col("o_orderdate").cast("timestamp").alias("started_at"), none("timestamp").alias("finished_at"), none("string").alias("outcome"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).alias("collected"), none("long").alias("scored"))
 
 
-@_query("SELECT o_orderkey::VARCHAR AS run_id, CASE WHEN o_orderkey % 3 <> 0 THEN 'success' END AS outcome, CASE WHEN o_orderkey % 6 = 1 THEN 7 WHEN o_orderkey % 2 = 0 THEN o_custkey END AS collected FROM orders UNION ALL SELECT 'fresh', NULL, NULL")
+@_query(
+    "SELECT o_orderkey::VARCHAR AS run_id, CASE WHEN o_orderkey % 3 <> 0 THEN 'success' END AS outcome, CASE WHEN o_orderkey % 6 = 1 THEN 7 WHEN o_orderkey "
+    "% 2 = 0 THEN o_custkey END AS collected FROM orders UNION ALL SELECT 'fresh', NULL, NULL"
+)
 def run_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs started and finished; what a finish leaves out, or has as null, stays as it was."""
     i = F.col("run_id").cast("long")
@@ -188,23 +205,37 @@ _BLOCKED = "(a.state = 'open' AND e.at - a.opened < 30000)"
 _TRYING = "(a.state = 'open' AND e.at - a.opened >= 30000)"
 _OPENS = f"(e.x = 'transient' AND ({_TRYING} OR a.failures + 1 >= 5))"
 #: The circuit breaker's steps as a fold over structs of state and event.
-BREAKER_SQL = f"""WITH s AS (SELECT event_type AS key, list({{'state': '', 'failures': 0, 'opened': 0::BIGINT, 'blocked': 0, 'at': epoch_ms(ts)::BIGINT, 'x': {_OUTCOME}}} ORDER BY epoch_ms(ts), event_id) AS l FROM events WHERE event_type IS NOT NULL GROUP BY 1),
+BREAKER_SQL = f"""WITH s AS (SELECT event_type AS key,
+    list({{'state': '', 'failures': 0, 'opened': 0::BIGINT, 'blocked': 0, 'at': epoch_ms(ts)::BIGINT, 'x': {_OUTCOME}}} ORDER BY epoch_ms(ts), event_id) AS l FROM
+    events WHERE event_type IS NOT NULL GROUP BY 1),
 f AS (SELECT key, len(l) AS calls, list_reduce(l, lambda a, e: {{
   'state': CASE WHEN {_BLOCKED} THEN a.state WHEN e.x = 'success' THEN 'closed' WHEN e.x = 'permanent' THEN 'closed' WHEN {_OPENS} THEN 'open' ELSE 'closed' END,
   'failures': CASE WHEN {_BLOCKED} THEN a.failures WHEN e.x = 'success' OR (e.x = 'permanent' AND {_TRYING}) THEN 0 WHEN e.x = 'transient' AND NOT {_TRYING} THEN a.failures + 1 ELSE a.failures END,
   'opened': CASE WHEN NOT {_BLOCKED} AND {_OPENS} THEN e.at ELSE a.opened END,
-  'blocked': a.blocked + CASE WHEN {_BLOCKED} THEN 1 ELSE 0 END, 'at': 0::BIGINT, 'x': ''}}, {{'state': 'closed', 'failures': 0, 'opened': 0::BIGINT, 'blocked': 0, 'at': 0::BIGINT, 'x': ''}}) AS r FROM s)
+  'blocked': a.blocked + CASE WHEN {_BLOCKED} THEN 1 ELSE 0 END, 'at': 0::BIGINT, 'x': ''}}, {{'state': 'closed', 'failures': 0, 'opened': 0::BIGINT, 'blocked':
+    0, 'at': 0::BIGINT, 'x': ''}}) AS r FROM s)
 SELECT key, r.state AS state, r.failures AS failures, r.blocked::BIGINT AS blocked, calls FROM f"""
 _FREE = "a.state NOT IN ('quarantined', 'expired', 'ingested')"
 _REQUEUED = "(e.x = 'requeue' AND a.state = 'quarantined')"
-CRAWL_SQL = f"""WITH s AS (SELECT user_id AS key, list({{'state': '', 'retries': 0, 'x': ['ok', 'error', 'ingested', 'error', 'gone', 'requeue', 'error'][((event_id * 2654435761) >> 8) % 7 + 1]}} ORDER BY event_id) AS l FROM events WHERE user_id IS NOT NULL GROUP BY 1),
+CRAWL_SQL = f"""WITH s AS (SELECT user_id AS key,
+    list({{'state': '', 'retries': 0, 'x': ['ok', 'error', 'ingested', 'error', 'gone', 'requeue', 'error'][((event_id * 2654435761) >> 8) % 7 + 1]}} ORDER BY
+    event_id) AS l FROM events WHERE user_id IS NOT NULL GROUP BY 1),
 f AS (SELECT key, list_reduce(l, lambda a, e: {{
-  'state': CASE WHEN {_REQUEUED} THEN 'unknown' WHEN {_FREE} AND e.x = 'ok' THEN 'collected' WHEN {_FREE} AND e.x = 'gone' THEN 'expired' WHEN {_FREE} AND e.x = 'error' THEN CASE WHEN a.retries + 1 >= 5 THEN 'quarantined' ELSE 'retryable' END WHEN a.state = 'collected' AND e.x = 'ingested' THEN 'ingested' ELSE a.state END,
-  'retries': CASE WHEN {_REQUEUED} THEN 0 WHEN {_FREE} AND e.x = 'error' THEN a.retries + 1 WHEN {_FREE} AND e.x = 'ok' THEN 0 ELSE a.retries END, 'x': ''}}, {{'state': 'unknown', 'retries': 0, 'x': ''}}) AS r FROM s)
+  'state': CASE WHEN {_REQUEUED} THEN 'unknown' WHEN {_FREE} AND e.x = 'ok' THEN 'collected' WHEN {_FREE} AND e.x = 'gone' THEN 'expired' WHEN {_FREE} AND e.x =
+    'error' THEN CASE WHEN a.retries + 1 >= 5 THEN 'quarantined' ELSE 'retryable' END WHEN a.state = 'collected' AND e.x = 'ingested' THEN 'ingested' ELSE a.state
+    END,
+  'retries': CASE WHEN {_REQUEUED} THEN 0 WHEN {_FREE} AND e.x = 'error' THEN a.retries + 1 WHEN {_FREE} AND e.x = 'ok' THEN 0 ELSE a.retries END, 'x':
+    ''}}, {{'state': 'unknown', 'retries': 0, 'x': ''}}) AS r FROM s)
 SELECT key, r.state AS state, r.retries AS retries FROM f"""
-_PACKED = "list_filter(list_reduce(list_transform(%s, lambda p: [p]), lambda a, e: CASE WHEN len(a) > 0 AND length(a[-1]) + %d + length(e[1]) <= 1000 THEN a[:-2] || [a[-1] || %s || e[1]] ELSE a || e END, []::VARCHAR[]), lambda p: p <> '')"
+_PACKED = (
+    "list_filter(list_reduce(list_transform(%s, lambda p: [p]), lambda a, e: CASE WHEN len(a) > 0 AND length(a[-1]) + %d + length(e[1]) <= 1000 THEN a[:-2] "
+    "|| [a[-1] || %s || e[1]] ELSE a || e END, []::VARCHAR[]), lambda p: p <> '')"
+)
 _SECTION, _ENTRY = "chr(10) || chr(10) || chr(10)", "chr(10) || chr(10)"
-_PIECES = "flatten(list_transform(flatten(list_transform(s, lambda p: CASE WHEN length(p) > 1000 THEN string_split(p, chr(10) || chr(10)) ELSE [p] END)), lambda e: list_transform(range(greatest(1, (length(e) + 999) // 1000)), lambda i: substr(e, i * 1000 + 1, 1000))))"
+_PIECES = (
+    "flatten(list_transform(flatten(list_transform(s, lambda p: CASE WHEN length(p) > 1000 THEN string_split(p, chr(10) || chr(10)) ELSE [p] END)), lambda "
+    "e: list_transform(range(greatest(1, (length(e) + 999) // 1000)), lambda i: substr(e, i * 1000 + 1, 1000))))"
+)
 CHUNKS_SQL = f"""WITH m AS (SELECT 'c' || doc_id AS channel, coalesce(text, '') AS text FROM documents),
 s AS (SELECT *, sha256(channel || chr(0) || sha256(text)) AS operation_id, string_split(text, {_SECTION}) AS s FROM m),
 c AS (SELECT operation_id, CASE WHEN len(list_filter(s, lambda p: length(p) > 1000)) = 0 THEN {_PACKED % ("s", 3, _SECTION)} ELSE {_PACKED % (_PIECES, 2, _ENTRY)} END AS c FROM s),
@@ -217,10 +248,12 @@ SELECT operation_id, i::INTEGER AS chunk_index, sha256(c[i + 1]) AS content_hash
 
 @_query(
     """WITH d AS (SELECT doc_id, doc_id % 8 AS k, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) = '' AS blank FROM documents WHERE doc_id IS NOT NULL),
-r AS (SELECT *, NOT blank AND k IN (0, 1, 3) AS found, CASE WHEN blank THEN 'blank' WHEN k IN (2, 5) THEN 'invalid_output' WHEN k = 4 THEN 'transport_failed' WHEN k = 6 THEN 'permanent_error' END AS failure,
+r AS (SELECT *, NOT blank AND k IN (0, 1, 3) AS found, CASE WHEN blank THEN 'blank' WHEN k IN (2, 5) THEN 'invalid_output' WHEN k = 4 THEN 'transport_failed'
+    WHEN k = 6 THEN 'permanent_error' END AS failure,
   CASE WHEN blank THEN 0 WHEN k IN (2, 5) THEN 3 WHEN k = 4 THEN 4 WHEN k = 3 THEN 2 ELSE 1 END AS attempts FROM d),
 e AS (SELECT *, unnest(CASE WHEN found THEN [0, 1] ELSE [NULL] END) AS i FROM r)
-SELECT doc_id::VARCHAR AS fingerprint, i AS requirement_index, CASE WHEN found THEN 'r' || i || ' of ' || doc_id END AS text, CASE WHEN found THEN 'skill' END AS category, CASE WHEN found THEN ['mandatory', 'desirable'][i + 1] END AS weight, CASE WHEN found THEN true END AS verifiable,
+SELECT doc_id::VARCHAR AS fingerprint, i AS requirement_index, CASE WHEN found THEN 'r' || i || ' of ' || doc_id END AS text, CASE WHEN found THEN 'skill' END
+    AS category, CASE WHEN found THEN ['mandatory', 'desirable'][i + 1] END AS weight, CASE WHEN found THEN true END AS verifiable,
   CASE WHEN failure IS NULL AND doc_id % 3 <> 0 THEN 'junior' END AS seniority, CASE WHEN failure IS NULL THEN (doc_id % 5)::INTEGER END AS experience_years, failure, attempts FROM e"""
 )
 def requirement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,8 +268,10 @@ def requirement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """WITH b AS (SELECT o_orderkey AS fingerprint, o_orderdate::TIMESTAMP AS at, o_orderstatus AS status FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT o_orderkey AS fingerprint, o_orderdate::TIMESTAMP + INTERVAL 1 DAY AS at FROM orders WHERE o_orderkey % 50 = 0)
-SELECT fingerprint, coalesce(b.at, n.at) AS first_seen_at, coalesce(n.at, b.at) AS last_seen_at, CASE WHEN n.at IS NOT NULL THEN 'seen again' ELSE b.status END AS status FROM b FULL JOIN n USING (fingerprint)"""
+    """WITH b AS (SELECT o_orderkey AS fingerprint, o_orderdate::TIMESTAMP AS at, o_orderstatus AS status FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT
+    o_orderkey AS fingerprint, o_orderdate::TIMESTAMP + INTERVAL 1 DAY AS at FROM orders WHERE o_orderkey % 50 = 0)
+SELECT fingerprint, coalesce(b.at, n.at) AS first_seen_at, coalesce(n.at, b.at) AS last_seen_at, CASE WHEN n.at IS NOT NULL THEN 'seen again' ELSE b.status END
+    AS status FROM b FULL JOIN n USING (fingerprint)"""
 )
 def bucket_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A bucketed table after an upsert."""
@@ -288,10 +323,14 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_ENTRY_SQL = f"""SELECT s_suppkey, concat_ws(chr(10), 'Empresa: ' || s_name, 'Cargo: Dev ' || s_nationkey, 'Compatibilidade: ' || (s_suppkey % 101 + 1) || '% · ' || ['candidatar', 'avaliar', 'descartar'][s_suppkey % 3 + 1],
-  'Local: ' || CASE WHEN s_suppkey % 4 > 1 THEN 'Rio · ' ELSE '' END || ['Remoto', 'Híbrido', 'Presencial', 'Local não informado'][s_suppkey % 4 + 1], 'Fonte: gupy', '→ ' || CASE WHEN s_suppkey % 2 = 0 THEN 'https://a.example/1' ELSE '{render.NO_LINK}' END,
-  CASE WHEN s_suppkey % 5 = 0 THEN '{render.MANUAL.format(render.FAILURES["matching_failed"])}' WHEN s_suppkey % 7 = 0 THEN '{render.UNSURE}' END, CASE WHEN s_suppkey % 11 = 0 THEN '{render.CUT}' END, CASE WHEN s_suppkey % 3 = 0 THEN 'Currículo recomendado: backend' END,
-  CASE WHEN s_suppkey % 2 = 1 THEN 'Pontos fortes: a; b' END, CASE WHEN s_suppkey % 3 = 1 THEN 'Termos ausentes no currículo: x, y' END, CASE WHEN s_suppkey % 6 = 0 THEN 'Lacunas: SQL; SQL' END) AS entry FROM supplier"""
+_ENTRY_SQL = f"""SELECT s_suppkey, concat_ws(chr(10), 'Empresa: ' || s_name, 'Cargo: Dev ' || s_nationkey, 'Compatibilidade: ' || (s_suppkey % 101 + 1) ||
+    '% · ' || ['candidatar', 'avaliar', 'descartar'][s_suppkey % 3 + 1],
+  'Local: ' || CASE WHEN s_suppkey % 4 > 1 THEN 'Rio · ' ELSE '' END || ['Remoto', 'Híbrido', 'Presencial', 'Local não informado'][s_suppkey % 4 + 1],
+    'Fonte: gupy', '→ ' || CASE WHEN s_suppkey % 2 = 0 THEN 'https://a.example/1' ELSE '{render.NO_LINK}' END,
+  CASE WHEN s_suppkey % 5 = 0 THEN '{render.MANUAL.format(render.FAILURES["matching_failed"])}' WHEN s_suppkey % 7 = 0 THEN '{render.UNSURE}' END, CASE WHEN
+    s_suppkey % 11 = 0 THEN '{render.CUT}' END, CASE WHEN s_suppkey % 3 = 0 THEN 'Currículo recomendado: backend' END,
+  CASE WHEN s_suppkey % 2 = 1 THEN 'Pontos fortes: a; b' END, CASE WHEN s_suppkey % 3 = 1 THEN 'Termos ausentes no currículo: x, y' END, CASE WHEN s_suppkey % 6
+    = 0 THEN 'Lacunas: SQL; SQL' END) AS entry FROM supplier"""
 
 
 @_query(_ENTRY_SQL)
@@ -301,7 +340,11 @@ def digest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("s_suppkey", render.posting_entry(e).alias("entry"))
 
 
-@_query(f"WITH e AS ({_ENTRY_SQL}) SELECT section, title || chr(10) || chr(10) || coalesce((SELECT string_agg(entry, chr(10) || chr(10) ORDER BY s_suppkey) FROM e WHERE s_suppkey % 3 = k), '(nenhuma vaga)') AS text FROM (VALUES ('recommended', 'Recomendadas', 0), ('review', 'Vale avaliar', 1), ('opening_later', 'Abrem para você em breve', -1)) t(section, title, k)")
+@_query(
+    f"WITH e AS ({_ENTRY_SQL}) SELECT section, title || chr(10) || chr(10) || coalesce((SELECT string_agg(entry, chr(10) || chr(10) ORDER BY s_suppkey) FROM "
+    f"e WHERE s_suppkey % 3 = k), '(nenhuma vaga)') AS text FROM (VALUES ('recommended', 'Recomendadas', 0), ('review', 'Vale avaliar', 1), "
+    f"('opening_later', 'Abrem para você em breve', -1)) t(section, title, k)"
+)
 def digest_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sections of a digest, an empty one too."""
     e = _entries(spark, sf_dir)
@@ -309,14 +352,22 @@ def digest_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.section_texts(e.select(section.alias("section"), F.col("s_suppkey").alias("pos"), render.posting_entry(e).alias("entry")).filter("section is not null"))
 
 
-_RANKED = "(SELECT string_agg(i || '. ' || skill || ' — ' || n || ' de ' || t || ' {0} (' || round(n / t * 100)::BIGINT || '%)', chr(10) ORDER BY i) FROM (SELECT *, row_number() OVER (ORDER BY n DESC, skill) AS i FROM {1}) WHERE i <= 10)"
+_RANKED = (
+    "(SELECT string_agg(i || '. ' || skill || ' — ' || n || ' de ' || t || ' {0} (' || round(n / t * 100)::BIGINT || '%)', chr(10) ORDER BY i) FROM (SELECT "
+    "*, row_number() OVER (ORDER BY n DESC, skill) AS i FROM {1}) WHERE i <= 10)"
+)
 
 
 @_query(
-    f"""{catalog._MENTIONS}, f AS (SELECT skill, count(*) AS n, (SELECT n FROM t) AS t FROM u GROUP BY 1), g AS (SELECT skill, count(*) AS n, (SELECT n FROM k) AS t FROM u SEMI JOIN h USING (fingerprint) WHERE skill NOT IN ('The', 'In') GROUP BY 1),
+    f"""{catalog._MENTIONS}, f AS (SELECT skill, count(*) AS n, (SELECT n FROM t) AS t FROM u GROUP BY 1), g AS (SELECT skill, count(*) AS n, (SELECT n FROM k)
+    AS t FROM u SEMI JOIN h USING (fingerprint) WHERE skill NOT IN ('The', 'In') GROUP BY 1),
 w AS (SELECT strftime(date_trunc('week', first_seen_at), '%Y-%m-%d') AS week, count(*) AS n FROM p GROUP BY 1)
-SELECT 'Corpus: ' || (SELECT n FROM t) || ' vagas · ' || (SELECT n FROM t) || ' com extração completa · ' || (SELECT n FROM k) || ' de alta compatibilidade' || '{render.RULE.replace(chr(10), "' || chr(10) || '")}' || 'Lacunas mais frequentes (não cobertas pelo perfil)' || chr(10) || chr(10) || {_RANKED.format("vagas de alta compatibilidade", "g")}
-  || '{render.RULE.replace(chr(10), "' || chr(10) || '")}' || 'Tecnologias mais pedidas no mercado' || chr(10) || chr(10) || {_RANKED.format("vagas com extração", "f")} || '{render.RULE.replace(chr(10), "' || chr(10) || '")}' || 'Volume por semana' || chr(10) || chr(10) || (SELECT string_agg(week || ': ' || n || ' vagas', chr(10) ORDER BY week) FROM w) AS text"""
+SELECT 'Corpus: ' || (SELECT n FROM t) || ' vagas · ' || (SELECT n FROM t) || ' com extração completa · ' || (SELECT n FROM k) || ' de alta compatibilidade' ||
+    '{render.RULE.replace(chr(10), "' || chr(10) || '")}' || 'Lacunas mais frequentes (não cobertas pelo perfil)' || chr(10) || chr(10) ||
+    {_RANKED.format("vagas de alta compatibilidade", "g")}
+  || '{render.RULE.replace(chr(10), "' || chr(10) || '")}' || 'Tecnologias mais pedidas no mercado' || chr(10) || chr(10) ||
+    {_RANKED.format("vagas com extração", "f")} || '{render.RULE.replace(chr(10), "' || chr(10) || '")}' || 'Volume por semana' || chr(10) || chr(10) || (SELECT
+    string_agg(week || ': ' || n || ' vagas', chr(10) ORDER BY week) FROM w) AS text"""
 )
 def study_plan_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The study plan as one text; its parts are aggregates, only their few lines meet."""
@@ -330,7 +381,11 @@ def study_plan_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(render.study_plan_text(n, n, h, gaps, demand, weeks).alias("text"))
 
 
-@_query("SELECT r_regionkey, concat_ws(chr(10), 'Resumo da execução', '', 'Coletadas: ' || r_regionkey, 'Novas após deduplicação: 2', 'Após pré-filtro: 1', 'Pontuadas: 0', 'Fontes com falha: ' || CASE WHEN r_regionkey % 2 = 0 THEN 'a, b' ELSE 'nenhuma' END, 'Fontes truncadas pelo limite: nenhuma') AS text FROM region")
+@_query(
+    "SELECT r_regionkey, concat_ws(chr(10), 'Resumo da execução', '', 'Coletadas: ' || r_regionkey, 'Novas após deduplicação: 2', 'Após pré-filtro: 1', "
+    "'Pontuadas: 0', 'Fontes com falha: ' || CASE WHEN r_regionkey % 2 = 0 THEN 'a, b' ELSE 'nenhuma' END, 'Fontes truncadas pelo limite: nenhuma') AS text "
+    "FROM region"
+)
 def digest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest's last section."""
     none = F.array().cast("array<string>")

@@ -15,7 +15,8 @@ _query = catalog._query
 #: The sources that are declared; others are counted together.
 _SOURCES = ("click", "view", "purchase")
 _FUNNEL_SQL = f"""WITH e AS (SELECT CASE WHEN event_type IN {_SOURCES} THEN event_type ELSE 'other' END AS source, event_id % 6 AS k FROM events)
-SELECT source, count(*) AS collected, count(*) FILTER (k < 4) AS normalized, count(*) FILTER (k < 2) AS "new", count(*) FILTER (k IN (2, 3)) AS already_seen, count(*) FILTER (k = 4) AS too_old, count(*) FILTER (k = 5) AS unnormalizable FROM e GROUP BY 1"""
+SELECT source, count(*) AS collected, count(*) FILTER (k < 4) AS normalized, count(*) FILTER (k < 2) AS "new", count(*) FILTER (k IN (2, 3)) AS already_seen,
+    count(*) FILTER (k = 4) AS too_old, count(*) FILTER (k = 5) AS unnormalizable FROM e GROUP BY 1"""
 
 
 def _outcome() -> Column:
@@ -50,7 +51,8 @@ def observed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counters.funnel_totals(heard.table(spark))
 
 
-_CALLS_SQL = """WITH c AS (SELECT ['stage-a', 'stage-b', NULL][event_id % 3 + 1] AS stage, ['success', 'success', 'timeout', 'rateLimited', 'invalidOutput', 'odd'][event_id % 6 + 1] AS outcome, event_type AS provider,
+_CALLS_SQL = """WITH c AS (SELECT ['stage-a', 'stage-b', NULL][event_id % 3 + 1] AS stage, ['success', 'success', 'timeout', 'rateLimited', 'invalidOutput',
+    'odd'][event_id % 6 + 1] AS outcome, event_type AS provider,
   CASE WHEN event_id % 6 > 1 THEN ['a', 'b', 'c'][event_id % 5 % 3 + 1] END AS error_type, CASE WHEN event_id % 4 <> 0 THEN user_id::DOUBLE END AS tokens FROM events)
 SELECT 'outcome' AS split, coalesce(stage, 'other') AS first, CASE WHEN outcome = 'odd' THEN 'other' ELSE outcome END AS second, count(*) AS n, coalesce(sum(tokens), 0.0) AS tokens FROM c GROUP BY ALL
 UNION ALL SELECT 'provider', CASE WHEN provider IN ('click', 'view') THEN provider ELSE 'other' END, NULL, count(*), NULL FROM c GROUP BY ALL
