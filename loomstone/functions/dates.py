@@ -62,3 +62,8 @@ def cron_daily(time: str) -> str:
     """Cron line of a daily run at HH:mm."""
     hour, minute = time.split(":")
     return f"{int(minute)} {int(hour)} * * *"
+
+
+def rounded_millis(ts: Column) -> Column:
+    """Milliseconds since 1970, the nearest (halves away from zero) as DuckDB's ``epoch_ms`` has them; ``unix_millis`` cuts."""
+    return F.call_function("div", F.round(F.unix_micros(ts), -3), F.lit(1000))

@@ -560,7 +560,7 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def breaker_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     outcome = F.when(i % 3 == 0, "success").when(i % 3 == 1, "transient").otherwise(F.when(i % 5 == 0, "permanent").otherwise("transient"))
-    return machines.breaker_replay(table(spark, sf_dir, "events"), "event_type", F.unix_millis(F.col("ts").cast("timestamp")), i, outcome)
+    return machines.breaker_replay(table(spark, sf_dir, "events"), "event_type", dates.rounded_millis(F.col("ts").cast("timestamp")), i, outcome)
 
 
 def crawl_states(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pyspark.sql.functions as F
 import pytest
 
+from loomstone.plans import catalog
 from loomstone.streaming import machines
 
 
@@ -53,3 +54,21 @@ def test_composed_equals_steps(spark, parts, batch):
             spark.conf.set(n, v)
     assert got == expected
     assert {r.key: (r.state, r.retries) for r in machines.crawl_fold(df.filter("key is null"), "key", F.col("i"), F.col("x")).collect()} == {}
+
+
+def test_breakers_take_the_nearest_millisecond(spark, tmp_path):
+    """Times between milliseconds, before 1970 too: the order of close calls and the end of a cooldown are as in the SQL."""
+    import duckdb
+
+    rnd = random.Random(5)
+    rows = [(i, rnd.choice([-1, 1]) * rnd.randint(0, 3_000_000), rnd.choice("abc")) for i in range(3000)]
+    # five failures, and a call 29,999.6 ms after them, which counts as 30,000: it may try
+    rows += [(3001 + 3 * i, 10_000_000 + (29_999_600 if i == 5 else 0), "late") for i in range(6)]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE e (event_id BIGINT, us BIGINT, event_type VARCHAR)")
+    c.executemany("INSERT INTO e VALUES (?, ?, ?)", rows)
+    c.execute(f"COPY (SELECT event_id, make_timestamp(us) AS ts, event_type FROM e) TO '{tmp_path}/events.parquet'")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    expected = sorted(c.execute(catalog.oracle_sql()["breaker_replay"]).fetchall())
+    assert sorted(tuple(r) for r in catalog.queries()["breaker_replay"](spark, str(tmp_path)).collect()) == expected
+    assert ("late", "open", 5, 0, 6) in expected
