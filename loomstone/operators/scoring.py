@@ -134,11 +134,19 @@ def matched_competencies(matches: DataFrame, evidence: DataFrame) -> DataFrame:
 def recommend_variant(matched: DataFrame, variants: DataFrame) -> DataFrame:
     """For each id the first variant with the most matched competencies, of those with any.
 
-    matched: id, competency. variants: variant, ord, competency. An equi-join on the competency, then counts.
+    matched: id, competency, which may repeat. variants: variant, ord, competency; a few, of one profile. Their competencies
+    are numbered, and an id's shuffle and memory is one row of bits, a word for each 64 (these are counted when called).
     """
-    overlap = matched.join(variants, "competency").groupBy("id", "variant", "ord").agg(F.countDistinct("competency").alias("overlap"))
-    best = F.max_by(F.struct("variant", "overlap"), F.struct("overlap", (-F.col("ord")).alias("o")))
-    return overlap.groupBy("id").agg(best.alias("b")).select("id", "b.variant", "b.overlap")
+    words = range(-(-max(1, variants.select(F.count_distinct("competency")).first()[0]) // 64))
+    codes = F.broadcast(variants.select(F.array_sort(F.collect_set("competency")).alias("all")).select(F.posexplode("all").alias("code", "competency")))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("code") % 64)
+    bits = F.array(*(F.coalesce(F.bit_or(F.when(F.floor(F.col("code") / 64) == w, bit)), F.lit(0).cast("long")) for w in words))
+    masks = variants.join(codes, "competency").groupBy("variant", "ord").agg(bits.alias("bits"))
+    every = masks.select(F.collect_list(F.struct("variant", "ord", "bits")).alias("every"))
+    held = matched.join(codes, "competency").groupBy("id").agg(bits.alias("held")).crossJoin(F.broadcast(every))
+    common = lambda v: sum((F.bit_count(F.get("held", F.lit(w)).bitwiseAND(F.get(v["bits"], F.lit(w)))) for w in words), F.lit(0)).cast("long")
+    best = F.array_max(F.transform("every", lambda v: F.struct(common(v).alias("overlap"), (-v["ord"]).alias("o"), v["variant"].alias("variant"))))
+    return held.select("id", best.alias("b")).select("id", "b.variant", "b.overlap")
 
 
 def highlights(matches: Column) -> Column:

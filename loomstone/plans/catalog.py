@@ -363,7 +363,7 @@ def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     "= 1"
 )
 def recommend_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matched = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 20).cast("int").alias("competency")).distinct()
+    matched = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 20).cast("int").alias("competency"))
     i = F.col("id")
     variants = spark.range(20).select(F.floor(i / 5).alias("ord"), F.concat(F.lit("v"), F.floor(i / 5).cast("string")).alias("variant"), (i * 7 % 20).cast("int").alias("competency"))
     return scoring.recommend_variant(matched, variants)

@@ -4,6 +4,7 @@ import datetime as dt
 import hashlib
 import json
 import os
+import random
 
 import pyspark.sql.functions as F
 import pytest
@@ -147,6 +148,25 @@ def test_extraction_uses_the_cache(spark):
     assert calls.value == 1
 
 
+@pytest.mark.parametrize("competencies", [1, 20, 64, 65, 200])
+def test_recommended_variants_equal_counts(spark, competencies):
+    """Repeated and null competencies, ties, several words of bits; and one shuffle, of a row for each id."""
+    rnd = random.Random(competencies)
+    variants = [(f"v{o}", o, f"c{rnd.randrange(competencies)}") for o in range(7) for _ in range(competencies // 2 + 1)] + [("v1", 1, None)]
+    matched = [(rnd.choice([None, *range(60)]), rnd.choice([None, *(f"c{i}" for i in range(competencies + 5))])) for _ in range(3000)]
+    has = {o: {c for _, p, c in variants if p == o and c} for o in range(7)}
+    expected = {}
+    for i in {i for i, _ in matched}:
+        n, o = max((len(has[o] & {c for j, c in matched if j == i}), -o) for o in has)
+        if n:
+            expected[i] = (f"v{-o}", n)
+    df = scoring.recommend_variant(spark.createDataFrame(matched, "id int, competency string"), spark.createDataFrame(variants, "variant string, ord int, competency string"))
+    assert {r.id: (r.variant, r.overlap) for r in df.collect()} == expected
+    assert dict(df.dtypes) == {"id": "int", "variant": "string", "overlap": "bigint"}
+    shuffles = [line for line in df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines() if "Exchange hashpartitioning(id" in line]
+    assert len(shuffles) == 1, shuffles
+
+
 def test_breaker_batch_equals_steps(spark):
     outcomes = ["transient"] * 5 + ["success", "transient", "success", "permanent"]
     times = [0, 1, 2, 3, 4, 5, 40_000, 40_001, 90_000]
