@@ -2,13 +2,15 @@
 
 Two tables, as of one moment: operations (operation_id, status, claimed_by, claim_expires_at, updated_at, completed_at)
 and chunks (operation_id, chunk_index, body, status, attempts, last_error, message_id, confirmed_at). Each function
-returns the tables, or the one that it changes, after a step on all the rows that it names.
+returns the tables, or the one that it changes, after a step on all the rows that it names. The plans of steps grow into
+each other: where several follow, the tables are best stored between them, as a ledger is.
 """
 
 from __future__ import annotations
 
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 
 OPERATIONS = "operation_id string, status string, claimed_by string, claim_expires_at timestamp, updated_at timestamp, completed_at timestamp"
 CHUNKS = "operation_id string, chunk_index int, body string, status string, attempts int, last_error string, message_id long, confirmed_at timestamp"
@@ -51,8 +53,9 @@ def claim(operations: DataFrame, wanted: DataFrame, owner: str, now: Column, lea
 def sendable(operations: DataFrame, chunks: DataFrame, owner: str) -> DataFrame:
     """Chunks that an owner of their operation may send: pending or failed ones of operations without an uncertain one or one being sent."""
     own = operations.filter((F.col("claimed_by") == owner) & (F.col("status") != "complete")).select("operation_id")
-    open_ = chunks.filter(F.col("status").isin("uncertain", "sending")).select("operation_id").distinct()
-    return chunks.filter(F.col("status").isin("pending", "failed")).join(own, "operation_id", "left_semi").join(open_, "operation_id", "left_anti")
+    open_ = F.bool_or(F.col("status").isin("uncertain", "sending")).over(W.partitionBy("operation_id"))
+    held = chunks.join(own, "operation_id", "left_semi").withColumn("__open", F.coalesce(open_, F.lit(False)))
+    return held.filter(F.col("status").isin("pending", "failed") & ~F.col("__open")).select(*chunks.columns)
 
 
 def start(operations: DataFrame, chunks: DataFrame, begun: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
@@ -92,9 +95,10 @@ def complete(operations: DataFrame, chunks: DataFrame, now: Column) -> DataFrame
     return marked.withColumns({**kept, **at, "status": F.when(F.col("__on"), "complete").otherwise(F.col("status"))}).select(*operations.columns)
 
 
-def release(operations: DataFrame, owner: str, now: Column) -> DataFrame:
-    """Operations without an owner's claims."""
-    own = operations.withColumn("__own", F.coalesce(F.col("claimed_by") == owner, F.lit(False)))
+def release(operations: DataFrame, owner: str, now: Column, only: Column | None = None) -> DataFrame:
+    """Operations without an owner's claims (where only holds)."""
+    claimed = F.col("claimed_by") == owner
+    own = operations.withColumn("__own", F.coalesce(claimed if only is None else claimed & only, F.lit(False)))
     return own.withColumns({"claimed_by": F.when(~F.col("__own"), F.col("claimed_by")), "claim_expires_at": F.when(~F.col("__own"), F.col("claim_expires_at")), "updated_at": F.when(F.col("__own"), now).otherwise(F.col("updated_at"))}).select(*operations.columns)
 
 
@@ -111,11 +115,13 @@ def reconcile(operations: DataFrame, chunks: DataFrame, settled: DataFrame, now:
     note = F.when(sure, "manually reconciled as confirmed").otherwise("manual retry authorized after uncertain acknowledgement")
     marked = joined.withColumn("__on", on)
     after = marked.withColumns({"status": F.when(sure, "confirmed").when(F.col("__on"), "pending").otherwise(F.col("status")), "confirmed_at": F.when(sure, now).when(~F.col("__on"), F.col("confirmed_at")), "message_id": F.when(~F.col("__on"), F.col("message_id")), "last_error": F.when(F.col("__on"), note).otherwise(F.col("last_error"))})
-    touched = marked.filter("__on").select("operation_id").distinct()
-    freed = _touched(operations, touched, "pending", now)
-    hit = freed.join(touched.withColumn("__hit", F.lit(True)), "operation_id", "left")
-    free = hit.withColumns({c: F.when(F.col("__hit").isNull(), F.col(c)) for c in ("claimed_by", "claim_expires_at", "completed_at")}).select(*operations.columns)
-    after = after.select(*chunks.columns)
-    whole = complete(free, after, now)
-    # only what was settled may become complete here
-    return whole.join(touched, "operation_id", "left_semi").unionByName(free.join(touched, "operation_id", "left_anti")), after
+    after = after.select(*chunks.columns, "__on")
+    # only what was settled may become complete here; one aggregation tells both
+    told = after.groupBy("operation_id").agg(F.coalesce(F.bool_or("__on"), F.lit(False)).alias("__hit"), F.coalesce(F.bool_and(F.col("status") == "confirmed"), F.lit(False)).alias("__whole"))
+    hit = F.coalesce("__hit", F.lit(False))
+    done = hit & F.col("__whole")
+    freed = operations.join(told, "operation_id", "left").withColumns({"__hit": hit, "__done": done})
+    free = {c: F.when(~F.col("__hit"), F.col(c)) for c in ("claimed_by", "claim_expires_at")}
+    at = {"updated_at": F.when(F.col("__hit"), now).otherwise(F.col("updated_at")), "completed_at": F.when(F.col("__done"), now).when(~F.col("__hit"), F.col("completed_at"))}
+    status = F.when(F.col("__done"), "complete").when(F.col("__hit"), "pending").otherwise(F.col("status"))
+    return freed.withColumns({**free, **at, "status": status}).select(*operations.columns), after.drop("__on")

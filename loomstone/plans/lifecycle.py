@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from ..functions import identity
 from ..operators import buckets, delivery, enrich, evidence, ledger, market, model_output, render, runs, scorer, scoring, store
 from ..sources import payloads
-from ..sources.folders import shared_folder
+from ..sources.folders import shared_folder, stored
 from . import answers, catalog
 from .views import CRITERIA, POSTINGS_SQL, PROFILE_SKILLS, TAXONOMY, postings, table
 
@@ -292,20 +292,21 @@ def bucket_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT l_orderkey::VARCHAR AS operation_id, CASE WHEN bool_and(s = 'confirmed') THEN 'complete' WHEN bool_or(r) THEN 'pending' ELSE 'failed' END AS status, count(*) FILTER (s = 'confirmed') AS confirmed, count(*) FILTER (s = 'pending') AS pending, count(*) AS attempts, CASE WHEN bool_and(s = 'confirmed') OR bool_or(r) OR l_orderkey % 2 = 0 THEN NULL ELSE 'owner' END AS claimed_by FROM c GROUP BY l_orderkey"
 )
 def ledger_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deliveries from prepared to settled, completed, released (half of them) and reconciled."""
-    li = table(spark, sf_dir, "lineitem")
-    lines = li.groupBy(F.col("l_orderkey").cast("string").alias("operation_id"), F.col("l_linenumber").cast("int").alias("chunk_index")).agg(F.min("l_returnflag").alias("flag"))
-    planned = lines.select("operation_id", "chunk_index", "flag", F.concat_ws(":", "operation_id", "chunk_index").alias("body"))
+    """Deliveries from prepared to settled, completed, released (half of them) and reconciled; the ledger is stored between steps."""
+    folder = shared_folder(spark, "ledger")
+    keep = lambda step, operations, chunks: (stored(operations, f"{folder}/{step}/operations"), stored(chunks, f"{folder}/{step}/chunks"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"))
+    named = lines.select(F.col("l_orderkey").cast("string").alias("operation_id"), F.col("l_linenumber").cast("int").alias("chunk_index"), "flag")
+    planned = stored(named, f"{folder}/planned").withColumn("body", F.concat_ws(":", "operation_id", "chunk_index"))
     now = _instant("2026-08-20 10:00:00")
-    operations, chunks = ledger.prepare(spark.createDataFrame([], ledger.OPERATIONS), spark.createDataFrame([], ledger.CHUNKS), planned, now)
-    operations = ledger.claim(operations, planned, "owner", now, 60_000).drop("claimed")
-    ready = ledger.sendable(operations, chunks, "owner")
-    operations, chunks = ledger.start(operations, chunks, ready, now)
+    nothing = lambda schema: spark.createDataFrame([], schema).filter(F.lit(False))  # noqa: E731  seen as empty by the planner
+    operations, chunks = ledger.prepare(nothing(ledger.OPERATIONS), nothing(ledger.CHUNKS), planned, now)
+    operations = stored(ledger.claim(operations, planned, "owner", now, 60_000).drop("claimed"), f"{folder}/claimed")
+    operations, chunks = keep("started", *ledger.start(operations, chunks, stored(ledger.sendable(operations, chunks, "owner").select("operation_id", "chunk_index"), f"{folder}/ready"), now))
     outcome = F.when(F.col("flag") == "A", "confirmed").when(F.col("flag") == "N", "rejected").otherwise("unknown")
-    operations, chunks = ledger.settle(operations, chunks, planned.select("operation_id", "chunk_index", outcome.alias("outcome"), F.lit("e").alias("error"), F.lit(5).cast("long").alias("message_id")), now)
+    operations, chunks = keep("settled", *ledger.settle(operations, chunks, planned.select("operation_id", "chunk_index", outcome.alias("outcome"), F.lit("e").alias("error"), F.lit(5).cast("long").alias("message_id")), now))
     operations = ledger.complete(operations, chunks, now)
-    even = F.col("operation_id").cast("long") % 2 == 0
-    operations = ledger.release(operations.filter(even), "owner", now).unionByName(operations.filter(~even))
+    operations = ledger.release(operations, "owner", now, F.col("operation_id").cast("long") % 2 == 0)
     by_hand = planned.filter(F.col("flag") == "R").select("operation_id", "chunk_index", F.when(F.col("chunk_index") % 2 == 1, "confirmed").otherwise("retry").alias("resolution"))
     operations, chunks = ledger.reconcile(operations, chunks, by_hand, now)
     counted = chunks.groupBy("operation_id").agg(F.count_if(F.col("status") == "confirmed").alias("confirmed"), F.count_if(F.col("status") == "pending").alias("pending"), F.sum("attempts").alias("attempts"))

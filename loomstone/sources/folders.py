@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -25,3 +25,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         spark.conf.set("spark.checkpoint.dir", root)
         atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
     return f"{root.rstrip('/')}/loomstone/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """A frame written as Parquet and read back: plans on it don't compute it again."""
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -157,6 +157,22 @@ def test_uncertain_chunks_hold_an_operation_back(spark):
     assert {r.operation_id: r.status for r in operations.collect()} == {"o": "pending", "p": "complete"}
 
 
+def test_steps_read_each_table_once(spark):
+    """Plans of steps that follow each other don't double: a step's tables stand in its plan once."""
+    operations = spark.createDataFrame([("o", "failed", "me", NOW, NOW, None), ("p", "failed", "me", NOW, NOW, None), ("q", "failed", "me", NOW, NOW, None)], ledger.OPERATIONS)
+    rows = [("o", 0, "uncertain"), ("o", 1, "confirmed"), ("p", 0, "sending"), ("p", 1, "failed"), ("q", 0, "confirmed"), ("q", 1, "failed")]
+    chunks = spark.createDataFrame([(o, i, "b", s, 1, None, None, None) for o, i, s in rows], ledger.CHUNKS)
+    by_hand = spark.createDataFrame([("o", 0, "confirmed"), ("p", 0, "retry"), ("q", 0, "retry")], "operation_id string, chunk_index int, resolution string")
+    later = NOW + dt.timedelta(minutes=1)
+    ready = ledger.sendable(operations, chunks, "me")
+    after, settled = ledger.reconcile(operations, chunks, by_hand, F.lit(later))
+    assert [(r.operation_id, r.chunk_index) for r in ready.collect()] == [("q", 1)]
+    assert {r.operation_id: tuple(r)[1:] for r in after.collect()} == {"o": ("complete", None, None, later, later), "p": ("pending", None, None, later, None), "q": ("failed", "me", NOW, NOW, None)}
+    assert {(r.operation_id, r.chunk_index): r.status for r in settled.collect()} == {(o, i): {("o", 0): "confirmed", ("p", 0): "pending"}.get((o, i), s) for o, i, s in rows}
+    read = [df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") for df in (ready, after, settled)]
+    assert read == [2, 3, 2]
+
+
 # --- runs and ids
 
 
