@@ -28,6 +28,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
-    """A frame written as Parquet and read back: plans on it don't compute it again."""
+    """A frame written as Parquet and read back: plans on it don't compute it again.
+
+    Joins on it are sorted merges. The planner takes a table for as large as its files, which may pack millions of rows
+    into some MB, and would broadcast them through the driver.
+    """
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")

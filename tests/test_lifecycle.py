@@ -8,6 +8,8 @@ import pytest
 
 from loomstone.functions import identity, text
 from loomstone.operators import evidence, ledger, model_output, prefilter, render, runs, scorer, scoring, store
+from loomstone.plans import catalog, lifecycle
+from loomstone.sources import folders
 
 NOW = dt.datetime(2026, 8, 20, 10)
 PROFILE = evidence.Profile("Computação", "UFX", dt.date(2025, 2, 1), dt.date(2028, 12, 1), [evidence.Competency("Python", ("py",), ("Built an ETL in Python",))])
@@ -173,6 +175,16 @@ def test_steps_read_each_table_once(spark):
     assert read == [2, 3, 2]
 
 
+def test_stored_steps_are_not_broadcast(spark, monkeypatch):
+    """Every step's joins are merges: files of a stored ledger are far smaller than its rows, which the driver couldn't hold."""
+    plans = []
+    monkeypatch.setattr(lifecycle, "stored", lambda df, path: plans.append(df) or folders.stored(df, path))
+    plans.append(catalog.queries()["ledger_steps"](spark, "/root/testdata/sf0.001"))
+    texts = [df._jdf.queryExecution().sparkPlan().toString() for df in plans]
+    assert [t.count("SortMergeJoin") for t in texts] == [0, 1, 1, 1, 1, 1, 1, 5]
+    assert not any("Broadcast" in t for t in texts)
+
+
 # --- runs and ids
 
 
